@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketval.operators.sizing import Dim
+from marketval.operators.sizing import HOT_GROUP_ROWS, Dim
 from marketval.plans.analysis import Tables
 
 END = "2001-10-31"
@@ -233,6 +233,11 @@ class Workload:
             )
         )
 
+    @cached_property
+    def hot(self) -> bool | None:
+        """No group can be hot where the whole table is small; otherwise operators measure."""
+        return False if self.raw("lineitem").count() <= HOT_GROUP_ROWS else None
+
     def tables(self) -> Tables:
         return Tables(self.sold, self.active, self.profiles, self.subjects, self.geometry)
 
