@@ -78,13 +78,15 @@ def normalize_address(raw: Column, keep_unit: Column | bool = True) -> Column:
 
 def street_tokens(raw: Column) -> Column:
     """Distinctive words of a street name: no number, type, direction or unit."""
-    words = F.split(normalize_address(raw, True), " ")
-    first = F.element_at(words, 1)
-    named = F.when(
-        first.rlike(r"^\d+$"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    ).otherwise(words)
-    ignored = [F.lit(x) for x in [*GEOCODE_STREET_TYPES, *GEOCODE_DIRECTIONS, ""]]
-    return F.array_except(F.filter(named, lambda w: ~w.startswith("#")), F.array(*ignored))
+    ignored = F.array(*[F.lit(x) for x in [*GEOCODE_STREET_TYPES, *GEOCODE_DIRECTIONS, ""]])
+
+    def distinctive(words: Column) -> Column:
+        numbered = words[0].rlike(r"^\d+$")
+        named = F.filter(words, lambda w, i: ~w.startswith("#") & ~(numbered & (i == 0)))
+        return F.array_except(named, ignored)
+
+    # transform over a one-element array names the word list once.
+    return F.transform(F.array(F.split(normalize_address(raw, True), " ")), distinctive)[0]
 
 
 def street_matches(query: Column, matched: Column) -> Column:

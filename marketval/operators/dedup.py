@@ -177,7 +177,9 @@ def _hot_fates(slim: DataFrame, key: list[str]) -> DataFrame:
         return fates[[*key, "_ord", "slot_ord", "is_duplicate", "is_kept", "breaks"]]
 
     while True:
+        # Fresh column names keep the two sides of the co-group apart.
         known = changes.join(spread, key)
+        known = known.select(*[F.col(c).alias(c) for c in known.columns])
         fates = cut_lineage(
             rows.groupBy(*chunk).cogroup(known.groupBy(*chunk)).applyInPandas(
                 explain, f"{key_schema}, {_FATES}, breaks boolean"

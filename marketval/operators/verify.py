@@ -224,7 +224,8 @@ def verification_summary(judged: DataFrame) -> DataFrame:
 
 def judge_geocodes(geocodes: DataFrame, min_score: float = GEOCODE_MIN_SCORE) -> DataFrame:
     """Adds `rejected`: why an answer may not be used, or NULL."""
-    return geocodes.withColumn(
+    same = street_matches(F.col("query"), F.col("matched_address"))
+    return geocodes.withColumn("_same", same).withColumn(
         "rejected",
         F.when(F.col("lat").isNull() | F.col("lon").isNull(), "no match")
         .when(
@@ -232,10 +233,10 @@ def judge_geocodes(geocodes: DataFrame, min_score: float = GEOCODE_MIN_SCORE) ->
             F.concat(F.lit("low confidence ("), grouped(F.col("score")), F.lit(")")),
         )
         .when(
-            ~street_matches(F.col("query"), F.col("matched_address")),
+            ~F.col("_same"),
             F.concat(F.lit("matched a different street: "), F.col("matched_address")),
         ),
-    )
+    ).drop("_same")
 
 
 def fill_geocodes(sold: DataFrame, judged: DataFrame) -> DataFrame:

@@ -164,11 +164,15 @@ def _own(rows: DataFrame) -> DataFrame:
     )
 
 
-def collected(spark: SparkSession, root: str, market: str, profile: str, stamp: str) -> Tables:
-    """The rows and settings of an archived run, ready to be analyzed again."""
+def collected(
+    spark: SparkSession, root: str, market: str | None = None, profile: str | None = None,
+    stamp: str | None = None,
+) -> Tables:
+    """The rows and settings of the archived runs under a stamp, ready to be analyzed again."""
     runs = read_stored(spark, root, RUNS, market, profile, stamp)
     if runs.isEmpty():
         raise SnapshotUnreadable(f"no run metadata for {market}/{profile} {stamp}")
+    # What the analysis adds to a row, and adds again.
     drop = ["addr_key", "addr_key_unit", "addr_key_bare", "metric_size", "ppsf", "ratio", "reduced",
             "core", "borderline", "missing_metric", "list_ord", "grp_ord", "slot_ord"]
 
@@ -182,7 +186,7 @@ def collected(spark: SparkSession, root: str, market: str, profile: str, stamp:
 
 def reopen(
     archived: Tables, geometry: DataFrame, profiles: DataFrame | None = None,
-    exclude_addresses: DataFrame | None = None, hot: bool | None = None,
+    exclude_addresses: DataFrame | None = None, hot: bool | None = None, keep: bool = True,
 ) -> dict[str, DataFrame]:
     """Analyze archived rows again, under their own settings or substituted ones.
 
@@ -198,7 +202,7 @@ def reopen(
         extra = ["addr_key", "addr_key_unit", "addr_key_bare"]
         sold, active = sold.drop(*extra), active.drop(*extra)
     tables = Tables(sold, active, settings, archived.subjects, geometry, archived.families)
-    out = analyze(tables, hot)
+    out = analyze(tables, hot, keep)
     if profiles is not None or exclude_addresses is not None:
         note = settings.df.select(
             *DATASET, F.lit("reanalyzed_with_changed_settings").alias("code"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketval.constants import BROKERAGE_FAMILIES
 from marketval.operators import agents, areas, guidance, measures, quality, sizing, stats, valuation
+from marketval.operators.cleaning import in_window
 from marketval.operators.sizing import DATASET
 from marketval.plans import analysis, archive, reports
 from marketval.sources import config
@@ -350,8 +351,8 @@ def _(w):
 
 
 @query("agg27_reading_cost", """
-SELECT day, model, count(*) AS calls, sum(CAST(user_id AS BIGINT) * 10) AS input_tokens, sum(CAST(user_id AS BIGINT)) AS output_tokens,
-  sum(CAST(model = 'error' AS BIGINT)) AS failures,
+SELECT day, model, count(*) AS calls, CAST(sum(user_id * 10) AS BIGINT) AS input_tokens, CAST(sum(user_id) AS BIGINT) AS output_tokens,
+  count(*) FILTER (model = 'error') AS failures,
   (sum(user_id * 10) + sum(user_id) * 0.1e0 + sum(user_id % 7) * 1.25e0) * any_value(i) / 1e6
     + sum(user_id) * any_value(o) / 1e6 AS cost_usd
 FROM (SELECT CAST(ts AS DATE) AS day, event_type AS model, user_id,
@@ -495,52 +496,53 @@ def _(w):
 
 # -- runs --------------------------------------------------------------------------------------
 
-def run(w: Workload) -> dict:
-    """One whole run over every dataset: window, merge, exclude, classify, then the figures."""
-    from marketval.operators.cleaning import in_window
-
+def prepared(w: Workload) -> analysis.Prepared:
+    """The rows of a whole run: window, merge, exclude, reconcile, classify, measure."""
     tables = w.tables()
     tables.sold = in_window(tables.sold, tables.profiles, F.lit(t.END).cast("date"))
-    return analysis.analyze(tables, hot=w.hot, keep=False)
+    return analysis.prepare(tables)
 
 
 @query("run1_run_sold_stats", f"SELECT * FROM ({stats_sql('r_sold', 'sold_price')})", _STAT)
 def _(w):
-    return run(w)["sold_stats"]
+    return stats.sold_stats(prepared(w).sold, hot=w.hot)
 
 
 @query("run1_run_active_stats", f"SELECT * FROM ({stats_sql('r_active', 'list_price')})", _STAT)
 def _(w):
-    return run(w)["active_stats"]
+    return stats.active_stats(prepared(w).active, hot=w.hot)
 
 
 @query("run1_run_valuation", "SELECT * FROM r_valued", _VAL)
 def _(w):
-    return run(w)["valuation"]
+    ready = prepared(w)
+    return valuation.value_subjects(ready.sold, ready.active, w.subjects, w.profiles, hot=w.hot)
 
 
 @query("run1_run_areas", f"SELECT * FROM ({areas_sql('r_sold', 'r_active')})", _AREA)
 def _(w):
-    return run(w)["areas"]
+    ready = prepared(w)
+    return areas.area_table(ready.sold, ready.active, w.profiles, hot=w.hot)
 
 
 @query("run1_run_agents", f"SELECT * FROM ({agents_sql('r_sold', 'r_active', 'grp_ord, slot_ord')})", _AG)
 def _(w):
-    return run(w)["agents"].drop("interview_rank")
+    ready = prepared(w)
+    return agents.agent_table(ready.sold, ready.active, order="list_ord", hot=w.hot)
 
 
 @query("run6_excluded", """
 SELECT 'sold' AS side, market, profile, row_ord, address, reason FROM w_judged WHERE reason IS NOT NULL
 UNION ALL SELECT 'active', market, profile, row_ord, address, reason FROM w_ajudged WHERE reason IS NOT NULL""")
 def _(w):
-    return run(w)["excluded"]
+    return prepared(w).cleaned.excluded
 
 
 @query("run6_reconciled", """
 SELECT market, profile, row_ord, address FROM active_k a WHERE EXISTS (SELECT 1 FROM w_sold s WHERE s.market = a.market
   AND s.profile = a.profile AND s.addr_key = a.addr_key)""")
 def _(w):
-    return run(w)["reconciled"]
+    return prepared(w).cleaned.reconciled
 
 
 def scenario_rows(w: Workload):
@@ -665,11 +667,10 @@ def _(w):
     return shown.groupBy("run_at").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.lit(more))
 
 
-@query("run4_run7_run8_reopen")
+@query("run4_run7_run8_reopen", f"SELECT * FROM ({stats_sql('o_sold', 'sold_price')})", _STAT)
 def _(w):
-    root = _archived(w)
-    tables = archive.collected(w.spark, root, "ASIA", "lots", "20010701T013000Z")
-    return archive.reopen(tables, w.geometry.df, hot=w.hot)["sold_stats"]
+    tables = archive.collected(w.spark, _archived(w), stamp="20010701T013000Z")
+    return stats.sold_stats(analysis.prepare(tables).sold, hot=w.hot)
 
 
 @query("join13_src13_resolve_profiles", """

@@ -65,7 +65,7 @@ FROM (SELECT *, {street_sql("address")} AS street, {unit_sql("address")} AS unit
 JOIN profiles p USING (market, profile)"""
 
 
-def fold_sql(source: str, final: str) -> str:
+def fold_sql(source: str) -> str:
     """Kept sales per address key: arrays of structs with o (row), slot (opening row), p, s, c."""
     return f"""
 SELECT market, profile, addr_key, list_reduce(list_transform(rows, lambda r: [r]), lambda acc, x:
@@ -117,7 +117,7 @@ cte("sold_m", measured_sql("sold", "sold_price", True))
 cte("active_m", measured_sql("active", "list_price", False))
 cte("sold_mk", measured_sql("sold_k", "sold_price", True))
 
-cte("fold", fold_sql("sold_k", ""))
+cte("fold", fold_sql("sold_k"))
 cte("kept", """
 SELECT s.*, f.grp_ord, k.slot AS slot_ord
 FROM (SELECT market, profile, grp_ord, unnest(kept) AS k FROM fold) f
@@ -183,7 +183,7 @@ cte("active_a", "SELECT * REPLACE (coalesce(computed_area, area) AS area) FROM (
 cte("w_sold", f"""
 SELECT * FROM sold_k WHERE sold_date IS NULL OR sold_date BETWEEN
   DATE '{t.END}' - {t.WINDOW_DAYS} AND DATE '{t.END}'""")
-cte("w_fold", fold_sql("w_sold", ""))
+cte("w_fold", fold_sql("w_sold"))
 cte("w_kept", """
 SELECT s.*, f.grp_ord, k.slot AS slot_ord
 FROM (SELECT market, profile, grp_ord, unnest(kept) AS k FROM w_fold) f
@@ -547,6 +547,16 @@ for side, day in (("sold", "sold_date"), ("active", "listed_date")):
         + (f" AND (row_ord % 10 <> 0 OR {day} > DATE '{CUTS[0]}')" if side == "active" else ""),
     )
 
+# The later run's rows analyzed again.
+cte("o_fold", fold_sql("after_sold"))
+cte("o_kept", """
+SELECT s.*, f.grp_ord, k.slot AS slot_ord
+FROM (SELECT market, profile, grp_ord, unnest(kept) AS k FROM o_fold) f
+JOIN after_sold s ON s.market = f.market AND s.profile = f.profile AND s.row_ord = k.o""")
+cte("o_judged", reason_sql("o_kept"))
+cte("o_in", "SELECT * EXCLUDE (reason, missing_metric, size) FROM o_judged WHERE reason IS NULL")
+cte("o_sold", measured_sql("o_in", "sold_price", True))
+
 
 def lastkey_sql(source: str) -> str:
     return (f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY market, profile, addr_key_unit "

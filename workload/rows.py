@@ -99,8 +99,8 @@ SELECT s.market, s.profile, s.row_ord, coalesce(CASE WHEN s.sold_price IS NULL O
   AND coalesce(CASE WHEN s.lot_sqft IS NULL OR f.s IS NULL THEN NULL WHEN s.lot_sqft = f.s THEN TRUE
     ELSE coalesce(abs(s.lot_sqft - f.s) / nullif(greatest(abs(s.lot_sqft), abs(f.s)), 0) <= 0.05e0, FALSE)
     END, TRUE) AS same
-FROM sold_k s JOIN (SELECT market, profile, addr_key, arg_min({'p': sold_price, 's': lot_sqft}, row_ord) AS x,
-    x.p AS p, x.s AS s FROM sold_k GROUP BY ALL) f USING (market, profile, addr_key)""")
+FROM sold_k s JOIN (SELECT market, profile, addr_key, arg_min({'p': sold_price, 's': lot_sqft}, row_ord).p AS p,
+    arg_min({'p': sold_price, 's': lot_sqft}, row_ord).s AS s FROM sold_k GROUP BY ALL) f USING (market, profile, addr_key)""")
 def _(w):
     rows = sold_k(w)
     key = [*DATASET, "addr_key"]
@@ -547,7 +547,8 @@ def _(w):
 @query("win2_repeat_sales", """
 SELECT s.market, s.profile, s.row_ord, f.first_date, f.first_price, s.sold_date, s.sold_price
 FROM sold_k s JOIN (SELECT market, profile, addr_key_bare, min(row_ord) AS o,
-    arg_min({'d': sold_date, 'p': sold_price}, row_ord) AS x, x.d AS first_date, x.p AS first_price
+    arg_min({'d': sold_date, 'p': sold_price}, row_ord).d AS first_date,
+    arg_min({'d': sold_date, 'p': sold_price}, row_ord).p AS first_price
   FROM sold_k GROUP BY ALL) f USING (market, profile, addr_key_bare)
 WHERE s.row_ord > f.o AND NOT (
   coalesce(CASE WHEN first_price = 0 THEN s.sold_price = 0
@@ -571,10 +572,8 @@ def _(w):
 # -- verification ------------------------------------------------------------------------------
 
 def facts(w: Workload):
-    import re
-
     sql = FACTS.format(url="https://page.example/", s="STRING", src="{sold}")
-    return w.spark.sql(re.sub(r"\s+", " ", sql), sold=w.sold)
+    return w.spark.sql(sql, sold=w.sold)
 
 
 @query("set8_facts_to_claims", """

@@ -63,8 +63,8 @@ FROM (
   FROM (
     SELECT l_orderkey, l_discount, l_quantity, r_name AS market,
       CASE WHEN l_partkey % 3 = 0 THEN 'homes' ELSE 'lots' END AS profile,
-      (l_orderkey * 10 + l_linenumber) * 1000000000 + (l_partkey % 100000) * 10000 + l_suppkey % 10000
-        AS row_ord,
+      (l_orderkey * 10 + l_linenumber) * 1000000
+        + (CAST(round(l_extendedprice * 100) AS BIGINT) * 31 + l_partkey * 7 + l_suppkey) % 1000000 AS row_ord,
       {address_sql("l_partkey", "l_linenumber", string)} AS address,
       CASE WHEN l_orderkey % 59 <> 0 THEN CAST(l_shipdate AS DATE) END AS sold_date,
       (floor(l_extendedprice / 20000e0) + 1) * 150000e0 + (l_partkey % 997) * 100 + l_linenumber
