@@ -49,24 +49,18 @@ def of_profile_type(rows: DataFrame, profiles: Dim | DataFrame) -> DataFrame:
     return with_profile(rows, profiles, {"_id": F.col("identification")}).where(rule).drop("_id")
 
 
-def exclusion_reason(lot: Column, exclusions: Column, listed: Column) -> Column:
+def exclusion_reason(lot: Column, low: Column, high: Column, listed: Column) -> Column:
     """Why a parcel leaves the dataset, or NULL. A parcel of unknown size never leaves."""
+    above = F.concat(
+        F.lit("lot "), grouped(lot), F.lit(" sqft exceeds the "), grouped(high), F.lit(" sqft cap")
+    )
+    below = F.concat(
+        F.lit("lot "), grouped(lot), F.lit(" sqft is below the "), grouped(low), F.lit(" sqft floor")
+    )
     return (
         F.when(listed, "on the market's explicit exclusion list")
-        .when(
-            lot > exclusions["max_lot_sqft"],
-            F.concat(
-                F.lit("lot "), grouped(lot), F.lit(" sqft exceeds the "),
-                grouped(exclusions["max_lot_sqft"]), F.lit(" sqft cap"),
-            ),
-        )
-        .when(
-            lot < exclusions["min_lot_sqft"],
-            F.concat(
-                F.lit("lot "), grouped(lot), F.lit(" sqft is below the "),
-                grouped(exclusions["min_lot_sqft"]), F.lit(" sqft floor"),
-            ),
-        )
+        .when(lot > high, above)
+        .when(lot < low, below)
     )
 
 
@@ -79,7 +73,10 @@ def with_reason(rows: DataFrame, profiles: Dim | DataFrame) -> DataFrame:
     listed = dim.df.select(
         *DATASET, F.explode("exclusions.explicit_address_keys").alias("addr_key")
     ).distinct().withColumn("_listed", F.lit(True))
-    fields = {"_ex": F.col("exclusions"), "_metric": F.col("metric")}
+    fields = {
+        "_low": F.col("exclusions.min_lot_sqft"), "_high": F.col("exclusions.max_lot_sqft"),
+        "_metric": F.col("metric"),
+    }
     size = rates.metric_size(F.col("_metric"), F.col("lot_sqft"), F.col("living_sqft"))
     return (
         with_profile(rows, dim, fields)
@@ -87,11 +84,12 @@ def with_reason(rows: DataFrame, profiles: Dim | DataFrame) -> DataFrame:
         .withColumn(
             "reason",
             exclusion_reason(
-                F.col("lot_sqft"), F.col("_ex"), F.coalesce(F.col("_listed"), F.lit(False))
+                F.col("lot_sqft"), F.col("_low"), F.col("_high"),
+                F.coalesce(F.col("_listed"), F.lit(False)),
             ),
         )
         .withColumn("missing_metric", F.col("reason").isNull() & size.isNull())
-        .drop("_ex", "_metric", "_listed")
+        .drop("_low", "_high", "_metric", "_listed")
     )
 
 

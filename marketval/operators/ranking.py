@@ -2,29 +2,44 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketval.operators.sizing import HOT_GROUP_ROWS, cut_lineage, has_hot_group
+
 
 def rank_in_group(
-    df: DataFrame, by: list[str], coarse: list[Column], order: list[Column], name: str
+    df: DataFrame, by: list[str], order: list[Column], name: str,
+    hot: bool | None = None, limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """1-based position in `order` within `by`.
+    """1-based position in `order` within `by`. The order must leave no ties.
 
-    `coarse` are ascending expressions that agree with `order` and split a group into slices.
-    Slice sizes, a small table, give each slice its offset; rows are ordered inside slices.
+    A hot group is cut into ranges of the order. Rows are numbered inside a range, and the
+    sizes of the ranges before it, a table of one row per range and group, give the offset.
     """
-    slices = [f"_s{i}" for i in range(len(coarse))]
-    cut = df.select("*", *[c.alias(s) for c, s in zip(coarse, slices)])
-    sizes = cut.groupBy(*by, *slices).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(*slices))
+    if hot is None:
+        hot = has_hot_group(df, by, limit)
+    if not hot:
+        return df.withColumn(
+            name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+        )
+    cols = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, cols)])
+    # Stored, so that a row's range cannot change between the two readings below.
+    ranged = cut_lineage(
+        keyed.repartitionByRange(*[F.col(b) for b in by], *cols)
+        .withColumn("_range", F.spark_partition_id())
+    )
+    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range"))
     offsets = sizes.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, *slices]], (upto - F.col("_n")).alias("_before")
+        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_range").alias("_k_range"),
+        (upto - F.col("_n")).alias("_before"),
     )
-    inside = F.row_number().over(Window.partitionBy(*by, *slices).orderBy(*order))
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, *slices]]
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*cols))
+    match = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by]
     return (
-        cut.withColumn("_pos", inside)
-        .join(offsets, match, "left")
+        ranged.withColumn("_pos", inside)
+        .join(offsets, [*match, F.col("_range") == F.col("_k_range")])
         .withColumn(name, (F.col("_before") + F.col("_pos")).cast("long"))
-        .drop("_pos", "_before", *slices, *[f"_k_{c}" for c in [*by, *slices]])
+        .select(*df.columns, name)
     )
 
 

@@ -89,8 +89,10 @@ def analyze(
         "size_trend": valuation.size_trend(bands),
         "ladder": ladder,
         "ladder_spread": valuation.ladder_spread(ladder),
-        "agents": agents.interview_order(who),
-        "brokerages": agents.brokerage_order(agents.brokerage_table(sold, active, tables.families)),
+        "agents": agents.interview_order(who, hot=hot),
+        "brokerages": agents.brokerage_order(
+            agents.brokerage_table(sold, active, tables.families), hot=hot
+        ),
         "attribution": stats.attribution_coverage(sold),
         "excluded": ready.cleaned.excluded,
         "reconciled": ready.cleaned.reconciled,

@@ -165,8 +165,8 @@ def _own(rows: DataFrame) -> DataFrame:
 
 
 def collected(
-    spark: SparkSession, root: str, market: str | None = None, profile: str | None = None,
-    stamp: str | None = None,
+    spark: SparkSession, root: str, geometry: DataFrame, market: str | None = None,
+    profile: str | None = None, stamp: str | None = None,
 ) -> Tables:
     """The rows and settings of the archived runs under a stamp, ready to be analyzed again."""
     runs = read_stored(spark, root, RUNS, market, profile, stamp)
@@ -181,11 +181,11 @@ def collected(
 
     settings = _own(runs).drop("schema_version", "window_start", "window_end", "researcher")
     subjects = _own(read_stored(spark, root, "subjects", market, profile, stamp))
-    return Tables(rows("sold"), rows("active"), settings, subjects, settings)
+    return Tables(rows("sold"), rows("active"), settings, subjects, geometry)
 
 
 def reopen(
-    archived: Tables, geometry: DataFrame, profiles: DataFrame | None = None,
+    archived: Tables, profiles: DataFrame | None = None,
     exclude_addresses: DataFrame | None = None, hot: bool | None = None, keep: bool = True,
 ) -> dict[str, DataFrame]:
     """Analyze archived rows again, under their own settings or substituted ones.
@@ -201,7 +201,9 @@ def reopen(
         active = drop_rows(measures.with_keys(active, settings), drops)
         extra = ["addr_key", "addr_key_unit", "addr_key_bare"]
         sold, active = sold.drop(*extra), active.drop(*extra)
-    tables = Tables(sold, active, settings, archived.subjects, geometry, archived.families)
+    tables = Tables(
+        sold, active, settings, archived.subjects, archived.geometry, archived.families
+    )
     out = analyze(tables, hot, keep)
     if profiles is not None or exclude_addresses is not None:
         note = settings.df.select(

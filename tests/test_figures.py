@@ -42,15 +42,15 @@ def test_hot_groups_are_measured_when_unknown(spark):
     assert {r["g"]: r["m"] for r in got.collect()} == {0: 49.0, 1: 50.0}
 
 
-def test_rank_in_group_agrees_with_a_sort(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_rank_in_group_agrees_with_a_sort(spark, hot):
     rng = random.Random(2)
-    rows = [(g, rng.randint(0, 5), rng.choice("abc") + str(i)) for i, g in enumerate("xy" * 60)]
+    rows = [(g, rng.randint(0, 5), rng.choice("abc") + str(i)) for i, g in enumerate("xy" * 200)]
     df = spark.createDataFrame(rows, "g string, n int, t string").repartition(5)
-    got = ranking.rank_in_group(
-        df, ["g"], [-F.col("n"), F.substring("t", 1, 1)], [-F.col("n"), F.col("t")], "r")
+    got = ranking.rank_in_group(df, ["g"], [-F.col("n"), F.col("t")], "r", hot).collect()
     for g in "xy":
         want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
-        mine = sorted((r for r in got.collect() if r["g"] == g), key=lambda r: r["r"])
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["r"])
         assert [r["t"] for r in mine] == [r[2] for r in want]
         assert [r["r"] for r in mine] == list(range(1, len(want) + 1))
 

@@ -74,12 +74,12 @@ def test_a_run_listed_read_and_found(spark, archived):
 
 def test_reopening_gives_the_original_figures(spark, archived):
     root, results = archived
-    tables = archive.collected(spark, root, "m", "lots", "20260801T000000Z")
-    again = archive.reopen(tables, h.geometry(spark), hot=False, keep=False)
+    tables = archive.collected(spark, root, h.geometry(spark), "m", "lots", "20260801T000000Z")
+    again = archive.reopen(tables, hot=False, keep=False)
     value = lambda r: {x["basis"]: x["value"] for x in r["valuation"].collect()}
     assert value(again) == pytest.approx(value(results))
     drops = spark.createDataFrame([("m", "lots", "5 Elm Street")], "market string, profile string, address string")
-    fewer = archive.reopen(tables, h.geometry(spark), exclude_addresses=drops, hot=False, keep=False)
+    fewer = archive.reopen(tables, exclude_addresses=drops, hot=False, keep=False)
     assert fewer["sold"].count() == again["sold"].count() - 1
     assert fewer["caveats"].where("code = 'reanalyzed_with_changed_settings'").count() == 1
 
@@ -90,7 +90,7 @@ def test_another_version_and_missing_metadata_are_refused(spark, archived, tmp_p
     with pytest.raises(archive.SnapshotIncompatible):
         archive.check_version(runs.withColumn("schema_version", F.lit(99)))
     with pytest.raises(archive.SnapshotUnreadable):
-        archive.collected(spark, root, "m", "nothing", "20260801T000000Z")
+        archive.collected(spark, root, h.geometry(spark), "m", "nothing", "20260801T000000Z")
 
 
 def test_renaming_moves_every_run(spark, tmp_path):

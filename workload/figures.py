@@ -240,7 +240,13 @@ def _(w):
 
 @query("win4_interview_order", "SELECT market, profile, agent, interview_rank FROM agents_ranked")
 def _(w):
-    return agents.interview_order(agent_rows(w)).select(*DATASET, "agent", "interview_rank")
+    return agents.interview_order(agent_rows(w), hot=w.hot).select(*DATASET, "agent", "interview_rank")
+
+
+@query("win4_interview_order_by_range", "SELECT market, profile, agent, interview_rank FROM agents_ranked")
+def _(w):
+    """The plan that hot groups take: ranges of the order, counted and offset."""
+    return agents.interview_order(agent_rows(w), hot=True).select(*DATASET, "agent", "interview_rank")
 
 
 @query("agg17_join10_brokerages", "SELECT * FROM brokerages", "share")
@@ -252,7 +258,7 @@ def _(w):
 SELECT market, profile, family, row_number() OVER (PARTITION BY market, profile ORDER BY closings DESC, family) AS position
 FROM brokerages""")
 def _(w):
-    ranked = agents.brokerage_order(agents.brokerage_table(w.sold, w.active))
+    ranked = agents.brokerage_order(agents.brokerage_table(w.sold, w.active), hot=w.hot)
     return ranked.select(*DATASET, "family", "position")
 
 
@@ -266,7 +272,7 @@ def _(w):
 SELECT market, profile, agent, active_listings, interview_rank FROM agents_ranked
 ORDER BY active_listings DESC NULLS LAST, interview_rank""")
 def _(w):
-    ranked = agents.interview_order(agent_rows(w))
+    ranked = agents.interview_order(agent_rows(w), hot=w.hot)
     return reports.sorted_agents(ranked, "Live").select(*DATASET, "agent", "active_listings", "interview_rank")
 
 
@@ -476,7 +482,7 @@ SELECT market, profile, interview_rank, agent, coalesce(brokerage, '—') AS bro
   avg_size, flag || CASE WHEN dual_agency THEN ' - dual agency' ELSE '' END AS pattern FROM agents_ranked""",
        "avg_sold_to_ask avg_ppsf avg_size")
 def _(w):
-    return reports.agents_report(agents.interview_order(agent_rows(w)))
+    return reports.agents_report(agents.interview_order(agent_rows(w), hot=w.hot))
 
 
 @query("snk8_brokerages_report", "SELECT market, profile, family, closings, share FROM brokerages", "share")
@@ -669,7 +675,7 @@ def _(w):
 
 @query("run4_run7_run8_reopen", f"SELECT * FROM ({stats_sql('o_sold', 'sold_price')})", _STAT)
 def _(w):
-    tables = archive.collected(w.spark, _archived(w), stamp="20010701T013000Z")
+    tables = archive.collected(w.spark, _archived(w), w.geometry.df, stamp="20010701T013000Z")
     return stats.sold_stats(analysis.prepare(tables).sold, hot=w.hot)
 
 
