@@ -7,35 +7,49 @@ from marketval.operators.quantiles import aggregate
 from marketval.operators.sizing import DATASET, Dim, as_dim
 
 
-def divider_lat(waypoints: Column, lon: Column) -> Column:
-    """Latitude of the divider polyline at a longitude; the ends are held."""
-
-    def at(points: Column) -> Column:
-        first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
-        starts = F.slice(points, 1, F.size(points) - 1)
-        legs = F.zip_with(
-            starts,
-            F.slice(points, 2, F.size(points)),
-            lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))),
-        )
-        leg = F.try_element_at(
-            F.filter(legs, lambda s: (s["a"]["lon"] <= lon) & (lon <= s["b"]["lon"])), F.lit(1)
-        )
-        run = leg["b"]["lon"] - leg["a"]["lon"]
-        between = F.when(run == 0, leg["a"]["lat"]).otherwise(
-            leg["a"]["lat"] + (leg["b"]["lat"] - leg["a"]["lat"]) * ((lon - leg["a"]["lon"]) / run)
-        )
-        return (
-            F.when((F.size(points) == 1) | (lon <= first["lon"]), first["lat"])
-            .when(lon >= last["lon"], last["lat"])
-            .otherwise(between)
-        )
+def divider_legs(waypoints: Column) -> Column:
+    """The divider as legs (lo, hi, lat_lo, lat_hi, flat), the held ends first.
 
+    Worked out once per market, so that a row only has to find its leg.
+    """
+    inf = float("inf")
     ordered = F.array_sort(
         waypoints,
         lambda x, y: F.when(x["lon"] < y["lon"], -1).when(x["lon"] > y["lon"], 1).otherwise(0),
     )
-    return F.when(lon.isNotNull() & (F.size(waypoints) > 0), F.transform(F.array(ordered), at)[0])
+
+    def leg(lo, hi, lat_lo, lat_hi, flat) -> Column:
+        return F.struct(
+            lo.alias("lo"), hi.alias("hi"), lat_lo.alias("lat_lo"), lat_hi.alias("lat_hi"),
+            flat.alias("flat"),
+        )
+
+    def legs(points: Column) -> Column:
+        first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+        ends = F.array(
+            leg(F.lit(-inf), first["lon"], first["lat"], first["lat"], F.lit(True)),
+            leg(last["lon"], F.lit(inf), last["lat"], last["lat"], F.lit(True)),
+        )
+        single = F.array(leg(F.lit(-inf), F.lit(inf), first["lat"], first["lat"], F.lit(True)))
+        between = F.zip_with(
+            F.slice(points, 1, F.size(points) - 1),
+            F.slice(points, 2, F.size(points)),
+            lambda a, b: leg(a["lon"], b["lon"], a["lat"], b["lat"], a["lon"] == b["lon"]),
+        )
+        return F.when(F.size(points) == 1, single).otherwise(F.concat(ends, between))
+
+    return F.when(F.size(waypoints) > 0, F.transform(F.array(ordered), legs)[0])
+
+
+def divider_lat(legs: Column, lon: Column) -> Column:
+    """Latitude of the divider at a longitude."""
+    leg = F.try_element_at(F.filter(legs, lambda s: (s["lo"] <= lon) & (lon <= s["hi"])), F.lit(1))
+    return F.transform(
+        F.array(leg),
+        lambda g: F.when(g["flat"], g["lat_lo"]).otherwise(
+            g["lat_lo"] + (g["lat_hi"] - g["lat_lo"]) * ((lon - g["lo"]) / (g["hi"] - g["lo"]))
+        ),
+    )[0]
 
 
 def classify(rows: DataFrame, geometry: Dim | DataFrame) -> DataFrame:
@@ -43,10 +57,11 @@ def classify(rows: DataFrame, geometry: Dim | DataFrame) -> DataFrame:
     dim = as_dim(geometry)
     side = dim.small(
         dim.df.select(
-            "market", F.col("ns_centerline").alias("_line"), F.col("ew_longitude").alias("_ew")
+            "market", divider_legs(F.col("ns_centerline")).alias("_legs"),
+            F.col("ew_longitude").alias("_ew"),
         )
     )
-    configured = (F.size("_line") > 0) & F.col("_ew").isNotNull()
+    configured = F.col("_legs").isNotNull() & F.col("_ew").isNotNull()
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull() & configured
     ns = F.when(F.col("lat") >= F.col("divider_lat"), "N").otherwise("S")
     ew = F.when(F.col("lon") >= F.col("_ew"), "E").otherwise("W")
@@ -55,10 +70,10 @@ def classify(rows: DataFrame, geometry: Dim | DataFrame) -> DataFrame:
     )
     return (
         rows.join(side, "market", "left")
-        .withColumn("divider_lat", F.when(placed, divider_lat(F.col("_line"), F.col("lon"))))
+        .withColumn("divider_lat", F.when(placed, divider_lat(F.col("_legs"), F.col("lon"))))
         .withColumn("computed_area", F.when(F.col("divider_lat").isNotNull(), F.concat(ns, ew)))
         .withColumn("borderline", F.coalesce(F.col("divider_lat").isNotNull() & near, F.lit(False)))
-        .drop("_line", "_ew")
+        .drop("_legs", "_ew")
     )
 
 

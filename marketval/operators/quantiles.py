@@ -26,13 +26,31 @@ def value_cell(value: Column) -> Column:
 
 
 def values_at_ranks(
-    df: DataFrame, by: list[str], value: Column, ranks: Callable[[Column], Column]
+    df: DataFrame, by: list[str], value: Column, ranks: Callable[[Column], Column],
+    hot: bool = True,
 ) -> DataFrame:
     """The values at chosen zero-based ranks of each group: by + (slot, rank, total, value).
 
-    `ranks` maps the column holding the group's size to array<struct<slot, rank>>.
+    `ranks` maps the column holding the group's size to array<struct<slot, rank>>. Groups known
+    to be of bounded size need no cells: their distinct values are put in order directly.
     """
     keep = [F.col(c) for c in by]
+    if not hot:
+        counted = (
+            df.select(*keep, value.alias("_v")).where(F.col("_v").isNotNull())
+            .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v")))
+            .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
+        )
+        return (
+            counted.withColumn("_want", F.explode(ranks(F.col("total"))))
+            .where(
+                (F.col("_want.rank") < F.col("_upto"))
+                & (F.col("_want.rank") >= F.col("_upto") - F.col("_n"))
+            )
+            .select(*keep, F.col("_want.slot").alias("slot"), F.col("_want.rank").alias("rank"),
+                    "total", F.col("_v").alias("value"))
+        )
     freq = (
         df.select(*keep, value.alias("_v"))
         .where(F.col("_v").isNotNull())

@@ -19,7 +19,7 @@ from marketval.constants import (
 from marketval.functions import rates
 from marketval.functions.text import grouped, percent
 from marketval.operators.quantiles import aggregate, values_at_ranks
-from marketval.operators.sizing import DATASET, Dim, as_dim
+from marketval.operators.sizing import DATASET, Dim, as_dim, has_hot_group
 
 SUBJECT = [*DATASET, "subject_id"]
 
@@ -301,7 +301,7 @@ def ladder_spread(ladder: DataFrame) -> DataFrame:
     ).drop("_anchor")
 
 
-def band_edges(sold: DataFrame) -> DataFrame:
+def band_edges(sold: DataFrame, hot: bool | None = None) -> DataFrame:
     """Per dataset the number of bands and their bounds: near-equal counts, cut at values."""
     size = F.col("metric_size")
 
@@ -321,7 +321,9 @@ def band_edges(sold: DataFrame) -> DataFrame:
             ),
         )
 
-    cuts = values_at_ranks(sold, DATASET, size, ranks)
+    if hot is None:
+        hot = has_hot_group(sold, DATASET)
+    cuts = values_at_ranks(sold, DATASET, size, ranks, hot)
     bounds = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("i"), F.col("value")))),
         lambda s: s["value"].cast("double"),
@@ -339,7 +341,7 @@ def size_bands(
 ) -> DataFrame:
     """Rates by size band per dataset; `subjects_in_band` counts the subjects a band holds."""
     dims, prof = as_dim(subjects), as_dim(profiles)
-    edges = band_edges(sold)
+    edges = band_edges(sold, hot)
 
     def place(x: Column) -> Column:
         # The band whose half-open range holds x; the last band also holds its upper end.

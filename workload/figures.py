@@ -118,14 +118,23 @@ def _(w):
     return valuation.valuation_warnings(valued(w))
 
 
-@query("win3_band_edges", """
+_EDGES = """
 SELECT market, profile, bands, n_sized, idx - 1 AS i, edge FROM (
-  SELECT market, profile, bands, n_sized, generate_subscripts(bounds, 1) AS idx, unnest(bounds) AS edge FROM edges)""",
-       "edge")
+  SELECT market, profile, bands, n_sized, generate_subscripts(bounds, 1) AS idx, unnest(bounds) AS edge FROM edges)"""
+
+
+def _edges(edges):
+    return edges.select(*DATASET, "bands", "n_sized", F.posexplode("bounds").alias("i", "edge"))
+
+
+@query("win3_band_edges", _EDGES, "edge")
 def _(w):
-    return valuation.band_edges(sold_m(w)).select(
-        *DATASET, "bands", "n_sized", F.posexplode("bounds").alias("i", "edge")
-    )
+    return _edges(valuation.band_edges(sold_m(w), w.hot))
+
+
+@query("win3_band_edges_by_rank", _EDGES, "edge")
+def _(w):
+    return _edges(valuation.band_edges(sold_m(w), hot=True))
 
 
 @query("agg8_size_bands", "SELECT * FROM bands", "low high median_ppsf avg_ppsf median_size median_price")

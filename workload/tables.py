@@ -154,6 +154,12 @@ FROM nation JOIN region ON n_regionkey = r_regionkey"""
 EXCLUDED_KEYS = ["1 n birch ave", "7 e hazel ave", "13 s dogwood ave"]
 
 
+SPREAD = {
+    "lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id",
+    "events": "event_id",
+}
+
+
 @dataclass
 class Workload:
     """The driver's tables at one scale, as the engine's inputs."""
@@ -162,23 +168,19 @@ class Workload:
     folder: str
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def _spread(self, rows: DataFrame, key: str) -> DataFrame:
-        """A table read as fewer splits than there are cores is dealt out by key first."""
+        """One table. A large one that is read as fewer splits than there are cores is dealt
+        out by key first; at scale it has many splits and is left as it is."""
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+        if name in SPREAD and rows.rdd.getNumPartitions() < cores:
+            return rows.repartition(cores, SPREAD[name])
+        return rows
 
     def _sql(self, text: str, *names: str) -> DataFrame:
         # Views are named per folder, so that two scales can be open in one session.
         for n in names:
             text = _rename(text, n, f"{{{n}}}")
-        keys = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-        frames = {n: self.raw(n) for n in names}
-        for n, key in keys.items():
-            if n in frames:
-                frames[n] = self._spread(frames[n], key)
-        return self.spark.sql(text, **frames)
+        return self.spark.sql(text, **{n: self.raw(n) for n in names})
 
     @cached_property
     def sold(self) -> DataFrame:
@@ -236,7 +238,8 @@ class Workload:
     @cached_property
     def hot(self) -> bool | None:
         """No group can be hot where the whole table is small; otherwise operators measure."""
-        return False if self.raw("lineitem").count() <= HOT_GROUP_ROWS else None
+        rows = self.spark.read.parquet(f"{self.folder}/lineitem.parquet").count()
+        return False if rows <= HOT_GROUP_ROWS else None
 
     def tables(self) -> Tables:
         return Tables(self.sold, self.active, self.profiles, self.subjects, self.geometry)
