@@ -9,15 +9,12 @@ from marketval.constants import (
     STREET_TYPES,
     UNIT_PATTERN,
 )
+from marketval.functions.text import WHITE
 
 # \w, \s and \b are meant as Unicode classes, which Java reads only under the slow (?U).
 _UNIT = "(?U)" + UNIT_PATTERN
 _UNIT_WORDS = ["#", "apt", "apartment", "unit", "ste", "suite"]
-# Every Unicode white space character, and the full stop.
-_SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
-    map(chr, range(0x2000, 0x200B))
-)
-_BLANKED = _SPACES + "."
+_BLANKED = WHITE + "."
 
 
 def _lookup(pairs: dict[str, str]) -> Column:

@@ -12,11 +12,7 @@ from marketval.constants import (
     SQFT_PER_ACRE,
     TAG_DATE_PATTERN,
 )
-from marketval.functions.text import squeeze
-
-
-def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+from marketval.functions.text import squeeze, strip
 
 
 def as_money(x: Column) -> Column:
@@ -88,7 +84,7 @@ def as_sqft(x: Column) -> Column:
 
 
 def _trim_marks(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[ .,#]+|[ .,#]+$", "")
+    return F.trim(x, F.lit(" .,#"))
 
 
 def split_attribution(x: Column) -> Column:

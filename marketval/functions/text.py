@@ -15,6 +15,17 @@ from marketval.constants import (
     PLACEHOLDER_NAMES,
 )
 
+# Every Unicode white space character. Trimming by this list is a plain character scan, where
+# Java's \s would need the slow Unicode mode.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+
+
+def strip(x: Column) -> Column:
+    """No white space at either end."""
+    return F.trim(x, F.lit(WHITE))
+
 
 def grouped(x: Column, places: int = 0) -> Column:
     """1234567.5 -> '1,234,568', half to even."""
@@ -31,13 +42,13 @@ def or_dash(x: Column) -> Column:
 
 def squeeze(x: Column) -> Column:
     """Whitespace collapsed to single spaces, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(x, f"[{WHITE}]+", " "))
 
 
 def clean_name(x: Column) -> Column:
     """A real party's name, or NULL for a filler name, doubled or not."""
     text = squeeze(x)
-    plain = F.regexp_replace(F.lower(text), r"^[ .,]+|[ .,]+$", "")
+    plain = F.trim(F.lower(text), F.lit(" .,"))
     doubled = F.regexp_extract(plain, r"(?s)^(.+) \1$", 1)
     filler = plain.isin(PLACEHOLDER_NAMES) | doubled.isin(PLACEHOLDER_NAMES)
     return F.when((text != "") & ~filler, text)
@@ -82,8 +93,8 @@ def text_safe(x: Column) -> Column:
 
 def safe_name(x: Column) -> Column:
     """A market or profile name usable as a directory name."""
-    tidy = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"[^A-Za-z0-9._-]+", "-")
-    tidy = F.regexp_replace(tidy, r"^[-.]+|[-.]+$", "")
+    tidy = F.regexp_replace(strip(x), r"[^A-Za-z0-9._-]+", "-")
+    tidy = F.trim(tidy, F.lit("-."))
     return F.when(tidy != "", tidy).otherwise(F.lit("unnamed"))
 
 
