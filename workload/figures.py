@@ -1,15 +1,16 @@
 """Queries over figures: statistics, valuation, guidance, areas, agents, quality, reports, runs."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from marketval.constants import BROKERAGE_FAMILIES
 from marketval.operators import agents, areas, guidance, measures, quality, sizing, stats, valuation
 from marketval.operators.cleaning import in_window
 from marketval.operators.sizing import DATASET
 from marketval.plans import analysis, archive, reports
 from marketval.sources import config
 from workload import tables as t
-from workload.oracle import CUTS, agents_sql, areas_sql, guidance_sql, ratios_sql, stats_sql
+from workload.oracle import CUTS, agents_sql, areas_sql, stats_sql
 from workload.registry import query
 from workload.rows import active_k, active_m, cuts, judged, sold_k, sold_m, sources, windows
 from workload.tables import Workload
@@ -596,15 +597,9 @@ def _(w):
     return first.select(*DATASET, "subject_id", "subject_size", "ppsf", "value", "sample_size")
 
 
-def _archived(w: Workload):
-    """Two runs of every dataset, written to the shared folder and read back."""
-    import tempfile
-
-    spark = w.spark
-    base = sizing.shared_folder(spark)
-    if base.startswith("file:"):
-        base = base.removeprefix("file:")
-    root = f"{base}/archive-{next(tempfile._get_candidate_names())}"
+def _archived(w: Workload, *names: str) -> str:
+    """Two runs of every dataset, written to the shared folder with the named result tables."""
+    root = f"{sizing.shared_folder(w.spark)}/archive-{uuid4()}"
     bs, ba, as_, aa = cuts(w)
     for stamp, s, a, day in (
         ("20000701T000000Z", bs, ba, CUTS[0]), ("20010701T013000Z", as_, aa, CUTS[1]),
@@ -613,7 +608,8 @@ def _archived(w: Workload):
         sm = measures.sold_measures(s, w.profiles)
         am = measures.active_measures(a, w.profiles)
         results = {"sold": sm, "active": am, "sold_stats": stats.sold_stats(sm, hot=w.hot)}
-        archive.write_run(results, tables, root, stamp, ("1995-01-01", day), "recorded")
+        chosen = {n: results[n] for n in names}
+        archive.write_run(chosen, tables, root, stamp, ("1995-01-01", day), "recorded")
     return root
 
 
@@ -626,7 +622,7 @@ UNION ALL
 SELECT replace(market, ' ', '-'), profile, '20010701T013000Z', * EXCLUDE (market, profile)
 FROM ({stats_sql(f"(SELECT * FROM sold_m WHERE sold_date <= DATE '{CUTS[1]}')", 'sold_price')})""", _STAT)
 def _(w):
-    rows = archive.read_stored(w.spark, _archived(w), "sold_stats")
+    rows = archive.read_stored(w.spark, _archived(w, "sold_stats"), "sold_stats")
     return rows.drop("run_market", "run_profile")
 
 
@@ -640,7 +636,7 @@ _RUN_COUNTS = "\nUNION ALL\n".join(
 
 @query("agg29_win5_run_summary", _RUN_COUNTS)
 def _(w):
-    root = _archived(w)
+    root = _archived(w, "sold", "active")
     runs = archive.list_runs(w.spark, root)
     rows = lambda n: archive.read_stored(w.spark, root, n)
     return archive.run_summary(runs, rows("sold"), rows("active"))
@@ -684,7 +680,7 @@ def _(w):
 
 @query("run4_run7_run8_reopen", f"SELECT * FROM ({stats_sql('o_sold', 'sold_price')})", _STAT)
 def _(w):
-    tables = archive.collected(w.spark, _archived(w), w.geometry.df, stamp="20010701T013000Z")
+    tables = archive.collected(w.spark, _archived(w, "sold", "active"), w.geometry.df, stamp="20010701T013000Z")
     return stats.sold_stats(analysis.prepare(tables).sold, hot=w.hot)
 
 
@@ -708,5 +704,5 @@ SELECT market, profile, CASE WHEN upper(brokerage) LIKE 'B%' THEN 'B firms' WHEN
   ELSE brokerage END AS family, count(*) AS closings FROM sold WHERE coalesce(brokerage, '') <> '' GROUP BY ALL""")
 def _(w):
     rules = [("B firms", ["b*"]), ("Nation 3", ["*?3*"])]
-    table = agents.brokerage_table(w.sold, w.active.limit(0), rules)
+    table = agents.brokerage_table(w.sold, w.active.where(F.lit(False)), rules)
     return table.select(*DATASET, "family", "closings")
