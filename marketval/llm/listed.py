@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from marketval.llm import chat, feistel, mixing  # noqa: F401
+from marketval.llm import bpe, chat, feistel, language, mixing, quality  # noqa: F401
 from marketval.llm.registry import QUERIES, SQL  # noqa: F401
