@@ -1,4 +1,4 @@
 """Imports every module that registers a query of this subpackage."""
 
-from marketval.llm import bpe, chat, embeddings, feistel, language, mixing, quality, simhash  # noqa: F401
+from marketval.llm import bpe, chat, embeddings, feistel, language, mixing, quality, simhash, sketch  # noqa: F401
 from marketval.llm.registry import QUERIES, SQL  # noqa: F401
