@@ -29,6 +29,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in small Arrow batches, so a worker's memory stays bounded."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
@@ -77,3 +78,15 @@ def components(links: DataFrame) -> DataFrame:
         on = step.select(F.col("a").alias("component"), F.col("to").alias("next"))
         return labels.join(on, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     return reduce(follow, steps[1:], steps[0].select(F.col("a").alias("node"), F.col("to").alias("component")))
+
+
+def whole_row(docs: DataFrame) -> DataFrame:
+    """`doc_id, source, text` and `row`, a struct of every other column, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+
+
+def unfolded(df: DataFrame, like: DataFrame, text: Column) -> DataFrame:
+    """The columns of `like` again, with another text and its length in `n_chars`."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in like.columns])

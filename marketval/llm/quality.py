@@ -123,11 +123,30 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learned(described_: DataFrame, labels: DataFrame, shrink: float = SHRINK) -> dict | None:
+    """The model of `described_(doc_id, stats)` and `labels(doc_id, quality)`, held-out rows left out."""
+    learn = labels.select("doc_id", "quality").where("quality in (0, 1)")
+    return fit(moments(described_.where(~held_out()).join(learn, "doc_id").select("stats", F.col("quality").cast("int"))), shrink)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK) -> DataFrame:
+    """The rows of `docs` whose text scores `ACCEPT` or more. Only vectors are moved; texts are
+    read a second time rather than shuffled."""
+    model = learned(described(docs, ["doc_id"]), labels, shrink)
+
+    def choose(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), N_FEATURES)
+            yield b.filter(pa.array(score(model, x) >= ACCEPT))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, keep: list[str], shrink: float = SHRINK) -> DataFrame:
     """`keep` columns (with `doc_id`), `held_out`, `score` and `predicted`."""
     described_ = stored(described(docs, keep))
-    learn = labels.select("doc_id", "quality").where("quality in (0, 1)")
-    model = fit(moments(described_.where(~held_out()).join(learn, "doc_id").select("stats", F.col("quality").cast("int"))), shrink)
+    model = learned(described_, labels, shrink)
 
     def rate(batches):
         for b in batches:

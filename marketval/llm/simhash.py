@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from marketval.llm.common import components, small_batches, stored, table
 from marketval.llm.registry import query
@@ -240,6 +240,19 @@ def grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
             .select(*keep, "fingerprint", "component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that name their group: one document of each group of near-duplicates.
+    Of rows that share such a doc_id, the one with the least text stays. A row without doc_id cannot
+    name a group; such rows stay, exact copies among them once."""
+    found = grouped(docs, ["doc_id"])
+    names = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("name_of_group", F.lit(True))
+    every = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = every.join(names, "doc_id", "left").where(F.col("name_of_group") | F.col("doc_id").isNull())
+    alike = F.when(F.col("doc_id").isNull(), F.sha2("row.text", 256))
+    first = F.row_number().over(W.partitionBy("doc_id", alike).orderBy("row.text"))
+    return kept.withColumn("first", first).where("first = 1").select("row.*")
+
+
 @query("op1_simhash_pigeonhole")
 def op1(spark, folder):
     return grouped(table(spark, folder, "documents"), ["doc_id"])
