@@ -38,6 +38,9 @@ GROUP_BYTES, RANGE_BYTES, LEAST = 4 << 20, 8 << 20, 64
 #: Bytes that are hashed at once.
 STEP = 1 << 19
 LAST = (1 << 63) - 1
+#: A string with the trigger in it has so many bytes more on one side at least.
+SIDE = (LENGTH - TRIGGER) // 2
+NO_SIDE = np.uint64(1 << 16)
 _random = np.random.default_rng(20)
 SIGNS = _random.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTORS = _random.integers(0, 1 << 63, (2, 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +86,9 @@ def blocks(ends: np.ndarray):
 
 
 def phrases(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Of every phrase: its document's place, first and last start, trigger and content hash."""
-    out = {k: [] for k in ("doc", "first", "last", "trigger", "content")}
+    """Of every phrase: its document's place, first and last start, its trigger's place and hash, its
+    content's hash, and hashes of what stands SIDE bytes left and right of the trigger."""
+    out = {k: [] for k in ("doc", "first", "last", "at", "trigger", "content", "sides")}
     for a, b, d, e in blocks(ends):
         if b - a < LENGTH:
             continue
@@ -106,16 +110,21 @@ def phrases(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         out["doc"].append(d + np.searchsorted(stops, first, "right"))
         out["first"].append(first + a)
         out["last"].append(last + a)
+        out["at"].append(trigger + a)
+        left = np.where(trigger - first >= SIDE, mixed(small[np.maximum(trigger - SIDE, 0)]) >> np.uint64(48), NO_SIDE)
+        right = np.where(last + LENGTH - TRIGGER - trigger >= SIDE, mixed(small[np.minimum(trigger + SIDE, len(small) - 1)]) >> np.uint64(48), NO_SIDE)
+        out["sides"].append(left | right << np.uint64(20))
         out["trigger"].append(mixed(small[trigger], 1))
         out["content"].append(mixed(long_[first] * FACTORS[1, 6] + mixed(long_[last]) * FACTORS[1, 7] + (last - first).astype(np.uint64)))
-    kinds = {"doc": np.int64, "first": np.int64, "last": np.int64, "trigger": np.uint64, "content": np.uint64}
+    kinds = {k: np.uint64 if k in ("trigger", "content", "sides") else np.int64 for k in out}
     return {k: np.concatenate([np.zeros(0, kinds[k]), *v]).astype(kinds[k]) for k, v in out.items()}
 
 
 class Distinct:
-    """Different pairs of hashes in order, each with its least document; `of` gives each row's place."""
+    """Different pairs of hashes in order, each with its least document and the rest that equal pairs
+    have in common; `of` gives each row's place."""
 
-    def __init__(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray):
+    def __init__(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray, rest: np.ndarray | None = None):
         order = np.lexsort((doc, two, one))
         a, b = one[order], two[order]
         new = np.ones(len(order), bool)
@@ -123,6 +132,7 @@ class Distinct:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.one, self.two, self.doc = a[new], b[new], doc[order][new]
+        self.rest = np.zeros(new.sum(), np.uint64) if rest is None else rest[order][new]
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -147,7 +157,7 @@ def sent(of: Distinct, group: int, ranges: int):
     cut = np.concatenate([[0], np.flatnonzero(np.diff(own.view(np.int64))) + 1, [len(own)]])
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if hi > lo:
-            yield int(own[lo]), group, lo, packed(of.one[lo:hi], of.two[lo:hi], of.doc[lo:hi])
+            yield int(own[lo]), group, lo, packed(of.one[lo:hi], of.two[lo:hi], of.doc[lo:hi], of.rest[lo:hi])
 
 
 SENT = "range long, grp long, place long, blob binary"
@@ -161,33 +171,45 @@ def sent_batches(rows, batch: int = 64):
                                           pa.array(part[3], pa.binary())], names=["range", "grp", "place", "blob"])
 
 
+def sides_shared(one: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """For different contents in order of their triggers: 1 if another content of the trigger has the
+    same left side, plus 2 for the right side."""
+    shared = np.zeros(len(one), np.uint64)
+    if not sides.any():  # suffixes have none
+        return shared
+    trigger = np.concatenate([[0], np.cumsum(one[1:] != one[:-1])]).astype(np.uint64)
+    for bit, side in ((1, sides & np.uint64(0xFFFFF)), (2, sides >> np.uint64(20))):
+        there = np.flatnonzero(side != NO_SIDE)
+        _, at, n = np.unique(trigger[there] << np.uint64(20) | side[there], return_inverse=True, return_counts=True)
+        shared[there[n[at] > 1]] += np.uint64(bit)
+    return shared
+
+
 def settled(rows: pa.Table) -> pa.Table:
-    """What one range of hashes answers each group: the places that are repeats, and the places
-    whose trigger (the first hash) other contents share."""
+    """What one range of hashes answers each group: the places that are repeats, and the places, four
+    times and with the sides added, where another content of the trigger has a side in common."""
     groups, places = rows.column("grp").to_pylist(), rows.column("place").to_pylist()
-    parts = [unpacked(b, 3) for b in rows.column("blob").to_pylist()]
+    parts = [unpacked(b, 4) for b in rows.column("blob").to_pylist()]
     sizes = [len(p[0]) for p in parts]
-    one, two, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    source = np.repeat(np.arange(len(parts)), sizes)
+    one, two, doc, sides = (np.concatenate([p[k] for p in parts]) for k in range(4))
     place = np.concatenate([np.arange(lo, lo + n, dtype=np.uint64) for lo, n in zip(places, sizes)])
+    source = np.repeat(np.array(groups, np.int64), sizes)
     order = np.lexsort((doc.view(np.int64), two, one))
-    one, two, doc, source, place = one[order], two[order], doc[order].view(np.int64), source[order], place[order]
-    new_one = np.ones(len(order), bool)
-    new_one[1:] = one[1:] != one[:-1]
-    new = new_one.copy()
-    new[1:] |= two[1:] != two[:-1]
+    one, two, doc, source, place, sides = one[order], two[order], doc[order].view(np.int64), source[order], place[order], sides[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     at = np.flatnonzero(new)
-    least = doc[at][np.cumsum(new) - 1]
-    contents = np.bincount(np.cumsum(new_one) - 1, weights=new)[np.cumsum(new_one) - 1]
-    repeat, shared = doc > least, new & (contents > 1)
-    out = []
-    by_group = np.argsort(np.array(groups)[source], kind="stable")
-    owner = np.array(groups)[source][by_group]
-    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]]))):
-        rows_ = by_group[lo:hi]
-        r, s = np.sort(place[rows_[repeat[rows_]]]), np.sort(place[rows_[shared[rows_]]])
+    repeat = doc > doc[at][np.cumsum(new) - 1]
+    shared = np.zeros(len(order), np.uint64)
+    shared[at] = sides_shared(one[at], sides[at])
+    by_group = np.argsort(source, kind="stable")
+    owner, out = source[by_group], []
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        own = by_group[lo:hi]
+        r, s = own[repeat[own]], own[shared[own] > 0]
         if len(r) or len(s):
-            out.append((int(owner[lo]), packed(r), packed(s)))
+            out.append((int(owner[lo]), packed(np.sort(place[r])), packed(np.sort(place[s] << np.uint64(2) | shared[s]))))
     cols = list(zip(*out)) or [(), (), ()]
     return pa.table({"grp": pa.array(cols[0], pa.int64()), "repeats": pa.array(cols[1], pa.binary()), "shared": pa.array(cols[2], pa.binary())})
 
@@ -214,7 +236,7 @@ class Group:
         self.grp = row["grp"]
         self.p = phrases(self.data, self.ends)
         self.p_doc = self.ids[self.p["doc"]]
-        self.known = Distinct(self.p["trigger"], self.p["content"], self.p_doc)
+        self.known = Distinct(self.p["trigger"], self.p["content"], self.p_doc, self.p["sides"])
 
     def repeated_phrases(self, row: dict) -> np.ndarray:
         later = np.zeros(len(self.known.one), bool)
@@ -223,11 +245,17 @@ class Group:
 
     def open_suffixes(self, row: dict, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, Distinct]:
         """Starts and documents of the strings that other phrases may share, and their hashes."""
-        shared = np.zeros(len(self.known.one), bool)
-        shared[places(row["shared"])] = True
-        chosen = np.flatnonzero(shared[self.known.of] & ~repeated)
-        n = self.p["last"][chosen] - self.p["first"][chosen] + 1
-        start = np.repeat(self.p["first"][chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        shared = np.zeros(len(self.known.one), np.int64)
+        told = places(row["shared"])
+        shared[told >> 2] = told & 3
+        sides = shared[self.known.of]
+        chosen = np.flatnonzero((sides > 0) & ~repeated)
+        # starts whose string holds SIDE bytes left of the trigger, or right of it, where that is shared
+        middle = self.p["at"][chosen] - SIDE
+        first = np.where(sides[chosen] & 1, self.p["first"][chosen], np.maximum(self.p["first"][chosen], middle))
+        last = np.where(sides[chosen] & 2, self.p["last"][chosen], np.minimum(self.p["last"][chosen], middle))
+        n = np.maximum(last - first + 1, 0)
+        start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         doc = np.repeat(self.p_doc[chosen], n)
         hashes = np.zeros((2, len(start)), np.uint64)
         by_start = np.argsort(start, kind="stable")
