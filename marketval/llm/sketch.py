@@ -134,7 +134,9 @@ def likenesses(docs: DataFrame) -> DataFrame:
     waiting = kept.select("id", F.col("own").alias("left"), pair.alias("p")).select("id", "p.pair", "left", "p.right")
     while True:
         size = size_for(F.greatest(F.size("left"), F.size("right"))) * (1 << level)
-        tried = waiting.repartition(partitions(docs.sparkSession), "id").withColumn("size", size)
+        # the first attempt holds the cells of all texts: parts small enough to aggregate in memory
+        parts = partitions(docs.sparkSession) * (1 if level else 4)
+        tried = waiting.repartition(parts, "id").withColumn("size", size)
         result = stored(peeled(tried, ["id", "pair"]))
         settled.append(result.where("open = 0"))
         again = result.where("open > 0").select("id", "pair")
