@@ -91,7 +91,7 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
     whole = sum(n * c for n, c in zip(lengths, counts))
     if budget >= whole:
         return list(counts)
-    taken = [c * budget // whole for c in counts]
+    taken = [c * budget // whole if budget > window else 0 for c in counts]
     left = budget - sum(n * k for n, k in zip(lengths, taken))
     for i, n in enumerate(lengths):
         if left <= window:
