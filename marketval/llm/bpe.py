@@ -26,7 +26,7 @@ from marketval.llm.common import small_batches, table
 from marketval.llm.registry import query
 
 #: Chunks kept per task.
-CACHE = 200_000
+CACHE = 100_000
 #: Words with more parts than this are merged with a heap: same result, no repeated scans.
 SHORT = 64
 NONE = 1 << 60

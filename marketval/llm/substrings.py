@@ -36,7 +36,7 @@ LENGTH, TRIGGER = 50, 16
 #: Bytes of text in a group and in one range of hashes, on average; at least so many of either.
 GROUP_BYTES, RANGE_BYTES, LEAST = 4 << 20, 8 << 20, 64
 #: Bytes that are hashed at once.
-STEP = 1 << 19
+STEP = 1 << 18
 LAST = (1 << 63) - 1
 #: A string with the trigger in it has so many bytes more on one side at least.
 SIDE = (LENGTH - TRIGGER) // 2
