@@ -47,11 +47,16 @@ def has_hot_group(df: DataFrame, by: list[str], limit: int = HOT_GROUP_ROWS) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a local one is set only where none is."""
+    """The checkpoint folder that the session names. Only a single-process session may leave it
+    unset and gets a temporary one: on a cluster, executors could not read the driver's folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marketval-"))
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="marketval-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

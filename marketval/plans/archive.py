@@ -4,7 +4,9 @@ A run is market, profile and a UTC stamp, and all three are partition columns, s
 reading a run never opens another run's files.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marketval.constants import SCHEMA_VERSION
 from marketval.functions.clock import local_date
@@ -16,6 +18,8 @@ from marketval.plans.analysis import Tables, analyze
 RUN = [*DATASET, "run_at"]
 RUNS = "runs"
 STAMP = "yyyyMMdd'T'HHmmss'Z'"
+# Files that one dataset's rows of a table are spread over at most.
+FILES = 16
 
 
 class SnapshotIncompatible(ValueError):
@@ -53,9 +57,11 @@ def write_run(
     results: dict[str, DataFrame], tables: Tables, root: str, stamp: str,
     window: tuple[str, str], researcher: str = "",
 ) -> None:
-    """Write every result table, and the run rows last: a run is listed once it is whole."""
+    """Write every result table, and the run rows last: a run is listed once it is whole.
+
+    Writing a run again replaces its own partitions and no others."""
     for name, rows in results.items():
-        _tagged(rows, stamp).write.mode("append").partitionBy(*RUN).parquet(f"{root}/{name}")
+        _put(_tagged(rows, stamp), f"{root}/{name}")
     runs = (
         tables.profiles.df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
         .withColumn("window_start", F.lit(window[0]).cast("date"))
@@ -63,11 +69,25 @@ def write_run(
         .withColumn("researcher", F.lit(researcher))
     )
     for name, rows in (("subjects", tables.subjects.df), (RUNS, runs)):
-        _tagged(rows, stamp).write.mode("append").partitionBy(*RUN).parquet(f"{root}/{name}")
+        _put(_tagged(rows, stamp), f"{root}/{name}")
+
+
+def _put(rows: DataFrame, path: str) -> None:
+    # One dataset's rows come together, in up to FILES tasks, so few files are opened.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(FILES))
+    (rows.repartition("market", "profile", salt).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path))
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table whose keys are text, whatever a folder's name looks like."""
+    schema = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name in RUN else f for f in schema.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def check_version(runs: DataFrame) -> None:
-    bad = runs.where(F.col("schema_version") != SCHEMA_VERSION).select(*RUN, "schema_version").first()
+    bad = runs.where(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).select(*RUN, "schema_version").first()
     if bad is not None:
         raise SnapshotIncompatible(
             f"{bad['market']}/{bad['profile']} {bad['run_at']} was written by schema "
@@ -87,22 +107,28 @@ def read_stored(
     profile: str | None = None, stamp: str | None = None,
 ) -> DataFrame:
     """A result table exactly as the runs reported it. Nothing is recomputed."""
-    check_version(_picked(spark.read.parquet(f"{root}/{RUNS}"), market, profile, stamp))
-    return _picked(spark.read.parquet(f"{root}/{name}"), market, profile, stamp)
+    check_version(_picked(_read(spark, f"{root}/{RUNS}"), market, profile, stamp))
+    return _picked(_read(spark, f"{root}/{name}"), market, profile, stamp)
 
 
 def list_runs(
     spark: SparkSession, root: str, market: str | None = None, profile: str | None = None
 ) -> DataFrame:
-    """Archived runs, newest first."""
-    runs = spark.read.parquet(f"{root}/{RUNS}").select(*RUN, "researcher")
+    """Archived runs, newest first; none where nothing was ever archived."""
+    try:
+        stored = _read(spark, f"{root}/{RUNS}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*RUN, "researcher"]))
+    runs = stored.select(*RUN, "researcher")
     runs = _picked(runs, market, profile, None).distinct()
     return runs.orderBy(F.col("run_at").desc(), "market", "profile")
 
 
 def history(runs: DataFrame, limit: int = 20) -> tuple[DataFrame, int]:
-    """The newest runs, and how many more there are."""
-    return runs.orderBy(F.col("run_at").desc()).limit(limit), max(runs.count() - limit, 0)
+    """The newest runs, and how many more there are; runs of one moment go by market and profile."""
+    return runs.orderBy(F.col("run_at").desc(), "market", "profile").limit(limit), max(runs.count() - limit, 0)
 
 
 def latest_run(runs: DataFrame, before: Column | None = None) -> DataFrame:
@@ -152,7 +178,9 @@ def rename_profile(spark: SparkSession, root: str, market: str, old: str, new: s
     for table in tables:
         source = path(f"{root}/{table}/market={names['m']}/profile={names['o']}")
         if fs.exists(source):
-            fs.rename(source, path(f"{root}/{table}/market={names['m']}/profile={names['n']}"))
+            target = path(f"{root}/{table}/market={names['m']}/profile={names['n']}")
+            if not fs.rename(source, target):
+                raise OSError(f"could not move {source} to {target}")
     return moved
 
 

@@ -171,3 +171,28 @@ def test_export_keeps_text_as_text(spark, tmp_path):
     reports.write_csv(rows, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out")).first()
     assert (back["agent"], back["x"]) == ("'=1+1", "2.0")
+
+
+def test_names_stay_text_and_a_run_can_be_written_again(spark, tmp_path):
+    root = str(tmp_path / "archive")
+    assert archive.list_runs(spark, root).count() == 0
+    tables = market_tables(spark, 5)
+    for name in ("007", "2026-08-31"):
+        def named(df, name=name):
+            return df.withColumns({"market": F.lit("94110"), "profile": F.lit(name)})
+
+        own = analysis.Tables(named(tables.sold), named(tables.active), named(tables.profiles.df),
+                              named(tables.subjects.df), tables.geometry)
+        for _ in range(2):
+            archive.write_run({"sold": own.sold}, own, root, "20260801T000000Z", ("2026-06-02", "2026-08-31"))
+    runs = archive.list_runs(spark, root)
+    assert [(r["market"], r["profile"]) for r in runs.collect()] == [("94110", "007"), ("94110", "2026-08-31")]
+    assert archive.read_stored(spark, root, "sold", "94110", "007").count() == tables.sold.count()
+    shown, more = archive.history(runs, 1)
+    assert shown.first()["profile"] == "007" and more == 1
+
+
+def test_a_run_without_version_is_refused(spark):
+    runs = spark.createDataFrame([("m", "p", "x", None)], "market string, profile string, run_at string, schema_version int")
+    with pytest.raises(archive.SnapshotIncompatible):
+        archive.check_version(runs)
