@@ -41,7 +41,6 @@ BLOCK_PAGE_HEAD = 4000
 FOCUS_MAX_CHARS = 14_000
 FOCUS_HEAD = 1_500
 FOCUS_WINDOW = 900
-PAGE_MAX_CHARS = 120_000
 MAX_DIMENSION_CHARS = 100
 GEOCODE_MIN_SCORE = 85.0
 

