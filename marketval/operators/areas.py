@@ -104,7 +104,7 @@ def _labels(area: Column) -> Column:
 
 
 def area_table(
-    sold: DataFrame, active: DataFrame, profiles: Dim | DataFrame, hot: bool | None = None
+    sold: DataFrame, active: DataFrame, profiles: Dim | DataFrame
 ) -> DataFrame:
     """Six rows per dataset, four quadrants and two sides, empty ones included.
 
@@ -124,7 +124,6 @@ def area_table(
             "sold_median_ppsf": (F.col("ppsf"), 0.5),
             "sold_median_price": (F.col("sold_price"), 0.5),
         },
-        hot,
     )
     asks = (
         active.where(F.col("area").isNotNull())

@@ -9,11 +9,8 @@ from marketval.functions.text import grouped
 from marketval.operators.dedup import resolve_sales
 from marketval.operators.measures import with_profile
 from marketval.operators.quantiles import values_at_ranks
-from marketval.operators.ranking import first_per_group
 from marketval.operators.sizing import DATASET, Dim, as_dim
 
-# Spark trims row_number() limits ahead of the shuffle up to this many rows.
-RANK_LIMIT = 1000
 
 
 def window_bounds(end: Column, window_days: Column) -> Column:
@@ -181,9 +178,7 @@ def needs_lookup(sold: DataFrame, profiles: Dim | DataFrame) -> DataFrame:
 
 def lookup_targets(targets: DataFrame, limit: int) -> DataFrame:
     """The first `limit` targets of each dataset: the ceiling a run was given."""
-    if limit <= RANK_LIMIT:
-        return first_per_group(targets, DATASET, limit, [F.col("row_ord")]).drop("_at")
-    # Beyond what Spark trims ahead of the shuffle, the last allowed row_ord is selected by rank.
+    # The last allowed row_ord is selected by rank, so no dataset is sorted in one task.
     last = values_at_ranks(
         targets, DATASET, F.col("row_ord"),
         lambda n: F.array(

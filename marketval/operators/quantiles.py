@@ -1,56 +1,42 @@
-"""Exact medians and percentiles that stay exact, and distributed, for very large groups.
+"""Exact medians and percentiles, distributed, for groups of any size.
 
-`median` and `percentile` hold one value map per group in one buffer. That is the right plan
-for groups of bounded size and the wrong one for a market that holds a third of all rows, so
-hot groups go by rank: values are counted per (group, cell, value), where a cell is a narrow
-order-preserving slice of the value axis. Cumulative cell counts, a small table, say which
-cell holds each wanted rank, and only those cells are put in order.
+The built-in aggregates hold one value map per group in one buffer, which a market with a third of
+all rows does not fit. Percentiles go by rank instead: values are counted per (group, cell, value)
+with map-side combine, where a cell is a narrow order-preserving slice of the value axis. Cumulative
+cell counts, a small table, say which cell holds each wanted rank, and only those cells are put in
+order. There is one plan, whatever the size; its numbers equal those of the built-in `percentile`.
 """
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketval.operators.sizing import HOT_GROUP_ROWS, has_hot_group
-
 # Cells per e-fold of the value: about 0.012 % of the value in width.
 CELLS_PER_EFOLD = 8192
 _CELL_OFFSET = 7_000_000
+# Infinities have cells of their own, and NaN, the greatest value, the last one.
+_INFINITE, _NAN = 1 << 40, 1 << 41
 
 
 def value_cell(value: Column) -> Column:
     """Order-preserving slice number of a double."""
     v = value.cast("double")
-    depth = F.floor(F.ln(F.abs(v)) * CELLS_PER_EFOLD).cast("long") + _CELL_OFFSET
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, depth).otherwise(-depth)
+    size = F.abs(v)
+    finite = ~F.isnan(v) & (size != float("inf"))
+    depth = F.floor(F.ln(F.when(finite, size)) * CELLS_PER_EFOLD).cast("long") + _CELL_OFFSET
+    cell = F.when(v == 0, F.lit(0)).when(finite, depth).otherwise(_INFINITE)
+    return F.when(F.isnan(v), F.lit(_NAN)).when(v < 0, -cell).otherwise(cell).cast("long")
 
 
 def values_at_ranks(
-    df: DataFrame, by: list[str], value: Column, ranks: Callable[[Column], Column],
-    hot: bool = True,
+    df: DataFrame, by: list[str], value: Column, ranks: Callable[[Column], Column]
 ) -> DataFrame:
     """The values at chosen zero-based ranks of each group: by + (slot, rank, total, value).
 
-    `ranks` maps the column holding the group's size to array<struct<slot, rank>>. Groups known
-    to be of bounded size need no cells: their distinct values are put in order directly.
+    `ranks` maps the column holding the group's size to array<struct<slot, rank>>. NULL values do
+    not count, and NULL keys are a group like any other.
     """
     keep = [F.col(c) for c in by]
-    if not hot:
-        counted = (
-            df.select(*keep, value.alias("_v")).where(F.col("_v").isNotNull())
-            .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v")))
-            .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
-        )
-        return (
-            counted.withColumn("_want", F.explode(ranks(F.col("total"))))
-            .where(
-                (F.col("_want.rank") < F.col("_upto"))
-                & (F.col("_want.rank") >= F.col("_upto") - F.col("_n"))
-            )
-            .select(*keep, F.col("_want.slot").alias("slot"), F.col("_want.rank").alias("rank"),
-                    "total", F.col("_v").alias("value"))
-        )
     freq = (
         df.select(*keep, value.alias("_v"))
         .where(F.col("_v").isNotNull())
@@ -58,88 +44,65 @@ def values_at_ranks(
         .groupBy(*by, "_cell", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = Window.partitionBy(*by).orderBy("_cell")
     cells = (
         freq.groupBy(*by, "_cell")
         .agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(order))
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")))
         .withColumn("total", F.sum("_n").over(Window.partitionBy(*by)))
     )
+    rank, before = F.col("_want.rank"), F.col("_upto") - F.col("_n")
     wanted = (
         cells.withColumn("_want", F.explode(ranks(F.col("total"))))
-        .select(
-            *keep, "_cell", "total",
-            F.col("_want.slot").alias("slot"),
-            F.col("_want.rank").alias("rank"),
-            (F.col("_upto") - F.col("_n")).alias("_before"),
-            F.col("_upto").alias("_upto"),
-        )
-        .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
+        .where((rank >= before) & (rank < F.col("_upto")))
+        .groupBy(*by, "_cell")
+        .agg(F.first("total").alias("total"), F.first(before).alias("_before"), F.collect_list("_want").alias("_wants"))
     )
     cell = [*by, "_cell"]
-    ordered = freq.join(wanted.select(*cell).distinct(), cell, "left_semi").withColumn(
-        "_to", F.sum("_n").over(Window.partitionBy(*cell).orderBy("_v"))
-    )
+    here = wanted.toDF(*[f"_k{i}" for i in range(len(cell))], "total", "_before", "_wants")
+    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)]
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*cell).orderBy("_v"))
     return (
-        wanted.join(ordered.select(*cell, "_v", "_to", "_n"), cell)
-        .where(
-            (F.col("rank") - F.col("_before") < F.col("_to"))
-            & (F.col("rank") - F.col("_before") >= F.col("_to") - F.col("_n"))
-        )
-        .select(*keep, "slot", "rank", "total", F.col("_v").alias("value"))
+        freq.join(here, match)
+        .withColumn("_to", upto)
+        .withColumn("_want", F.explode("_wants"))
+        .where((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n")))
+        .select(*keep, F.col("_want.slot").alias("slot"), rank.alias("rank"), "total", F.col("_v").alias("value"))
     )
 
 
-def _by_rank(df: DataFrame, by: list[str], value: Column, points: dict[str, float]) -> DataFrame:
-    def ranks(total: Column) -> Column:
-        items = []
-        for name, q in points.items():
-            at = F.lit(q) * (total - 1)
-            for side, edge in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-                items.append(
-                    F.struct(F.lit(f"{name}|{side}").alias("slot"), edge.cast("long").alias("rank"))
-                )
-        return F.array(*items)
-
-    found = values_at_ranks(df, by, value, ranks)
-    aggs = []
-    for name, q in points.items():
-        lo = F.max(F.when(F.col("slot") == f"{name}|lo", F.col("value")))
-        hi = F.max(F.when(F.col("slot") == f"{name}|hi", F.col("value")))
-        at = F.lit(q) * (F.max("total") - 1)
-        low = F.floor(at)
-        aggs.append((lo + (hi - lo) * (at - low)).alias(name))
-    return found.groupBy(*by).agg(*aggs)
-
-
 def aggregate(
-    df: DataFrame,
-    by: list[str],
-    aggs: list[Column],
-    points: dict[str, tuple[Column, float]],
-    hot: bool | None = None,
-    limit: int = HOT_GROUP_ROWS,
+    df: DataFrame, by: list[str], aggs: list[Column], points: dict[str, tuple[Column, float]]
 ) -> DataFrame:
     """groupBy with ordinary aggregates and exact percentiles {name: (value, q)}.
 
-    `hot` says whether any group exceeds `limit` rows; when unknown it is measured.
+    All values of a row go through one shuffle, told apart by their number.
     """
-    if hot is None:
-        hot = has_hot_group(df, by, limit)
-    if not hot:
-        exact = [
-            (F.median(c) if q == 0.5 else F.percentile(c, F.lit(q))).alias(name)
-            for name, (c, q) in points.items()
-        ]
-        return df.groupBy(*by).agg(*aggs, *exact)
-    # Percentiles of one value share one pass.
-    values: dict[str, tuple[Column, dict[str, float]]] = {}
+    values: dict[str, int] = {}
+    columns = []
+    for c, _ in points.values():
+        if str(c) not in values:
+            values[str(c)] = len(columns)
+            columns.append(F.struct(F.lit(len(columns)).alias("_i"), c.cast("double").alias("_x")))
+    stacked = df.select(*by, F.explode(F.array(*columns)).alias("_e")).select(*by, "_e._i", "_e._x")
+    asked = sorted({q for _, q in points.values()})
+
+    def ranks(total: Column) -> Column:
+        ends = [f(F.lit(q) * (total - 1)).cast("long") for q in asked for f in (F.floor, F.ceil)]
+        both = F.array_distinct(F.array(*ends))
+        return F.transform(both, lambda r: F.struct(r.alias("slot"), r.alias("rank")))
+
+    found = values_at_ranks(stacked, [*by, "_i"], F.col("_x"), ranks)
+    results = []
     for name, (c, q) in points.items():
-        values.setdefault(str(c), (c, {}))[1][name] = q
-    out = df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+        mine = F.col("_i") == values[str(c)]
+        at = F.lit(q) * (F.max(F.when(mine, F.col("total"))) - 1)
+        point = F.lit(q) * (F.col("total") - 1)
+        lo, hi = (F.max(F.when(mine & (F.col("rank") == f(point)), F.col("value"))) for f in (F.floor, F.ceil))
+        # weighed as the built-in percentile weighs, so that both give the same double
+        between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
+        results.append(F.when((F.floor(at) == F.ceil(at)) | (lo == hi), lo).otherwise(between).alias(name))
     keys = [f"_k{i}" for i in range(len(by))]
-    for column, qs in values.values():
-        part = _by_rank(df, by, column, qs).toDF(*keys, *qs)
-        match = [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]
-        out = out.join(part, match, "left").drop(*keys)
-    return out.drop("_rows")
+    part = found.groupBy(*by).agg(*results).toDF(*keys, *points)
+    match = [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]
+    out = df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+    return out.join(part, match, "left").drop(*keys, "_rows")

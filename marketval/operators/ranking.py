@@ -2,24 +2,17 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketval.operators.sizing import HOT_GROUP_ROWS, cut_lineage, has_hot_group
+from marketval.operators.sizing import cut_lineage
 
 
 def rank_in_group(
-    df: DataFrame, by: list[str], order: list[Column], name: str,
-    hot: bool | None = None, limit: int = HOT_GROUP_ROWS,
+    df: DataFrame, by: list[str], order: list[Column], name: str
 ) -> DataFrame:
     """1-based position in `order` within `by`. The order must leave no ties.
 
-    A hot group is cut into ranges of the order. Rows are numbered inside a range, and the
+    All groups are cut into ranges of the order. Rows are numbered inside a range, and the
     sizes of the ranges before it, a table of one row per range and group, give the offset.
     """
-    if hot is None:
-        hot = has_hot_group(df, by, limit)
-    if not hot:
-        return df.withColumn(
-            name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
-        )
     cols = [f"_o{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(order, cols)])
     # Stored, so that a row's range cannot change between the two readings below.

@@ -1,4 +1,4 @@
-"""Measured sizes: which sides may be broadcast, which groups are hot, where lineage is cut."""
+"""Measured sizes: which sides may be broadcast, which keys are hot, where lineage is cut."""
 
 import tempfile
 from dataclasses import dataclass
@@ -10,8 +10,6 @@ DATASET = ["market", "profile"]
 
 # A dimension is broadcast only when it was counted at or below this many rows.
 BROADCAST_ROWS = 100_000
-# A group above this many rows is never handed to one aggregation buffer or one task.
-HOT_GROUP_ROWS = 1_000_000
 
 
 @dataclass
@@ -40,7 +38,7 @@ def as_dim(table: "Dim | DataFrame") -> Dim:
     return table if isinstance(table, Dim) else Dim(table)
 
 
-def has_hot_group(df: DataFrame, by: list[str], limit: int = HOT_GROUP_ROWS) -> bool:
+def has_hot_group(df: DataFrame, by: list[str], limit: int) -> bool:
     """Whether any group of `df` holds more than `limit` rows; one small aggregate is read."""
     widest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return (widest or 0) > limit

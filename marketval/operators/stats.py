@@ -9,7 +9,7 @@ from marketval.operators.quantiles import aggregate
 from marketval.operators.sizing import DATASET
 
 
-def _side(rows: DataFrame, price: str, by: list[str], hot: bool | None) -> DataFrame:
+def _side(rows: DataFrame, price: str, by: list[str]) -> DataFrame:
     core = F.when(F.col("core"), F.col("ppsf"))
     out = aggregate(
         rows,
@@ -30,7 +30,6 @@ def _side(rows: DataFrame, price: str, by: list[str], hot: bool | None) -> DataF
             "median_price": (F.col(price), 0.5),
             "core_median_ppsf": (core, 0.5),
         },
-        hot,
     )
     return out.select(
         *by, "count", "avg_ppsf", "median_ppsf", "avg_price", "median_price", "avg_size",
@@ -39,15 +38,15 @@ def _side(rows: DataFrame, price: str, by: list[str], hot: bool | None) -> DataF
     )
 
 
-def sold_stats(sold: DataFrame, by: list[str] = DATASET, hot: bool | None = None) -> DataFrame:
-    return _side(sold, "sold_price", by, hot)
+def sold_stats(sold: DataFrame, by: list[str] = DATASET) -> DataFrame:
+    return _side(sold, "sold_price", by)
 
 
-def active_stats(active: DataFrame, by: list[str] = DATASET, hot: bool | None = None) -> DataFrame:
-    return _side(active, "list_price", by, hot)
+def active_stats(active: DataFrame, by: list[str] = DATASET) -> DataFrame:
+    return _side(active, "list_price", by)
 
 
-def sold_to_ask(sold: DataFrame, by: list[str] = DATASET, hot: bool | None = None) -> DataFrame:
+def sold_to_ask(sold: DataFrame, by: list[str] = DATASET) -> DataFrame:
     """The distribution of sold over final list; reductions are counted over every sale."""
     r = F.col("ratio")
     out = aggregate(
@@ -64,7 +63,6 @@ def sold_to_ask(sold: DataFrame, by: list[str] = DATASET, hot: bool | None = Non
             F.count_if(F.col("reduced")).alias("reduced_count"),
         ],
         {"median_ratio": (r, 0.5)},
-        hot,
     )
     return out.withColumn(
         "share_at_or_above_ask", F.try_divide(F.col("at_or_above_ask"), F.col("count"))

@@ -19,7 +19,7 @@ from marketval.constants import (
 from marketval.functions import rates
 from marketval.functions.text import grouped, percent
 from marketval.operators.quantiles import aggregate, values_at_ranks
-from marketval.operators.sizing import DATASET, Dim, as_dim, has_hot_group
+from marketval.operators.sizing import DATASET, Dim, as_dim
 
 SUBJECT = [*DATASET, "subject_id"]
 
@@ -133,20 +133,19 @@ def value_subjects(
     active: DataFrame,
     subjects: Dim | DataFrame,
     profiles: Dim | DataFrame,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Five bases per subject: rate, value, sample size; the first is the primary one."""
     dims, prof = as_dim(subjects), as_dim(profiles)
     rated = F.count("ppsf")
     bracket = aggregate(
         bracket_pairs(sold, dims, prof), SUBJECT,
-        [rated.alias("_n0"), F.avg("ppsf").alias("_r1")], {"_r0": (F.col("ppsf"), 0.5)}, hot,
+        [rated.alias("_n0"), F.avg("ppsf").alias("_r1")], {"_r0": (F.col("ppsf"), 0.5)},
     )
     market = aggregate(
         sold, DATASET, [rated.alias("_n2"), F.avg("ppsf").alias("_r3")],
-        {"_r2": (F.col("ppsf"), 0.5)}, hot,
+        {"_r2": (F.col("ppsf"), 0.5)},
     )
-    asks = aggregate(active, DATASET, [rated.alias("_n4")], {"_r4": (F.col("ppsf"), 0.5)}, hot)
+    asks = aggregate(active, DATASET, [rated.alias("_n4")], {"_r4": (F.col("ppsf"), 0.5)})
     n0 = F.coalesce("_n0", F.lit(0))
     bases = F.array(
         *[
@@ -246,7 +245,6 @@ def bracket_ladder(
     sold: DataFrame,
     subjects: Dim | DataFrame,
     profiles: Dim | DataFrame,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Rates and values per rung, then every sale of the dataset as the last row."""
     dims, prof = as_dim(subjects), as_dim(profiles)
@@ -255,13 +253,13 @@ def bracket_ladder(
     side = Dim(rungs.select(*key, "attribute", "low", "high"), dims)
     plain = [F.count(F.lit(1)).alias("count"), F.avg("ppsf").alias("avg_ppsf")]
     middle = {"median_ppsf": (F.col("ppsf"), 0.5)}
-    found = aggregate(size_range_join(sold, side, F.lit(True)), key, plain, middle, hot)
+    found = aggregate(size_range_join(sold, side, F.lit(True)), key, plain, middle)
     rows = rungs.join(found, key, "left").select(
         *SUBJECT, "position", "label", "low", "high", "subject_size",
         F.coalesce("count", F.lit(0)).alias("count"), "median_ppsf", "avg_ppsf",
         "is_profile_bracket", F.lit(False).alias("is_all_sold"),
     )
-    everything = aggregate(sold, DATASET, plain, middle, hot)
+    everything = aggregate(sold, DATASET, plain, middle)
     last = (
         rungs.groupBy(*SUBJECT)
         .agg(F.max("position").alias("_last"), F.max("subject_size").alias("subject_size"))
@@ -301,7 +299,7 @@ def ladder_spread(ladder: DataFrame) -> DataFrame:
     ).drop("_anchor")
 
 
-def band_edges(sold: DataFrame, hot: bool | None = None) -> DataFrame:
+def band_edges(sold: DataFrame) -> DataFrame:
     """Per dataset the number of bands and their bounds: near-equal counts, cut at values."""
     size = F.col("metric_size")
 
@@ -321,9 +319,7 @@ def band_edges(sold: DataFrame, hot: bool | None = None) -> DataFrame:
             ),
         )
 
-    if hot is None:
-        hot = has_hot_group(sold, DATASET)
-    cuts = values_at_ranks(sold, DATASET, size, ranks, hot)
+    cuts = values_at_ranks(sold, DATASET, size, ranks)
     bounds = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("slot").cast("int").alias("i"), F.col("value")))),
         lambda s: s["value"].cast("double"),
@@ -337,11 +333,10 @@ def size_bands(
     sold: DataFrame,
     subjects: Dim | DataFrame,
     profiles: Dim | DataFrame,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Rates by size band per dataset; `subjects_in_band` counts the subjects a band holds."""
     dims, prof = as_dim(subjects), as_dim(profiles)
-    edges = band_edges(sold, hot)
+    edges = band_edges(sold)
 
     def place(x: Column) -> Column:
         # The band whose half-open range holds x; the last band also holds its upper end.
@@ -371,7 +366,6 @@ def size_bands(
             "median_size": (F.col("metric_size"), 0.5),
             "median_price": (F.col("sold_price"), 0.5),
         },
-        hot,
     )
     held = (
         subject_brackets(dims.df, prof)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.constants import BROKERAGE_FAMILIES
 from marketval.operators import agents, areas, cleaning, guidance, measures, quality, stats, valuation
-from marketval.operators.sizing import DATASET, HOT_GROUP_ROWS, Dim, as_dim, has_hot_group
+from marketval.operators.sizing import DATASET, Dim, as_dim
 
 
 @dataclass
@@ -59,40 +59,36 @@ def prepare(tables: Tables, keep: bool = False) -> Prepared:
 
 
 def analyze(
-    tables: Tables, hot: bool | None = None, keep: bool = True, prepared: Prepared | None = None
+    tables: Tables, keep: bool = True, prepared: Prepared | None = None
 ) -> dict[str, DataFrame]:
     """Every result table of a run, keyed by name. Stage order is part of the meaning:
     merging and reconciliation come before any statistic, areas after exclusion."""
     ready = prepared or prepare(tables, keep)
     sold, active = ready.sold, ready.active
     prof, subj = tables.profiles, tables.subjects
-    if hot is None:
-        hot = has_hot_group(sold, DATASET, HOT_GROUP_ROWS)
-    side_sold = stats.sold_stats(sold, hot=hot)
-    side_active = stats.active_stats(active, hot=hot)
-    valued = valuation.value_subjects(sold, active, subj, prof, hot=hot)
-    ladder = valuation.bracket_ladder(sold, subj, prof, hot=hot)
-    bands = valuation.size_bands(sold, subj, prof, hot=hot)
-    who = agents.agent_table(sold, active, tables.families, order="list_ord", hot=hot)
+    side_sold = stats.sold_stats(sold)
+    side_active = stats.active_stats(active)
+    valued = valuation.value_subjects(sold, active, subj, prof)
+    ladder = valuation.bracket_ladder(sold, subj, prof)
+    bands = valuation.size_bands(sold, subj, prof)
+    who = agents.agent_table(sold, active, tables.families, order="list_ord")
     return {
         "sold": sold,
         "active": active,
         "sold_stats": side_sold,
         "active_stats": side_active,
-        "sold_to_ask": stats.sold_to_ask(sold, hot=hot),
+        "sold_to_ask": stats.sold_to_ask(sold),
         "valuation": valued,
         "valuation_warnings": valuation.valuation_warnings(valued),
-        "guidance": guidance.build_guidance(valued, guidance.ratio_points(sold, hot=hot), prof),
-        "areas": areas.area_table(sold, active, prof, hot=hot),
+        "guidance": guidance.build_guidance(valued, guidance.ratio_points(sold), prof),
+        "areas": areas.area_table(sold, active, prof),
         "unclassified": areas.unclassified(sold, active, prof),
         "size_bands": bands,
         "size_trend": valuation.size_trend(bands),
         "ladder": ladder,
         "ladder_spread": valuation.ladder_spread(ladder),
-        "agents": agents.interview_order(who, hot=hot),
-        "brokerages": agents.brokerage_order(
-            agents.brokerage_table(sold, active, tables.families), hot=hot
-        ),
+        "agents": agents.interview_order(who),
+        "brokerages": agents.brokerage_order(agents.brokerage_table(sold, active, tables.families)),
         "attribution": stats.attribution_coverage(sold),
         "excluded": ready.cleaned.excluded,
         "reconciled": ready.cleaned.reconciled,
@@ -104,7 +100,7 @@ def analyze(
     }
 
 
-def run(tables: Tables, end: Column, hot: bool | None = None) -> dict[str, DataFrame]:
+def run(tables: Tables, end: Column) -> dict[str, DataFrame]:
     """Window, then analyze. Settings that fail validation stop the run before any row is read."""
     bad = quality.profile_problems(tables.profiles.df, tables.subjects.df)
     first = bad.first()
@@ -114,7 +110,7 @@ def run(tables: Tables, end: Column, hot: bool | None = None) -> dict[str, DataF
         cleaning.in_window(tables.sold, tables.profiles, end), tables.active, tables.profiles,
         tables.subjects, tables.geometry, tables.families,
     )
-    return analyze(windowed, hot)
+    return analyze(windowed)
 
 
 def scenarios_of(tables: Tables, scenarios: Dim | DataFrame) -> Tables:

@@ -214,7 +214,7 @@ def collected(
 
 def reopen(
     archived: Tables, profiles: DataFrame | None = None,
-    exclude_addresses: DataFrame | None = None, hot: bool | None = None, keep: bool = True,
+    exclude_addresses: DataFrame | None = None, keep: bool = True,
 ) -> dict[str, DataFrame]:
     """Analyze archived rows again, under their own settings or substituted ones.
 
@@ -232,7 +232,7 @@ def reopen(
     tables = Tables(
         sold, active, settings, archived.subjects, archived.geometry, archived.families
     )
-    out = analyze(tables, hot, keep)
+    out = analyze(tables, keep)
     if profiles is not None or exclude_addresses is not None:
         note = settings.df.select(
             *DATASET, F.lit("reanalyzed_with_changed_settings").alias("code"),

@@ -19,8 +19,7 @@ def no_active(spark, prof=None):
     return measures.active_measures(h.active(spark, []), prof or h.profiles(spark))
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_percentiles_of_any_values(spark, hot):
+def test_percentiles_of_any_values(spark):
     rng = random.Random(5)
     data = {"a": [rng.lognormvariate(4, 3) * rng.choice([-1, 1, 1]) for _ in range(997)] + [0.0] * 40,
             "b": [7.0] * 500 + [8.0], "c": [3.5], "d": [1.0, 2.0], "e": []}
@@ -28,7 +27,7 @@ def test_percentiles_of_any_values(spark, hot):
     df = spark.createDataFrame(rows, "g string, x double").repartition(6)
     got = quantiles.aggregate(
         df, ["g"], [F.count("x").alias("n")],
-        {"mid": (F.col("x"), 0.5), "p15": (F.col("x"), 0.15), "p90": (F.col("x"), 0.9)}, hot)
+        {"mid": (F.col("x"), 0.5), "p15": (F.col("x"), 0.15), "p90": (F.col("x"), 0.9)})
     for r in got.collect():
         xs = data[r["g"]]
         assert r["n"] == len(xs)
@@ -36,18 +35,24 @@ def test_percentiles_of_any_values(spark, hot):
         assert [r["mid"], r["p15"], r["p90"]] == pytest.approx(want)
 
 
-def test_hot_groups_are_measured_when_unknown(spark):
-    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
-    got = quantiles.aggregate(df, ["g"], [], {"m": (F.col("x"), 0.5)}, limit=10)
-    assert {r["g"]: r["m"] for r in got.collect()} == {0: 49.0, 1: 50.0}
+def test_percentiles_equal_the_built_in_ones_bit_by_bit(spark):
+    rng = random.Random(7)
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 1.7e308]
+    rows = [(rng.choice(["a", "b", None]), rng.uniform(-9e5, 9e5), rng.uniform(0, 2)) for _ in range(3000)]
+    rows += [(g, x, x) for g, n in (("nan", 3), ("inf", 7)) for x in odd[:n]] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    points = {f"{c}{int(q * 100)}": (F.col(c), q) for c in "xy" for q in (0.0, 0.15, 0.45, 0.5, 0.9, 1.0)}
+    want = df.groupBy("g").agg(*[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in points.items()])
+    plain = lambda d: sorted(map(repr, d.select("g", *points).collect()))
+    for parts in (1, 7):
+        assert plain(quantiles.aggregate(df.repartition(parts), ["g"], [], points)) == plain(want)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_rank_in_group_agrees_with_a_sort(spark, hot):
+def test_rank_in_group_agrees_with_a_sort(spark):
     rng = random.Random(2)
     rows = [(g, rng.randint(0, 5), rng.choice("abc") + str(i)) for i, g in enumerate("xy" * 200)]
     df = spark.createDataFrame(rows, "g string, n int, t string").repartition(5)
-    got = ranking.rank_in_group(df, ["g"], [-F.col("n"), F.col("t")], "r", hot).collect()
+    got = ranking.rank_in_group(df, ["g"], [-F.col("n"), F.col("t")], "r").collect()
     for g in "xy":
         want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["r"])
@@ -58,7 +63,7 @@ def test_rank_in_group_agrees_with_a_sort(spark, hot):
 def test_side_figures_and_core(spark):
     rows = [{"sold_price": p, "lot_sqft": s} for p, s in
             [(500000, 5000), (100000, 5000), (0, 5000), (900000, None), (300000, 0), (2000000, 5000)]]
-    got = stats.sold_stats(measured(spark, rows), hot=False).first().asDict()
+    got = stats.sold_stats(measured(spark, rows)).first().asDict()
     assert got["count"] == 6 and got["missing_metric_count"] == 3
     assert got["median_ppsf"] == 100.0 and got["avg_ppsf"] == pytest.approx((100 + 20 + 400) / 3)
     assert got["avg_size"] == 4000.0  # a zero size is a size
@@ -68,7 +73,7 @@ def test_side_figures_and_core(spark):
 def test_sold_to_ask(spark):
     rows = [{"sold_price": s, "final_list_price": f, "original_list_price": o} for s, f, o in
             [(122, 100, 100), (100, 100, 110), (85, 100, None), (500, None, None)]]
-    got = stats.sold_to_ask(measured(spark, rows), hot=False).first()
+    got = stats.sold_to_ask(measured(spark, rows)).first()
     assert (got["count"], got["at_or_above_ask"], got["at_or_above_105"], got["below_90"]) == (3, 2, 1, 1)
     assert got["max_ratio"] == 1.22 and got["reduced_count"] == 1
 
@@ -78,7 +83,7 @@ def test_valuation_is_unrounded(spark):
             {"sold_price": 100, "lot_sqft": 20000}]
     prof = h.profiles(spark)
     got = {r["basis"]: r for r in valuation.value_subjects(
-        measured(spark, rows), no_active(spark), h.subjects(spark, {"lot_sqft": 6450.0}), prof, hot=False).collect()}
+        measured(spark, rows), no_active(spark), h.subjects(spark, {"lot_sqft": 6450.0}), prof).collect()}
     rate = (80.0 + 550347.2 / 6500) / 2
     assert got["similar_size_median"]["value"] == pytest.approx(6450 * rate, abs=1e-6)
     assert got["similar_size_median"]["is_primary"] and got["similar_size_median"]["sample_size"] == 2
@@ -115,7 +120,7 @@ def test_size_slices_find_the_same_pairs(spark):
 @pytest.mark.parametrize("n, bands", [(20, 5), (7, 2), (4, 1)])
 def test_band_counts(spark, n, bands):
     rows = [{"lot_sqft": 1000 + i, "sold_price": 1000} for i in range(n)]
-    got = valuation.size_bands(measured(spark, rows), h.subjects(spark, {"lot_sqft": 1000.0}), h.profiles(spark), hot=False)
+    got = valuation.size_bands(measured(spark, rows), h.subjects(spark, {"lot_sqft": 1000.0}), h.profiles(spark))
     assert got.count() == bands and got.agg(F.sum("count")).first()[0] == n
 
 
@@ -123,7 +128,7 @@ def test_ties_on_an_edge_fall_in_one_band(spark):
     sizes = [1000] * 4 + [5000] * 9 + [9000] * 2
     rows = [{"lot_sqft": x, "sold_price": x * 100} for x in sizes]
     got = valuation.size_bands(
-        measured(spark, rows), h.subjects(spark, {"lot_sqft": 9000.0}), h.profiles(spark), hot=False).orderBy("band").collect()
+        measured(spark, rows), h.subjects(spark, {"lot_sqft": 9000.0}), h.profiles(spark)).orderBy("band").collect()
     assert sum(r["count"] for r in got) == len(sizes)
     assert [(r["low"], r["count"], r["subjects_in_band"]) for r in got] == [(1000, 4, 0), (5000, 11, 1)]
 
@@ -131,7 +136,7 @@ def test_ties_on_an_edge_fall_in_one_band(spark):
 def test_size_trend(spark):
     rows = [{"lot_sqft": 1000 + i, "sold_price": (1000 + i) * 100} for i in range(5)]
     rows += [{"lot_sqft": 9000 + i, "sold_price": (9000 + i) * 50} for i in range(5)]
-    bands = valuation.size_bands(measured(spark, rows), h.subjects(spark, {}), h.profiles(spark), hot=False)
+    bands = valuation.size_bands(measured(spark, rows), h.subjects(spark, {}), h.profiles(spark))
     assert valuation.size_trend(bands).first()["trend_pct"] == pytest.approx(100.0)
 
 
@@ -142,8 +147,8 @@ def ladder_of(spark, tolerance=0.25):
     prof = h.profiles(spark, config.vacant_land("lots", "m", similar_bracket={"tolerance": tolerance}))
     subj = h.subjects(spark, {"lot_sqft": 6450.0})
     s = measured(spark, rows, prof)
-    return (valuation.bracket_ladder(s, subj, prof, hot=False).orderBy("position").collect(),
-            {r["basis"]: r for r in valuation.value_subjects(s, no_active(spark, prof), subj, prof, hot=False).collect()})
+    return (valuation.bracket_ladder(s, subj, prof).orderBy("position").collect(),
+            {r["basis"]: r for r in valuation.value_subjects(s, no_active(spark, prof), subj, prof).collect()})
 
 
 def test_ladder_agrees_with_the_bases(spark):
@@ -175,7 +180,7 @@ def _guide(spark, anchor):
         [("m", "lots", 0, True, float(anchor))],
         "market string, profile string, subject_id long, is_primary boolean, value double")
     points = guidance.ratio_points(measured(spark, [
-        {"sold_price": 100 * r, "final_list_price": 100} for r in (0.9, 1.0, 1.02, 1.1)]), hot=False)
+        {"sold_price": 100 * r, "final_list_price": 100} for r in (0.9, 1.0, 1.02, 1.1)]))
     return {r["strategy"]: r for r in guidance.build_guidance(valued, points, h.profiles(spark)).collect()}
 
 
@@ -218,7 +223,7 @@ def test_single_waypoint_and_missing_geometry(spark):
 
 def test_area_table_always_has_six_rows(spark):
     s = measured(spark, [{"area": "NE", "sold_price": 10, "lot_sqft": 1}, {"area": "SE", "sold_price": 20, "lot_sqft": 1}, {}])
-    got = areas.area_table(s, no_active(spark), h.profiles(spark), hot=False).orderBy("position").collect()
+    got = areas.area_table(s, no_active(spark), h.profiles(spark)).orderBy("position").collect()
     assert [(r["area"], r["sold_count"]) for r in got] == [
         ("NE", 1), ("NW", 0), ("SE", 1), ("SW", 0), (areas.EAST, 2), (areas.WEST, 0)]
     assert got[4]["sold_median_ppsf"] == 15.0 and got[1]["sold_avg_ppsf"] is None
@@ -235,7 +240,7 @@ def test_agents_flags_firms_and_interview_order(spark):
     ])
     a = measures.active_measures(
         h.active(spark, [{"agent": "New", "brokerage": "Compass"}, {"agent": "Pair"}]), h.profiles(spark))
-    table = agents.agent_table(s, a, hot=False)
+    table = agents.agent_table(s, a)
     got = {r["agent"]: r for r in agents.interview_order(table).collect()}
     assert {k: r["flag"] for k, r in got.items()} == {
         "Solo": "", "Pair": "shortlist", "Cut": "caution", "Dual": "", "New": ""}

@@ -32,7 +32,7 @@ def market_tables(spark, n=60, tolerance=0.25):
 def archived(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("archive"))
     tables = market_tables(spark)
-    results = analysis.run(tables, end(), hot=False)
+    results = analysis.run(tables, end())
     keep = {k: results[k] for k in ("sold", "active", "sold_stats", "valuation", "excluded")}
     for stamp in ("20260801T000000Z", "20260905T053000Z"):
         archive.write_run(keep, tables, root, stamp, ("2026-06-02", "2026-08-31"), "recorded")
@@ -75,11 +75,11 @@ def test_a_run_listed_read_and_found(spark, archived):
 def test_reopening_gives_the_original_figures(spark, archived):
     root, results = archived
     tables = archive.collected(spark, root, h.geometry(spark), "m", "lots", "20260801T000000Z")
-    again = archive.reopen(tables, hot=False, keep=False)
+    again = archive.reopen(tables, keep=False)
     value = lambda r: {x["basis"]: x["value"] for x in r["valuation"].collect()}
     assert value(again) == pytest.approx(value(results))
     drops = spark.createDataFrame([("m", "lots", "5 Elm Street")], "market string, profile string, address string")
-    fewer = archive.reopen(tables, exclude_addresses=drops, hot=False, keep=False)
+    fewer = archive.reopen(tables, exclude_addresses=drops, keep=False)
     assert fewer["sold"].count() == again["sold"].count() - 1
     assert fewer["caveats"].where("code = 'reanalyzed_with_changed_settings'").count() == 1
 
@@ -154,10 +154,10 @@ def test_delta_text(spark):
 
 def test_missing_sorts_last_both_ways(spark):
     rows = h.sold(spark, [{"agent": "beta"}, {"agent": None}, {"agent": "Alpha"}, {"agent": "Gamma"}])
-    up = [r["agent"] for r in reports.sorted_comps(rows, "Agent").collect()]
+    up = [r["agent"] for r in reports.sorted_comps(rows, "agent", descending=False).collect()]
     assert up == ["Alpha", "beta", "Gamma", None]
     price = h.sold(spark, [{"sold_price": 1}, {}, {"sold_price": 3}])
-    assert [r["sold_price"] for r in reports.sorted_comps(price, "Price").collect()] == [3.0, 1.0, None]
+    assert [r["sold_price"] for r in reports.sorted_comps(price, "sold_price").collect()] == [3.0, 1.0, None]
 
 
 def test_sheet_columns_follow_the_profile():

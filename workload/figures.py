@@ -25,23 +25,23 @@ _VAL = "subject_size bracket_low bracket_high ppsf value"
 
 @query("agg1_sold_stats", "SELECT * FROM sold_stats", _STAT)
 def _(w):
-    return stats.sold_stats(sold_m(w), hot=w.hot)
+    return stats.sold_stats(sold_m(w))
 
 
 @query("agg1_sold_stats_by_rank", "SELECT * FROM sold_stats", _STAT)
 def _(w):
-    """The plan that hot groups take: medians by rank, no value map per group."""
-    return stats.sold_stats(sold_m(w), hot=True)
+    """Under its earlier name; every size takes this plan."""
+    return stats.sold_stats(sold_m(w))
 
 
 @query("agg2_active_stats", "SELECT * FROM active_stats", _STAT)
 def _(w):
-    return stats.active_stats(active_m(w), hot=w.hot)
+    return stats.active_stats(active_m(w))
 
 
 @query("agg3_sold_to_ask", "SELECT * FROM ratios", _RATIO)
 def _(w):
-    return stats.sold_to_ask(sold_m(w), hot=w.hot)
+    return stats.sold_to_ask(sold_m(w))
 
 
 @query("agg4_attribution_coverage", """
@@ -60,7 +60,7 @@ SELECT market, profile, u.code, u.n FROM (SELECT s.market, s.profile, unnest([
   USING (market, profile)) WHERE u IS NOT NULL""")
 def _(w):
     rows = sold_m(w)
-    return stats.caveats(rows, stats.sold_stats(rows, hot=w.hot))
+    return stats.caveats(rows, stats.sold_stats(rows))
 
 
 # -- valuation ---------------------------------------------------------------------------------
@@ -97,7 +97,7 @@ def _(w):
 
 
 def valued(w: Workload):
-    return valuation.value_subjects(sold_m(w), active_m(w), w.subjects, w.profiles, hot=w.hot)
+    return valuation.value_subjects(sold_m(w), active_m(w), w.subjects, w.profiles)
 
 
 @query("agg6_valuation", "SELECT * FROM valued", _VAL)
@@ -107,7 +107,7 @@ def _(w):
 
 @query("agg6_valuation_by_rank", "SELECT * FROM valued", _VAL)
 def _(w):
-    return valuation.value_subjects(sold_m(w), active_m(w), w.subjects, w.profiles, hot=True)
+    return valuation.value_subjects(sold_m(w), active_m(w), w.subjects, w.profiles)
 
 
 @query("agg7_valuation_warnings", """
@@ -130,17 +130,17 @@ def _edges(edges):
 
 @query("win3_band_edges", _EDGES, "edge")
 def _(w):
-    return _edges(valuation.band_edges(sold_m(w), w.hot))
+    return _edges(valuation.band_edges(sold_m(w)))
 
 
 @query("win3_band_edges_by_rank", _EDGES, "edge")
 def _(w):
-    return _edges(valuation.band_edges(sold_m(w), hot=True))
+    return _edges(valuation.band_edges(sold_m(w)))
 
 
 @query("agg8_size_bands", "SELECT * FROM bands", "low high median_ppsf avg_ppsf median_size median_price")
 def _(w):
-    return valuation.size_bands(sold_m(w), w.subjects, w.profiles, hot=w.hot)
+    return valuation.size_bands(sold_m(w), w.subjects, w.profiles)
 
 
 @query("agg9_size_trend", """
@@ -150,14 +150,14 @@ SELECT market, profile, count(median_ppsf) AS rated_bands,
   CASE WHEN count(median_ppsf) >= 2 THEN (smallest - largest) / nullif(largest, 0) * 100 END AS trend_pct
 FROM bands GROUP BY market, profile""", "smallest largest trend_pct")
 def _(w):
-    return valuation.size_trend(valuation.size_bands(sold_m(w), w.subjects, w.profiles, hot=w.hot))
+    return valuation.size_trend(valuation.size_bands(sold_m(w), w.subjects, w.profiles))
 
 
 _LAD = "low high median_ppsf avg_ppsf value_from_median value_from_avg"
 
 
-def ladder(w: Workload, hot=None):
-    return valuation.bracket_ladder(sold_m(w), w.subjects, w.profiles, hot=w.hot if hot is None else hot)
+def ladder(w: Workload):
+    return valuation.bracket_ladder(sold_m(w), w.subjects, w.profiles)
 
 
 @query("agg10_agg11_bracket_ladder", "SELECT * FROM ladder", _LAD)
@@ -178,12 +178,12 @@ def _(w):
 
 @query("agg18_ratio_percentiles", "SELECT * FROM points", "min_ratio max_ratio p15 p45 p60 p90")
 def _(w):
-    return guidance.ratio_points(sold_m(w), hot=w.hot)
+    return guidance.ratio_points(sold_m(w))
 
 
 @query("agg18_ratio_percentiles_by_rank", "SELECT * FROM points", "min_ratio max_ratio p15 p45 p60 p90")
 def _(w):
-    return guidance.ratio_points(sold_m(w), hot=True)
+    return guidance.ratio_points(sold_m(w))
 
 
 @query("gui1_gui2_price_edges", """
@@ -197,7 +197,7 @@ def _(w):
 
 
 def guided(w: Workload):
-    return guidance.build_guidance(valued(w), guidance.ratio_points(sold_m(w), hot=w.hot), w.profiles)
+    return guidance.build_guidance(valued(w), guidance.ratio_points(sold_m(w)), w.profiles)
 
 
 @query("gui3_gui4_gui5_guidance", "SELECT * FROM guided", "anchor floor list_price expected_low expected_high")
@@ -217,7 +217,7 @@ _AREA = "sold_avg_ppsf sold_median_ppsf sold_median_price sold_avg_size active_a
 @query("agg13_agg14_join11_area_table", "SELECT * FROM area_table", _AREA)
 def _(w):
     s, a = placed(w)
-    return areas.area_table(s, a, w.profiles, hot=w.hot)
+    return areas.area_table(s, a, w.profiles)
 
 
 @query("agg14_unclassified", """
@@ -234,8 +234,8 @@ def _(w):
 _AG = "avg_sold_to_ask median_sold_to_ask avg_ppsf avg_size median_size"
 
 
-def agent_rows(w: Workload, hot=None):
-    return agents.agent_table(sold_m(w), active_m(w), hot=w.hot if hot is None else hot)
+def agent_rows(w: Workload):
+    return agents.agent_table(sold_m(w), active_m(w))
 
 
 @query("agg15_agg16_join9_agents", "SELECT * FROM agents", _AG)
@@ -245,18 +245,18 @@ def _(w):
 
 @query("agg16_agents_by_rank", "SELECT * FROM agents", _AG)
 def _(w):
-    return agent_rows(w, hot=True)
+    return agent_rows(w)
 
 
 @query("win4_interview_order", "SELECT market, profile, agent, interview_rank FROM agents_ranked")
 def _(w):
-    return agents.interview_order(agent_rows(w), hot=w.hot).select(*DATASET, "agent", "interview_rank")
+    return agents.interview_order(agent_rows(w)).select(*DATASET, "agent", "interview_rank")
 
 
 @query("win4_interview_order_by_range", "SELECT market, profile, agent, interview_rank FROM agents_ranked")
 def _(w):
-    """The plan that hot groups take: ranges of the order, counted and offset."""
-    return agents.interview_order(agent_rows(w), hot=True).select(*DATASET, "agent", "interview_rank")
+    """Under its earlier name; every size takes this plan."""
+    return agents.interview_order(agent_rows(w)).select(*DATASET, "agent", "interview_rank")
 
 
 @query("agg17_join10_brokerages", "SELECT * FROM brokerages", "share")
@@ -268,22 +268,22 @@ def _(w):
 SELECT market, profile, family, row_number() OVER (PARTITION BY market, profile ORDER BY closings DESC, family) AS position
 FROM brokerages""")
 def _(w):
-    ranked = agents.brokerage_order(agents.brokerage_table(w.sold, w.active), hot=w.hot)
+    ranked = agents.brokerage_order(agents.brokerage_table(w.sold, w.active))
     return ranked.select(*DATASET, "family", "position")
 
 
 @query("srt2_comp_order", """
 SELECT market, profile, row_ord, agent FROM sold ORDER BY lower(agent) ASC NULLS LAST, row_ord""")
 def _(w):
-    return reports.sorted_comps(w.sold, "Agent").select(*DATASET, "row_ord", "agent")
+    return reports.sorted_comps(w.sold, "agent", descending=False).select(*DATASET, "row_ord", "agent")
 
 
 @query("srt3_agent_order", """
 SELECT market, profile, agent, active_listings, interview_rank FROM agents_ranked
 ORDER BY active_listings DESC NULLS LAST, interview_rank""")
 def _(w):
-    ranked = agents.interview_order(agent_rows(w), hot=w.hot)
-    return reports.sorted_agents(ranked, "Live").select(*DATASET, "agent", "active_listings", "interview_rank")
+    ranked = agents.interview_order(agent_rows(w))
+    return reports.sorted_agents(ranked, "active_listings").select(*DATASET, "agent", "active_listings", "interview_rank")
 
 
 # -- quality -----------------------------------------------------------------------------------
@@ -292,7 +292,7 @@ def _(w):
 SELECT p.market, p.profile, coalesce(n, 0) AS sold_count, coalesce(n, 0) > 0 AS passes FROM profiles p
 LEFT JOIN (SELECT market, profile, count(*) AS n FROM sold GROUP BY ALL) USING (market, profile)""")
 def _(w):
-    return quality.empty_runs(w.profiles, stats.sold_stats(sold_m(w), hot=w.hot))
+    return quality.empty_runs(w.profiles, stats.sold_stats(sold_m(w)))
 
 
 @query("pred18_profile_conformance", """
@@ -348,7 +348,7 @@ FROM profiles p JOIN sold_stats s USING (market, profile) LEFT JOIN active_stats
 WHERE core_min IS NOT NULL OR core_max IS NOT NULL""", "low high sold_median_ppsf sold_avg_ppsf active_median_ppsf")
 def _(w):
     return reports.core_figures(
-        stats.sold_stats(sold_m(w), hot=w.hot), stats.active_stats(active_m(w), hot=w.hot), w.profiles
+        stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w)), w.profiles
     )
 
 
@@ -362,7 +362,7 @@ LEFT JOIN (SELECT market, profile, subject_id, max(list_price) FILTER (recommend
   USING (market, profile, subject_id)""", "valuation median_ppsf suggested_list at_market floor")
 def _(w):
     return reports.headline(
-        stats.sold_stats(sold_m(w), hot=w.hot), stats.active_stats(active_m(w), hot=w.hot), valued(w), guided(w)
+        stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w)), valued(w), guided(w)
     )
 
 
@@ -397,7 +397,7 @@ UNION ALL SELECT p.market, p.profile, 'no sold comps' FROM profiles p WHERE NOT
 UNION ALL SELECT market, profile, 'few sold comps' FROM sold GROUP BY market, profile HAVING count(*) < 10""")
 def _(w):
     return quality.run_warnings(
-        w.profiles, stats.sold_stats(sold_m(w), hot=w.hot), stats.active_stats(active_m(w), hot=w.hot)
+        w.profiles, stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w))
     )
 
 
@@ -474,8 +474,8 @@ UNION ALL SELECT market, profile, section, u.key, u.label, u.v, NULL FROM {_long
 UNION ALL SELECT market, profile, 'value', subject_id || ':' || basis, basis, value, NULL FROM valued""", "sold active")
 def _(w):
     return reports.summary(
-        stats.sold_stats(sold_m(w), hot=w.hot), stats.active_stats(active_m(w), hot=w.hot),
-        stats.sold_to_ask(sold_m(w), hot=w.hot), valued(w),
+        stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w)),
+        stats.sold_to_ask(sold_m(w)), valued(w),
     )
 
 
@@ -492,7 +492,7 @@ SELECT market, profile, interview_rank, agent, coalesce(brokerage, '—') AS bro
   avg_size, flag || CASE WHEN dual_agency THEN ' - dual agency' ELSE '' END AS pattern FROM agents_ranked""",
        "avg_sold_to_ask avg_ppsf avg_size")
 def _(w):
-    return reports.agents_report(agents.interview_order(agent_rows(w), hot=w.hot))
+    return reports.agents_report(agents.interview_order(agent_rows(w)))
 
 
 @query("snk8_brokerages_report", "SELECT market, profile, family, closings, share FROM brokerages", "share")
@@ -521,30 +521,30 @@ def prepared(w: Workload) -> analysis.Prepared:
 
 @query("run1_run_sold_stats", f"SELECT * FROM ({stats_sql('r_sold', 'sold_price')})", _STAT)
 def _(w):
-    return stats.sold_stats(prepared(w).sold, hot=w.hot)
+    return stats.sold_stats(prepared(w).sold)
 
 
 @query("run1_run_active_stats", f"SELECT * FROM ({stats_sql('r_active', 'list_price')})", _STAT)
 def _(w):
-    return stats.active_stats(prepared(w).active, hot=w.hot)
+    return stats.active_stats(prepared(w).active)
 
 
 @query("run1_run_valuation", "SELECT * FROM r_valued", _VAL)
 def _(w):
     ready = prepared(w)
-    return valuation.value_subjects(ready.sold, ready.active, w.subjects, w.profiles, hot=w.hot)
+    return valuation.value_subjects(ready.sold, ready.active, w.subjects, w.profiles)
 
 
 @query("run1_run_areas", f"SELECT * FROM ({areas_sql('r_sold', 'r_active')})", _AREA)
 def _(w):
     ready = prepared(w)
-    return areas.area_table(ready.sold, ready.active, w.profiles, hot=w.hot)
+    return areas.area_table(ready.sold, ready.active, w.profiles)
 
 
 @query("run1_run_agents", f"SELECT * FROM ({agents_sql('r_sold', 'r_active', 'grp_ord, slot_ord')})", _AG)
 def _(w):
     ready = prepared(w)
-    return agents.agent_table(ready.sold, ready.active, order="list_ord", hot=w.hot)
+    return agents.agent_table(ready.sold, ready.active, order="list_ord")
 
 
 @query("run6_excluded", """
@@ -592,7 +592,7 @@ def _(w):
     many = analysis.scenarios_of(w.tables(), scenario_rows(w))
     s = measures.sold_measures(many.sold, many.profiles)
     a = measures.active_measures(many.active, many.profiles)
-    out = valuation.value_subjects(s, a, many.subjects, many.profiles, hot=w.hot)
+    out = valuation.value_subjects(s, a, many.subjects, many.profiles)
     first = out.where((F.col("basis") == "all_sold_median") & F.col("profile").endswith("#1"))
     return first.select(*DATASET, "subject_id", "subject_size", "ppsf", "value", "sample_size")
 
@@ -607,7 +607,7 @@ def _archived(w: Workload, *names: str) -> str:
         tables = analysis.Tables(s, a, w.profiles, w.subjects, w.geometry)
         sm = measures.sold_measures(s, w.profiles)
         am = measures.active_measures(a, w.profiles)
-        results = {"sold": sm, "active": am, "sold_stats": stats.sold_stats(sm, hot=w.hot)}
+        results = {"sold": sm, "active": am, "sold_stats": stats.sold_stats(sm)}
         chosen = {n: results[n] for n in names}
         archive.write_run(chosen, tables, root, stamp, ("1995-01-01", day), "recorded")
     return root
@@ -681,7 +681,7 @@ def _(w):
 @query("run4_run7_run8_reopen", f"SELECT * FROM ({stats_sql('o_sold', 'sold_price')})", _STAT)
 def _(w):
     tables = archive.collected(w.spark, _archived(w, "sold", "active"), w.geometry.df, stamp="20010701T013000Z")
-    return stats.sold_stats(analysis.prepare(tables).sold, hot=w.hot)
+    return stats.sold_stats(analysis.prepare(tables).sold)
 
 
 @query("join13_src13_resolve_profiles", """

@@ -765,7 +765,7 @@ _FIG = {
 def _stat_cut(w, rows):
     from marketval.operators import stats
 
-    return stats.sold_stats(measures.sold_measures(rows, w.profiles), hot=w.hot)
+    return stats.sold_stats(measures.sold_measures(rows, w.profiles))
 
 
 def stat_cut_sql(day: str) -> str:
