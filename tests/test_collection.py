@@ -233,11 +233,18 @@ def test_market_file_as_tables(spark):
         "profiles": {"a": {"window_days": 60, "subject": {"lot_sqft": 6450}, "similar_bracket": {"explicit_range": [5000, 8000]}},
                      "b": {"metric": "living_sqft", "exclusions": {"max_lot_sqft": None}}},
         "geometry": {"ns_centerline": [{"lon": -100, "lat": 40}], "ew_longitude": -100},
-        "sources": [{"name": "idx", "side": "active", "search": "x"}]})
+        "sources": [{"name": "idx", "side": "active", "search": "x", "embedded": {"fields": {"beds": "b"}}}]})
     rows = {r["profile"]: r for r in t["profiles"].collect()}
     assert (rows["a"]["similar_bracket"]["explicit_low"], rows["a"]["window_days"]) == (5000.0, 60)
     assert rows["b"]["exclusions"]["max_lot_sqft"] is None and rows["b"]["exclusions"]["core_max_ppsf"] == 150.0
     s = t["sources"].first()
-    assert (s["enabled"], s["rate_limit_seconds"], s["side"], s["config"]) == (True, 2.0, "active", {"search": "x"})
+    assert (s["enabled"], s["rate_limit_seconds"], s["side"], s["config"]) == (True, 2.0, "active", {"search": "x", "embedded": '{"fields":{"beds":"b"}}'})
+    assert rows["b"]["similar_bracket"]["tolerance"] == 0.25 and rows["b"]["metric"] == "living_sqft"
+    first, second = t["subjects"].orderBy("subject_id").collect()
+    assert (first["lot_sqft"], first["label"], first["profile"]) == (6450.0, "Your property", "a")
+    assert (second["lot_sqft"], second["profile"], second["market"]) == (None, "b", "m")
+    g = t["geometry"].first()
+    assert (g["ew_longitude"], g["ns_centerline"][0].asDict()) == (-100.0, {"name": "", "lon": -100.0, "lat": 40.0})
+    assert t["markets"].first()["fixture_dir"] == "fixtures"
     with pytest.raises(ValueError):
         config.market_tables(spark, {"market": {}})
