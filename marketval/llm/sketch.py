@@ -12,8 +12,8 @@ The likeness of two texts is what their digests have in common over all their di
 counts and the recovered differences; two texts without paragraphs are alike (1). The fingerprint
 written out is the sketch of size `BASE`, its cells in hexadecimal behind the number of digests.
 
-Null texts are empty and have no paragraphs. Documents follow each other by descending doc_id, then
-by text (nulls last); repeated rows follow each other. A single document is its own next.
+Null texts are empty and have no paragraphs. Documents follow each other by descending doc_id (nulls
+last), then by text; repeated rows follow each other. A single document is its own next.
 """
 
 from functools import reduce
@@ -98,36 +98,47 @@ def peeled(pairs: DataFrame, key: list[str]) -> DataFrame:
     return state.groupBy(*key).agg(F.sum("found").alias("differing"), F.sum(unresolved.cast("long")).alias("open"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """`doc_id, text, next_text`, dealt by blocks of ids, so that each text moves once."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """`doc_id, text, block, first, next_text`: texts move once, dealt by blocks of ids. The last
+    document of a block has no next one yet; `first` marks the one that a block begins with."""
+    # null ids go last: they form the lowest block
     block = F.coalesce(F.shiftright("doc_id", SPAN_BITS), F.lit(-(1 << 62)))
-    # nulls go last: they form the lowest block
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block)
-    dealt = rows.repartition(partitions(docs.sparkSession), "block")
-    firsts = docs.select("doc_id").withColumn("block", block).groupBy("block").agg(F.max("doc_id").alias("first_id"))
-    ordered, n = numbered(firsts, [F.desc("block")], "at")
-    ordered = stored(ordered)
-    behind = ordered.select(F.pmod(F.col("at") - 1, F.lit(max(n, 1)).cast("long")).alias("at"),
-                            F.col("block").alias("next_block"), F.col("first_id").alias("next_id"))
-    wanted = ordered.select("block", "at").join(behind, "at").select(F.col("block").alias("for_block"), F.col("next_block").alias("block"), "next_id")
-    heads = (dealt.join(wanted, "block").where(F.col("doc_id").eqNullSafe(F.col("next_id")))
-             .groupBy("for_block").agg(F.min("text").alias("head")).withColumnRenamed("for_block", "block"))
     order = W.partitionBy("block").orderBy(F.desc("doc_id"), "text")
-    inside = dealt.withColumn("inside", F.lead("text").over(order))
-    return inside.join(heads, "block", "left").select("block", "doc_id", "text", F.coalesce("inside", "head").alias("next_text"))
+    return rows.repartition(partitions(docs.sparkSession), "block").select(
+        "*", F.lag(F.lit(True)).over(order).isNull().alias("first"), F.lead("text").over(order).alias("next_text"))
 
 
-def likenesses(docs: DataFrame) -> DataFrame:
-    """One row per document: the contract's columns."""
+def described(rows: DataFrame, keep: list[str | Column]) -> DataFrame:
+    """What the comparison needs of each text, of its edited text and of the next document's."""
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = with_next(docs).withColumn("edited", edited)
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("next"))
-    rows = rows.withColumns({"fingerprint": written(F.col("own")), "edited_fingerprint": written(F.col("changed"))})
-    kept = stored(rows.select("*", F.monotonically_increasing_id().alias("id")))
+    found = rows.withColumn("edited", edited).select(
+        *keep, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("next"))
+    return found.withColumns({"fingerprint": written(F.col("own")), "edited_fingerprint": written(F.col("changed"))})
+
+
+def with_digests(docs: DataFrame) -> DataFrame:
+    """Every document `described`, with an `id` of its row. Where a block ends, the next document is
+    the first of the next block: only the texts at both ends of a block are kept for that."""
+    last = F.col("next_text").isNull()
+    ends = F.when(F.col("first") | last, F.col("text")).alias("text")
+    kept = stored(described(in_blocks(docs), ["block", "first", last.alias("last"), ends, F.monotonically_increasing_id().alias("id")]))
+    ordered, n = numbered(kept.select("block").distinct(), [F.desc("block")], "at")
+    ordered = stored(ordered)
+    following = ordered.select(F.pmod(F.col("at") - 1, F.lit(max(n, 1)).cast("long")).alias("at"), F.col("block").alias("next_block"))
+    heads = kept.where("first").select(F.col("block").alias("next_block"), F.col("text").alias("next_text"))
+    tails = (kept.where("last").select("id", "doc_id", "block", "text")
+             .join(ordered.select("block", "at").join(following, "at"), "block").join(heads, "next_block"))
+    rest = kept.where(~F.col("last")).drop("block", "first", "last", "text")
+    return rest.unionByName(stored(described(tails, ["id"])))
 
+
+def likenesses(docs: DataFrame) -> DataFrame:
+    """One row per document: the contract's columns."""
+    kept = with_digests(docs)
     settled, level = [], 0
     pair = F.explode(F.array(F.struct(F.lit("edited").alias("pair"), F.col("changed").alias("right")),
                              F.struct(F.lit("next").alias("pair"), F.col("next").alias("right"))))
