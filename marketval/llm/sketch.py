@@ -117,7 +117,8 @@ def described(rows: DataFrame, keep: list[str | Column]) -> DataFrame:
     found = rows.withColumn("edited", edited).select(
         *keep, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("next"))
-    return found.withColumns({"fingerprint": written(F.col("own")), "edited_fingerprint": written(F.col("changed"))})
+    counts = {f"n_{k}": F.size(k) for k in ("own", "changed", "next")}
+    return found.withColumns(counts | {"fingerprint": written(F.col("own")), "edited_fingerprint": written(F.col("changed"))})
 
 
 def with_digests(docs: DataFrame) -> DataFrame:
@@ -140,30 +141,30 @@ def likenesses(docs: DataFrame) -> DataFrame:
     """One row per document: the contract's columns."""
     kept = with_digests(docs)
     settled, level = [], 0
-    pair = F.explode(F.array(F.struct(F.lit("edited").alias("pair"), F.col("changed").alias("right")),
-                             F.struct(F.lit("next").alias("pair"), F.col("next").alias("right"))))
-    waiting = kept.select("id", F.col("own").alias("left"), pair.alias("p")).select("id", "p.pair", "left", "p.right")
+    waiting = kept.select("id", "own", "changed", "next", F.array(F.lit("edited"), F.lit("next")).alias("todo"))
     while True:
-        size = size_for(F.greatest(F.size("left"), F.size("right"))) * (1 << level)
         # the first attempt holds the cells of all texts: parts small enough to aggregate in memory
         parts = partitions(docs.sparkSession) * (1 if level else 4)
-        tried = waiting.repartition(parts, "id").withColumn("size", size)
-        result = stored(peeled(tried, ["id", "pair"]))
+        right = F.when(F.col("pair") == "edited", F.col("changed")).otherwise(F.col("next"))
+        tried = waiting.repartition(parts, "id").withColumn("pair", F.explode("todo")).select(
+            "id", "pair", F.col("own").alias("left"), right.alias("right"))
+        size = size_for(F.greatest(F.size("left"), F.size("right"))) * (1 << level)
+        result = stored(peeled(tried.withColumn("size", size), ["id", "pair"]))
         settled.append(result.where("open = 0"))
-        again = result.where("open > 0").select("id", "pair")
+        again = stored(result.where("open > 0").groupBy("id").agg(F.collect_set("pair").alias("todo")))
         if again.isEmpty():
             break
-        waiting, level = waiting.join(again, ["id", "pair"]), level + 1
+        waiting, level = stored(waiting.drop("todo").join(again, "id")), level + 1
     found = reduce(DataFrame.unionByName, settled).groupBy("id").agg(
         *[F.max(F.when(F.col("pair") == k, F.col("differing"))).alias(f"apart_{k}") for k in ("edited", "next")])
 
     def near(other: str, differing: str) -> Column:
-        both, apart = F.size("own") + F.size(other), F.coalesce(differing, F.lit(0).cast("long"))
+        both, apart = F.col("n_own") + F.col(other), F.coalesce(differing, F.lit(0).cast("long"))
         return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart))
 
     return kept.join(found, "id", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        near("changed", "apart_edited").alias("near_edited"), near("next", "apart_next").alias("near_next"))
+        near("n_changed", "apart_edited").alias("near_edited"), near("n_next", "apart_next").alias("near_next"))
 
 
 @query("op2_lookup_sketch")
