@@ -102,6 +102,16 @@ def test_sketch_against_sets(spark):
     assert rows(sketch.likenesses(empty(spark))) == []
 
 
+def test_sketch_of_repeated_rows_over_block_ends(spark):
+    """Repeated rows follow each other, blocks of ids of one row meet, clashing columns are not read."""
+    ids = [5, 5, 300, 900, None]
+    data = [(i, f"A {i or 0}. Both.", "x", True, 1) for i in ids]
+    got = rows(sketch.likenesses(spark.createDataFrame(data, "doc_id long, text string, block string, first boolean, id int")))
+    like = sorted((r["doc_id"] or 0, round(r["near_next"], 6)) for r in got)
+    assert like == [(0, 0.333333), (5, 0.333333), (5, 1.0), (300, 0.333333), (900, 0.333333)]
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 5}) == 1
+
+
 def test_bpe_equals_the_library(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
