@@ -4,8 +4,10 @@ Sources in code point order (null last) weigh 5, 2, 1, repeating. They share `sc
 words; a source's target stops at twice its words, and the excess is shared anew by weight. A source
 gives whole passes over its documents, then fills the remaining budget with distinct documents:
 from counts per exact length it takes the same share of each length, then the longest that still
-fit, and a bounded-knapsack dynamic programme closes the last `window` words as nearly as any
-subset of the remaining lengths can. Within a length the documents with the least seeded hash are taken.
+fit, and a bounded-knapsack dynamic programme over the remaining lengths, however long, closes the
+last `window` words. Where that misses the budget, less is taken ahead and the programme is run
+again over `WIDEN` times the window, in the end over the whole budget, so that the fill is as near
+as that of any subset. Within a length the documents with the least seeded hash are taken.
 
 Per source, one task holds the counts per length, which are as many as there are different lengths,
 however many documents there are. Documents are ranked in 4,096 hash ranges per length, so that a
@@ -16,6 +18,8 @@ passes of their source. Rows that share a doc_id are ranked next to each other a
 An empty table gives an empty result; a source without words has target 0.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,8 +31,9 @@ from marketval.llm.registry import query
 WEIGHTS = (5, 2, 1)
 SCALE = 1.5
 REPEATS = 2
-#: Words that the dynamic programme closes at the end; its table has one bit for each.
+#: Words that the dynamic programme closes at first; its tables take six bytes for each.
 WINDOW = 8192
+WIDEN = 8
 SEED = 7
 RANGES = 4096
 SPACE = np.zeros(256, bool)
@@ -87,39 +92,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, scale: float = SCALE, repeats: in
 
 def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
     """How many of each length to take so that their sum comes as near to `budget` from below as
-    the method can; `lengths` descend and are positive."""
-    whole = sum(n * c for n, c in zip(lengths, counts))
-    if budget >= whole:
+    any choice can; `lengths` descend and are positive."""
+    if budget >= sum(n * c for n, c in zip(lengths, counts)):
         return list(counts)
+    unit = math.gcd(*lengths)  # sums between its multiples do not exist
+    lengths, budget = [n // unit for n in lengths], budget // unit
+    while True:
+        taken, gap = closed(lengths, counts, budget, window)
+        if not gap or window >= budget:  # met, or nothing was taken ahead of the programme
+            return taken
+        window *= WIDEN
+
+
+def closed(lengths: list[int], counts: list[int], budget: int, window: int) -> tuple[list[int], int]:
+    """As `fit`, with all but about the last `window` words taken ahead of the programme, and how
+    much of the budget is left; the best there is where the window holds the budget."""
+    whole = sum(n * c for n, c in zip(lengths, counts))
     taken = [c * budget // whole if budget > window else 0 for c in counts]
     left = budget - sum(n * k for n, k in zip(lengths, taken))
     for i, n in enumerate(lengths):
         if left <= window:
             break
-        more = min(counts[i] - taken[i], (left - window // 2) // n if left > window // 2 else 0)
+        more = min(counts[i] - taken[i], (left - window // 2) // n)
         taken[i] += more
         left -= n * more
-    if left > window:  # only lengths beyond the window remain: take them while they fit
-        for i, n in enumerate(lengths):
-            more = min(counts[i] - taken[i], left // n)
-            taken[i] += more
-            left -= n * more
-    reach, steps, mask = 1, [], (1 << (min(left, window) + 1)) - 1
+    # lengths that are left over may be longer than the window: the programme covers all of `left`
+    reach, by = np.zeros(left + 1, bool), np.zeros(left + 1, np.int32)
+    reach[0], steps = True, []
     for i, n in enumerate(lengths):
-        room = min(counts[i] - taken[i], left // n if n <= mask.bit_length() else 0)
-        piece = 1
-        while room > 0 and not reach >> left & 1:
+        room, piece = min(counts[i] - taken[i], left // n), 1
+        while room > 0 and not reach[left]:
             k = min(piece, room)
-            steps.append((i, k, reach))
-            reach |= (reach << (n * k)) & mask
+            new = np.flatnonzero(reach[:left + 1 - n * k] & ~reach[n * k:]) + n * k
+            reach[new], by[new] = True, len(steps)
+            steps.append((i, k))
             room -= k
             piece *= 2
-    at = (reach & mask).bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += k
-            at -= lengths[i] * k
-    return taken
+    at = int(np.flatnonzero(reach)[-1])
+    gap = left - at
+    while at:  # what a step reached first comes from a sum that an earlier step reached
+        i, k = steps[by[at]]
+        taken[i] += k
+        at -= lengths[i] * k
+    return taken, gap
 
 
 def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS, scale: float = SCALE, repeats: int = REPEATS,

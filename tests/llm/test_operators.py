@@ -189,6 +189,27 @@ def test_subset_sums_are_the_best_there_are():
         assert sum(n * k for n, k in zip(lengths, taken)) == max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize("lengths, budget, best", [
+    ([50000, 40000, 30000], 72000, 70000), ([20000, 15000, 14000, 3000], 29500, 29000), ([9000, 7000, 6000], 13500, 13000)])
+def test_subset_sums_of_long_documents(lengths, budget, best):
+    taken = mixing.fit(lengths, [1] * len(lengths), budget)
+    assert max(taken) <= 1 and sum(n * k for n, k in zip(lengths, taken)) == best
+
+
+def test_subset_sums_beyond_the_window_are_the_best_there_are():
+    rng = np.random.default_rng(8)
+    for most in (3000, 20_000, 100_000):
+        for _ in range(30):
+            lengths = sorted({int(x) for x in rng.integers(most // 4, most, 5)}, reverse=True)
+            counts, sums = [int(x) for x in rng.integers(1, 4, len(lengths))], {0}
+            for n, c in zip(lengths, counts):
+                sums = {s + n * k for s in sums for k in range(c + 1)}
+            budget = int(rng.integers(0, max(sums) + 5))
+            taken = mixing.fit(lengths, counts, budget)
+            assert all(0 <= k <= c for k, c in zip(taken, counts))
+            assert sum(n * k for n, k in zip(lengths, taken)) == max(s for s in sums if s <= budget)
+
+
 def test_language_on_held_out_rows(spark, docs):
     got = rows(QUERIES["op7_word_first_language"](spark, FOLDER).join(docs.select("doc_id", "lang"), "doc_id"))
     held = [r for r in got if r["held_out"]]
