@@ -291,7 +291,9 @@ def runs_by_document(first: np.ndarray, last: np.ndarray, ends: np.ndarray):
     begin = 0
     for end in ends.tolist():
         lo, hi = np.searchsorted(last, begin, "right"), np.searchsorted(first, end, "left")
-        yield begin, end, np.maximum(first[lo:hi], begin), np.minimum(last[lo:hi], end)
+        a, b = np.maximum(first[lo:hi], begin), np.minimum(last[lo:hi], end)
+        some = a < b  # a run over the place of an empty document holds nothing of it
+        yield begin, end, a[some], b[some]
         begin = end
 
 

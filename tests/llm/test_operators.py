@@ -250,6 +250,20 @@ def test_repeats_against_all_strings(spark, docs):
     assert rows(substrings.repeats(empty(spark), ["doc_id"])) == []
 
 
+def test_runs_leave_out_empty_documents():
+    cut = substrings.runs_by_document(np.array([0]), np.array([160]), np.array([80, 80, 160]))
+    assert [(a, b, f.tolist(), l.tolist()) for a, b, f, l in cut] == [(0, 80, [0], [80]), (80, 80, [], []), (80, 160, [80], [160])]
+
+
+def test_repeats_with_empty_texts_between_copies(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "LEAST", 1)  # all in one group, in the order of the ids
+    copy = "".join(map(chr, np.random.default_rng(9).integers(97, 123, 80)))
+    data = [(1, copy), (2, copy), (3, ""), (4, copy), (5, None), (6, copy), (7, "x" + copy[:60]), (8, ""), (9, copy[5:70] + "y")]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in rows(substrings.repeats(spark.createDataFrame(data, "doc_id long, text string"), ["doc_id"]))}
+    assert got == covered({i: t or "" for i, t in data}) and got[3][1:3] == got[5][1:3] == (0, 0)
+
+
 def test_long_documents_are_hashed_in_parts(monkeypatch):
     rng = np.random.default_rng(6)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
