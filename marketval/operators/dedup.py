@@ -71,9 +71,13 @@ def _fold_rows(rows: Column) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def _close(a, b, tolerance: float) -> bool:
-    if a != a or b != b or a == b:  # a missing figure contradicts nothing
+def _close(a: float | None, b: float | None, tolerance: float) -> bool:
+    """`rates.close`, with True where a figure is missing: it contradicts nothing. NaN is not
+    missing: it is like itself only."""
+    if a is None or b is None or a == b:
         return True
+    if a != a or b != b:
+        return a != a and b != b
     return abs(a - b) / max(abs(a), abs(b)) <= tolerance
 
 
@@ -84,7 +88,7 @@ class _Sales:
         self.now: list[list] = []
         self.changed: list[int] = []
 
-    def twin(self, price: float, size: float) -> list | None:
+    def twin(self, price: float | None, size: float | None) -> list | None:
         for sale in self.now:
             if _close(sale[2], price, SAME_PRICE_TOLERANCE) and _close(
                 sale[3], size, SAME_SIZE_TOLERANCE
@@ -92,7 +96,7 @@ class _Sales:
                 return sale
         return None
 
-    def add(self, at: int, price: float, size: float, score: int) -> tuple[int, bool]:
+    def add(self, at: int, price: float | None, size: float | None, score: int) -> tuple[int, bool]:
         """Returns the row's sale and whether it joined one that was there."""
         twin = self.twin(price, size)
         if twin is None:
@@ -105,11 +109,15 @@ class _Sales:
         return twin[0], True
 
 
+def _figures(pdf: pd.DataFrame, name: str) -> list[float | None]:
+    values, known = pdf[name].astype(float).tolist(), pdf[f"{name}_known"].tolist()
+    return [v if k else None for v, k in zip(values, known)]
+
+
 def _rows(pdf: pd.DataFrame):
     pdf = pdf.sort_values("_ord")
     return zip(
-        pdf["_ord"].tolist(), pdf["_price"].astype(float).tolist(),
-        pdf["_size"].astype(float).tolist(), pdf["_score"].tolist(),
+        pdf["_ord"].tolist(), _figures(pdf, "_price"), _figures(pdf, "_size"), pdf["_score"].tolist()
     )
 
 
@@ -147,7 +155,9 @@ def _explain(pdf: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
 
 def _hot_fates(slim: DataFrame, key: list[str]) -> DataFrame:
     """Fates of rows under hot keys; `slim` is key + (_ord, _price, _size, _score, _rows)."""
-    fields = ["_ord", "_price", "_size", "_score"]
+    fields = ["_ord", "_price", "_size", "_score", "_price_known", "_size_known"]
+    # pandas shows a missing figure and NaN alike.
+    slim = slim.withColumns({f"{c}_known": F.col(c).isNotNull() for c in ("_price", "_size")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
     chunks = F.ceil(F.col("_rows") / CHUNK_ROWS).cast("long")
     rows = cut_lineage(slim.withColumn("_chunk", F.pmod(F.xxhash64("_ord"), chunks)))

@@ -98,6 +98,36 @@ def test_against_the_walk_in_any_partitioning(spark, limit, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [10_000, 25, 2])
+def test_not_a_number_is_not_missing_at_any_size(spark, limit, monkeypatch):
+    """NaN is like itself only; the JVM fold and the fold of hot keys agree row for row."""
+    monkeypatch.setattr(dedup, "CHUNK_ROWS", 15)
+    monkeypatch.setattr(dedup, "FAN_IN", 2)
+    nan, rng = float("nan"), random.Random(12)
+    three = [{"address": "1 Oak St", "sold_price": p, "lot_sqft": 5000.0} for p in (100.0, nan, 200.0)]
+    odd = [(rng.choice([p, nan, float("inf")]), rng.choice([s, nan, 0.0]), c) for p, s, c in _random_rows(rng, 120)]
+    got = resolved(spark, three + _as_sold(1, odd), limit=limit)
+    assert kept(got)[:3] == [0, 1, 2]
+    fates = [tuple(r) for r in got.select("row_ord", "grp_ord", "slot_ord", "is_duplicate", "is_kept").orderBy("row_ord").collect()]
+
+    def near(a, b, tol):
+        if a is None or b is None or a == b or a != a and b != b:
+            return True
+        return a == a and b == b and abs(a - b) / max(abs(a), abs(b)) <= tol
+
+    slots, want = [], []
+    for i, (p, s, c) in enumerate(odd, 3):
+        c += s is not None
+        twin = next((k for k in slots if near(k["p"], p, 0.005) and near(k["s"], s, 0.05)), None)
+        want.append((i, 3, i if twin is None else twin["slot"], twin is not None))
+        if twin is None:
+            slots.append({"slot": i, "o": i, "p": p, "s": s, "c": c})
+        elif c > twin["c"]:
+            twin.update(o=i, p=p, s=s, c=c)
+    final = {k["o"] for k in slots}
+    assert fates[3:] == [(*w, w[0] in final) for w in want]
+
+
 def test_exclusion_reasons_and_reconciliation(spark):
     from marketval.sources import config
 
