@@ -3,16 +3,18 @@
 In each of `passes` passes every vector gets a string of random hash bits (the sides of random
 hyperplanes) and vectors of one label are put in the order of these strings; a vector is compared
 with its neighbours in that order. The window is the run of neighbours that share the string's first
-t bits, where t grows with the logarithm of the largest label, so that a run of unrelated vectors
-holds about `window` of them at any size. A window of a fixed number of places would drop links
+t bits, where t grows with the logarithm of the label's size, so that a run of unrelated vectors
+holds about `window` of them at any size; labels of up to window * 2 ** `SHARED` vectors have one t. A window of a fixed number of places would drop links
 among many close vectors; a run has no such limit. Runs over `block` vectors are cut into blocks and
 each pair of blocks is compared on its own, so no task holds a whole run.
 
 A pair is counted in the first pass whose run it shares, which both vectors' hash strings tell, so
 nothing is counted twice and pairs are never written out: a comparison gives each vector its number
-of links and the least vector of its part of the run. These join up to components. Two vectors at
-cosine 0.98 share a bit with a chance of 0.936, so t bits in one of the passes with 1 - (1 -
-0.936 ** t) ** passes: 0.9999 for t = 7, 0.99 for t = 24 with the default passes.
+of links and the least vector of its part of the run. These join up to components. Two vectors at cosine 0.98 share
+a bit with a chance p of 0.936, so t bits in one of the passes with 1 - (1 - p ** t) ** passes. The
+passes of a label grow with its t so that a pair at the least cosine is missed with a chance of
+`MISS` at most, at any size: 20 for t up to 10, 28 for t = 14, 60 for t = 24. Where that would take
+more than `MOST` passes, t is less and the runs are longer.
 
 Equal vectors of a label are one node with a multiplicity. Vectors that are null, empty, zero or hold a null
 or a number that is not finite, and rows without a label, link with nothing and stay. Vectors of different
@@ -20,6 +22,8 @@ lengths never link. Rows that share a vec_id count as separate vectors; a null v
 name of a component that has another. An empty table gives an empty result.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,26 +32,50 @@ from marketval.llm.common import components, partitions, small_batches, stored,
 from marketval.llm.registry import query
 
 COSINE = 0.98
-PASSES = 20
+#: Passes at least, and at most.
+PASSES, MOST = 20, 128
+#: Chance at most that a pair at the least cosine shares no run.
+MISS = 1e-6
 WINDOW = 64
+SHARED = 9
 BLOCK = 1024
 SEED = 5
 BITS = 30
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, PASSES * BITS))
+def passes(t: int, cosine: float = COSINE) -> float:
+    """Passes in which a pair at `cosine` shares `t` bits in one, but for a chance of `MISS`."""
+    share = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** t
+    if share == 1:
+        return PASSES if t else 1
+    return max(PASSES, math.ceil(math.log(MISS) / math.log1p(-share))) if share > 1e-9 else math.inf
+
+
+def bits(size: int, window: float, cosine: float = COSINE) -> int:
+    """Bits that the vectors of a run share in a label of `size` vectors."""
+    t = min(BITS, max(0, math.ceil(math.log2(max(1.0, size / window)))))
+    while passes(t, cosine) > MOST:
+        t -= 1
+    return t
+
+
+def _planes(dim: int, block: int) -> np.ndarray:
+    """Planes of `PASSES` passes, the `block`th of their kind."""
+    return np.random.default_rng([SEED, dim, block] if block else [SEED, dim]).standard_normal((dim, PASSES * BITS))
 
 
-def hashes(vectors: list[np.ndarray]) -> np.ndarray:
-    """The hash strings of each vector, one number of `BITS` bits per pass, first bit highest."""
-    out = np.zeros((len(vectors), PASSES), np.int64)
+def hashes(vectors: list[np.ndarray], wanted: list[int]) -> list[list[int]]:
+    """The hash strings of each vector, one number of `BITS` bits for each pass that is wanted of
+    it, first bit highest."""
+    out: list[list[int]] = [[] for _ in vectors]
     weight = np.int64(1) << np.arange(BITS - 1, -1, -1)
-    sizes = np.array([len(v) for v in vectors])
+    sizes, wanted = np.array([len(v) for v in vectors]), np.array(wanted)
     for dim in np.unique(sizes):
-        rows = np.flatnonzero(sizes == dim)
-        sides = np.stack([vectors[i] for i in rows]) @ _planes(int(dim)) >= 0
-        out[rows] = sides.reshape(len(rows), PASSES, BITS) @ weight
+        for block in range(-(-int(wanted[sizes == dim].max()) // PASSES)):
+            rows = np.flatnonzero((sizes == dim) & (wanted > block * PASSES))
+            sides = np.stack([vectors[i] for i in rows]) @ _planes(int(dim), block) >= 0
+            for i, strings in zip(rows, (sides.reshape(len(rows), PASSES, BITS) @ weight).tolist()):
+                out[i] += strings[:wanted[i] - block * PASSES]
     return out
 
 
@@ -87,21 +115,24 @@ def linked(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, blo
     good = rows.where("ok")
     nodes = (good.groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least"),
                                                    F.any_value("v").alias("v")))
-    nodes = nodes.withColumn("node", F.xxhash64("label", "h1", "h2"))
+    sizes = stored(good.select("label", "h1", "h2").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+    big = sizes.where(F.col("size") > window * 2.0 ** SHARED)  # so few that they can be sent everywhere
+    t_of = F.udf(lambda size: bits(size, window, cosine), "int")
+    rest = bits(sizes.where(F.col("size") <= window * 2.0 ** SHARED).agg(F.max("size")).first()[0] or 1, window, cosine)
+    nodes = (nodes.withColumn("node", F.xxhash64("label", "h1", "h2"))
+             .join(F.broadcast(big.select("label", t_of("size").alias("t"))), "label", "left").withColumn("t", F.coalesce("t", F.lit(rest))))
 
     def hashed(batches):
         for b in batches:
             vs = [np.asarray(v, float) for v in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes(vs).tolist(), pa.list_(pa.int64()))], names=[*b.schema.names, "hashes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes(vs, [passes(t, cosine) for t in b.column("t").to_pylist()]), pa.list_(pa.int64()))], names=[*b.schema.names, "hashes"])
 
     types = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
     nodes = stored(nodes.mapInArrow(hashed, types + ", hashes array<bigint>"))
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    t = min(BITS, max(0, int(np.ceil(np.log2(max(1.0, most / window))))))
 
-    places = nodes.select("node", "label", F.size("v").alias("dim"), F.posexplode("hashes").alias("pass", "hash"))
+    places = nodes.select("node", "label", "t", F.size("v").alias("dim"), F.posexplode("hashes").alias("pass", "hash"))
     run = ["pass", "label", "dim", "prefix"]
-    places = places.withColumn("prefix", F.shiftright("hash", BITS - t)).drop("hash")
+    places = places.withColumn("prefix", F.expr(f"shiftright(hash, {BITS} - t)")).drop("hash", "t")
     large = places.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = large.select(*run, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = places.join(large, run, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -109,7 +140,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, blo
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = [*run, "low", "high"]
     cut = cut.select("node", *run, "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    placed = cut.join(nodes.select("node", "v", "hashes", "times"), "node")
+    placed = cut.join(nodes.select("node", "v", "hashes", "times", "t"), "node")
     n = max(partitions(spark), 1)
     placed = placed.repartition(n, *key).sortWithinPartitions(*key, "hashes", "node")
 
@@ -123,7 +154,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, blo
             k = shown["key"]
             ids = np.array([r[0] for r in found], np.int64)
             x = np.stack([r[2] for r in found])
-            prefixes = np.stack([r[3] for r in found]) >> (BITS - t)
+            prefixes = np.stack([r[3] for r in found]) >> (BITS - found[0][5])  # one label, so one t
             times = np.array([r[4] for r in found])
             side = np.array([r[1] == k[5] for r in found])  # in the higher block
             a, c = (np.flatnonzero(~side), np.flatnonzero(side)) if k[4] != k[5] else (np.arange(len(ids)),) * 2
@@ -154,12 +185,13 @@ def linked(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, blo
             cols = [b.column(c).to_pylist() for c in key]
             own_, node = b.column("own").to_pylist(), b.column("node").to_pylist()
             vs, hs, ts = b.column("v"), b.column("hashes"), b.column("times").to_pylist()
+            bits_ = b.column("t").to_pylist()
             for r, k in enumerate(zip(*cols)):
                 if k != shown["key"]:
                     if (done := finish()) is not None:
                         yield done
                     shown["key"], shown["rows"] = k, []
-                shown["rows"].append((node[r], own_[r], np.asarray(vs[r].values), np.asarray(hs[r].values), ts[r]))
+                shown["rows"].append((node[r], own_[r], np.asarray(vs[r].values), np.asarray(hs[r].values), ts[r], bits_[r]))
         if (done := finish()) is not None:
             yield done
 

@@ -148,6 +148,28 @@ def test_vectors_against_all_pairs(spark, block):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 205))
 
 
+def test_no_close_pair_is_lost_in_a_large_label(spark):
+    """A window far below one stands for a label so large that runs share all bits of the strings."""
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 400, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y *= np.sqrt(1 - 0.9805 ** 2) / np.linalg.norm(y, axis=1)[:, None]
+    v = np.concatenate([x, 0.9805 * x + y])
+    data = [(k, z.tolist(), int(k % 400 < 3)) for k, z in enumerate(v)]
+    got = rows(embeddings.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), window=2.0 ** -20))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(k, 1, k % 400) for k in range(800)]
+
+
+def test_passes_hold_the_chance_of_a_miss():
+    share = 1 - np.arccos(0.98) / np.pi
+    for size in (1, 64, 100, 10 ** 4, 10 ** 6, 34 * 10 ** 6, 10 ** 9, 10 ** 14):
+        t = embeddings.bits(size, 64)
+        assert (1 - share ** t) ** embeddings.passes(t) <= 1e-6
+    assert [embeddings.passes(embeddings.bits(64 << t, 64)) for t in (0, 1, 10, 14, 24, 30)] == [1, 20, 20, 28, 60, 93]
+    assert embeddings.bits(10 ** 9, 64, -1.0) == 0
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     got = rows(QUERIES["op5_quadratic_quality"](spark, folder).join(table(spark, folder, "labels"), "doc_id"))
