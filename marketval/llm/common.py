@@ -80,6 +80,12 @@ def components(links: DataFrame) -> DataFrame:
     return reduce(follow, steps[1:], steps[0].select(F.col("a").alias("node"), F.col("to").alias("component")))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """`row`, a struct of every column, and `at`, a number that no other row has. Store it before
+    use: a second reading of `docs` may number the rows otherwise."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+
+
 def whole_row(docs: DataFrame) -> DataFrame:
     """`doc_id, source, text` and `row`, a struct of every other column, whatever their names."""
     rest = [c for c in docs.columns if c != "text"]

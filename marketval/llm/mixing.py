@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marketval.llm.common import numbered, small_batches, stored, table, whole_row
+from marketval.llm.common import numbered, numbered_rows, small_batches, stored, table
 from marketval.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
@@ -177,16 +177,12 @@ def mix(docs: DataFrame, keep: list[str], weights=WEIGHTS, scale: float = SCALE,
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Rows alike in doc_id, source and text
-    are taken alike, as often as the one that is taken most."""
-    key = ["doc_id", "source", "print"]
-    every = whole_row(docs).withColumn("print", F.xxhash64("text"))
-    taken = mix(every.select("doc_id", "source", "text", "print"), key, **how)
-    often = taken.where("copies > 0").groupBy(*key).agg(F.max("copies").alias("copies")).select(
-        F.col("copies"), *[F.col(k).alias(f"of_{k}") for k in key])
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
-    rows = every.join(often, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    """The rows of `docs`, each as often as the mix takes it. Rows stand for themselves: of rows that
+    share a doc_id, or are alike, each is taken as often as its own place in the mix says."""
+    whole = stored(numbered_rows(docs))
+    taken = mix(whole.select("row.doc_id", "row.source", "row.text", "at"), ["doc_id", "source", "at"], **how)
+    often = taken.where("copies > 0").select("at", "copies")
+    return whole.join(often, "at").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 @query("op6_subset_sum_mix")

@@ -24,9 +24,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from marketval.llm.common import components, small_batches, stored, table
+from marketval.llm.common import components, numbered_rows, small_batches, stored, table
 from marketval.llm.registry import query
 
 BITS, DISTANCE = 64, 3
@@ -228,29 +228,31 @@ def links(nodes: DataFrame) -> DataFrame:
             .select(F.col("bits").alias("a"), F.col("other").alias("b")))
 
 
-def grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns (with `doc_id`), `fingerprint` and `component_id`."""
-    rows = stored(fingerprints(docs, keep))
+def classes(rows: DataFrame) -> DataFrame:
+    """`rows(bits, doc_id)` to `(bits, root, component_id)`, one row per fingerprint."""
     nodes = stored(rows.groupBy("bits").agg(F.min("doc_id").alias("least")))
     linked = components(links(nodes)).withColumnRenamed("node", "bits")
     named = nodes.join(linked, "bits", "left").withColumn("root", F.coalesce("component", "bits"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_bits = stored(named.join(least, "root").select("bits", "component_id"))
-    return (rows.join(by_bits, "bits").withColumn("fingerprint", F.lower(F.lpad(F.hex("bits"), 16, "0")))
+    return stored(named.join(least, "root").select("bits", "root", "component_id"))
+
+
+def grouped(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` columns (with `doc_id`), `fingerprint` and `component_id`."""
+    rows = stored(fingerprints(docs, keep))
+    return (rows.join(classes(rows).drop("root"), "bits").withColumn("fingerprint", F.lower(F.lpad(F.hex("bits"), 16, "0")))
             .select(*keep, "fingerprint", "component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that name their group: one document of each group of near-duplicates.
-    Of rows that share such a doc_id, the one with the least text stays. A row without doc_id cannot
-    name a group; such rows stay, exact copies among them once."""
-    found = grouped(docs, ["doc_id"])
-    names = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("name_of_group", F.lit(True))
-    every = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = every.join(names, "doc_id", "left").where(F.col("name_of_group") | F.col("doc_id").isNull())
-    alike = F.when(F.col("doc_id").isNull(), F.sha2("row.text", 256))
-    first = F.row_number().over(W.partitionBy("doc_id", alike).orderBy("row.text"))
-    return kept.withColumn("first", first).where("first = 1").select("row.*")
+    """One row of `docs` for each group of near-duplicates: the one with the least doc_id, a null id
+    after all others. Rows stand for themselves, whatever id they carry: of rows that share the
+    least id one stays, and rows that share an id in different groups do not touch each other."""
+    whole = stored(numbered_rows(docs))
+    rows = stored(fingerprints(whole.select("row.text", "row.doc_id", "at"), ["doc_id", "at"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at"))
+    kept = rows.join(classes(rows).select("bits", "root"), "bits").groupBy("root").agg(first.alias("first"))
+    return whole.join(kept.select("first.at"), "at", "left_semi").select("row.*")
 
 
 @query("op1_simhash_pigeonhole")
