@@ -5,8 +5,8 @@ ids, the rest is NFC, white space is one blank, letters are lower case; words, d
 other signs are merged as bytes with an end-of-word mark. Decoding joins the tokens with blanks,
 since the file has no decoder.
 
-White space never lies inside a token, and no character composes across it, so a text is encoded
-chunk by chunk, and each task keeps the last chunks it has seen (a bounded cache).
+A word always gives the same ids, so each Python worker keeps the words it has met in two bounded
+generations, and only words it does not hold are merged.
 
 A null text is empty: no ids, an empty decoded text. Repeated rows each get a row.
 """
@@ -16,6 +16,9 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import ChainMap
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from marketval.llm.common import small_batches, table
 from marketval.llm.registry import query
 
-#: Chunks kept per task.
-CACHE = 100_000
+#: Words of a generation. Words that are met again stay, others leave with the older generation.
+GENERATION = 150_000
+#: Words that are encoded together, if a text does not hold more.
+PART = 200_000
 #: Words with more parts than this are merged with a heap: same result, no repeated scans.
 SHORT = 64
 NONE = 1 << 60
@@ -57,8 +62,11 @@ class WordBpe:
         signs = byte_signs()
         self.inner = np.array([vocab[s] for s in signs])
         self.last = np.array([vocab[s + self.end] for s in signs])
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.special_ids = {s: (i,) for s, i in self.special.items()}
+        self.numbers = list(range(max(self.tokens) + 1))
+        self.decimal = list(map(str, self.numbers))
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NONE for pairs that never merge."""
@@ -104,20 +112,18 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet, short ones by classes of length."""
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
         classes: dict[int, list[tuple[str, bytes]]] = {}
         for word in words:
             data = word.encode()
             classes.setdefault(max(2, (len(data) - 1).bit_length()), []).append((word, data))
-        token = self.tokens
+        shared = self.numbers.__getitem__
         for size, members in classes.items():
             if 1 << size <= SHORT:
                 encoded = self.short_words([data for _, data in members])
             else:
                 encoded = [self.heap([*self.inner[list(data[:-1])].tolist(), int(self.last[data[-1]])]) for _, data in members]
             for (word, _), ids in zip(members, encoded):
-                self.known[word] = len(ids), " ".join(map(str, ids)), " ".join([token[i] for i in ids])
+                self.young[word] = tuple(map(shared, ids))
 
     def heap(self, parts: list[int]) -> list[int]:
         """The same merges for a long word: least rank first, leftmost first, over linked parts."""
@@ -140,50 +146,53 @@ class WordBpe:
                     heapq.heappush(waiting, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
-    def read(self, chunks: set[str]) -> None:
-        """Encode chunks that are not in the cache."""
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache.clear()
-        split = {c: self.words.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks}
-        words = {w for found in split.values() for w in found}
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        self.learn([w for w in words if w not in self.known])
-        known = self.known
-        for c, found in split.items():
-            if len(found) == 1:
-                self.cache[c] = known[found[0]]
-            else:
-                of = [known[w] for w in found]
-                self.cache[c] = sum([w[0] for w in of]), " ".join([w[1] for w in of]), " ".join([w[2] for w in of])
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, ids and tokens of each text, the latter joined with blanks."""
-        pieces = [self.by_special.split(t) if "<|" in t else (t,) for t in texts]
-        chunks = [[(c,) if c in self.special else SPACE.split(c) if SEPARATORS.search(c) else c.split() for c in p] for p in pieces]
-        seen, out = self.cache, []
-        missing = {c for of in chunks for p in of for c in p if c and c not in seen} - self.special.keys()
-        if len(missing) + len(seen) > CACHE:
-            seen.clear()
-            missing = {c for of in chunks for p in of for c in p if c} - self.special.keys()
-        self.read(missing)
-        for of in chunks:
-            found = [seen[c] if c not in self.special else (1, str(self.special[c]), c) for p in of for c in p if c]
-            found = [f for f in found if f[0]]
-            out.append((sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+    def read(self, words: set[str]) -> None:
+        """Make all these words young: move those that are old, encode the others."""
+        if len(self.young) > GENERATION:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        words = words - young.keys()
+        for w in words & old.keys():
+            young[w] = old.pop(w)
+        self.learn([w for w in words if w not in young])
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, special strings among them as they are."""
+        if not any(s in text for s in self.special):
+            return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        pieces = self.by_special.split(text)
+        return [w for p in pieces for w in ((p,) if p in self.special else self.split(p))]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        out: list[list[int]] = []
+        while len(out) < len(texts):
+            split, size = [], 0
+            while len(out) + len(split) < len(texts) and size < PART:
+                split.append(self.split(texts[len(out) + len(split)]))
+                size += len(split[-1])
+            met = {w for words in split for w in words}
+            self.read(met - self.special.keys())
+            known = self.young if met.isdisjoint(self.special) else ChainMap(self.special_ids, self.young)
+            out += [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
         return out
 
+    def ids_text(self, ids: list[int]) -> str:
+        return " ".join(map(self.decimal.__getitem__, ids))
+
     def encode(self, text: str) -> tuple[int, str, str]:
-        return self.encode_batch([text])[0]
+        """Number of ids, ids and tokens of a text, the latter joined with blanks."""
+        ids = self.encode_batch([text])[0]
+        return len(ids), self.ids_text(ids), self.decode(ids)
 
     def decode(self, ids) -> str:
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
-#: White space as the vocabulary's patterns see it.
-SPACE = regex.compile(r"\s+")
-#: Signs that Python's own split takes for white space, and the patterns do not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+@lru_cache(1)
+def encoder(file: str) -> WordBpe:
+    """One per Python worker: its words are kept from task to task."""
+    return WordBpe(file)
 
 
 def encoded(docs: DataFrame, file: str, keep: list[str], with_ids: bool = False) -> DataFrame:
@@ -195,14 +204,17 @@ def encoded(docs: DataFrame, file: str, keep: list[str], with_ids: bool = False)
     sent = spark.sparkContext.broadcast(file)
 
     def encode(batches):
-        bpe = WordBpe(sent.value)
+        bpe = encoder(sent.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             found = bpe.encode_batch([t or "" for t in b.column("text_to_encode").to_pylist()])
-            columns = [*b.columns[1:], pa.array([f[0] for f in found], pa.int64()),
-                       pa.array([sha(f[1]) for f in found], pa.string()), pa.array([sha(f[2]) for f in found], pa.string())]
+            columns = [*b.columns[1:], pa.array(list(map(len, found)), pa.int64()),
+                       pa.array([sha(bpe.ids_text(ids)) for ids in found], pa.string()),
+                       pa.array([sha(bpe.decode(ids)) for ids in found], pa.string())]
             if with_ids:
-                columns.append(pa.array([[int(i) for i in f[1].split()] for f in found], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]

@@ -126,10 +126,53 @@ def test_bpe_equals_the_library(spark, docs):
         n, ids, tokens = own.encode(t)
         assert (n, ids) == (len(want.ids), " ".join(map(str, want.ids)))
         assert tokens == library.decode(want.ids, skip_special_tokens=False) == own.decode(want.ids)
-    assert len(rows(bpe.encoded(odd(spark), bpe.vocabulary(), ["doc_id", "size"], with_ids=True))) == len(ODD)
+    made = rows(bpe.encoded(odd(spark), bpe.vocabulary(), ["doc_id", "size"], with_ids=True))
+    assert len(made) == len(ODD) and all(r["ids_sha256"] == sha(" ".join(map(str, r["ids"]))) for r in made)
     assert rows(bpe.encoded(empty(spark), bpe.vocabulary(), ["doc_id"])) == []
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_token_query_equals_the_library_on_every_row(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_padding()
+    library.no_truncation()
+    want = {}
+    for i, t in texts(docs).items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+    got = rows(QUERIES["op3_rank_array_bpe"](spark, FOLDER))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want
+
+
+@pytest.mark.parametrize("generation, part", [(1, 1), (40, 10), (3000, 500)])
+def test_words_that_leave_are_encoded_again(docs, monkeypatch, generation, part):
+    """The two generations stay bounded, and ids do not depend on what is remembered."""
+    monkeypatch.setattr(bpe, "GENERATION", generation)
+    monkeypatch.setattr(bpe, "PART", part)
+    some = [*list(texts(docs).values())[:30], "a <|endoftext|> a<|startoftext|>", "", "x" * 200] * 2
+    own = bpe.WordBpe(bpe.vocabulary())
+    fresh = [bpe.WordBpe.encode_batch(own, [t])[0] for t in some]
+    most = max(len({*own.split(t)}) for t in some)
+    assert own.encode_batch(some) == fresh and len(own.young) + len(own.old) <= 2 * (generation + part + most)
+
+
+def test_special_strings_of_any_form(docs):
+    """A file may name other special strings; they are looked up by its own list."""
+    import json
+
+    spec = json.loads(bpe.vocabulary())
+    spec["added_tokens"][0]["content"] = "[start]"
+    own = bpe.WordBpe(json.dumps(spec))
+    assert own.encode_batch(["a[start] b[START]"])[0][1] == spec["added_tokens"][0]["id"]
+    assert own.encode_batch(["a[start]"])[0].count(spec["added_tokens"][0]["id"]) == 1
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vectors_against_all_pairs(spark, block):
     rng = np.random.default_rng(2)
