@@ -5,22 +5,24 @@ A word is known by a 64-bit id, a hash of its language and bytes. The exact coun
 the ids: where a word that is frequent enough for a phrase shares its id with another, the next seed
 is tried.
 
-Three passes read the texts. The first counts words. The second counts pairs of adjacent frequent
-words, the third phrases of three words and more, as windows whose pairs are all frequent: a phrase
-cannot occur more often than any part of it, so nothing is lost. Which ids are frequent reaches the
-tasks as a bitmap of fixed size (16 MB at any size of the input); a false hit there only counts a
-phrase that is too rare in the end.
+Three passes read the texts. The first counts words, as bytes. The second counts pairs of adjacent
+frequent words by 40 bits of a hash, which tells the pairs that can be frequent. The third counts the
+windows of two to five words all of whose pairs can be: a phrase occurs no more often than any part of
+it, so nothing is lost, and it counts by the ids of every word, so nothing is confused. Which hashes
+are frequent reaches the tasks as a bitmap of fixed size (16 MB at any size of the input); a false hit
+there only counts a phrase that is too rare in the end.
 
 Each task counts in a trie whose upper levels go by word ids and whose leaves are hash containers. A
 container that grows too large bursts into one per next word. When the trie is full, its largest
 subtrees leave whole, as sorted runs of (word ids, count), one row for each phrase length and phrase;
-the runs meet by the ids of the whole phrase, so that no prefix, however frequent, is one group. What
-is shuffled grows with the number of different frequent phrases in a trie, not with phrases.
+the runs meet by the ids of the whole phrase, so that no prefix, however frequent, is one group.
 
 A null text has no words; a null language is `und`. Repeated rows count each time. Other columns are
 not read. An empty table gives an empty result.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +34,8 @@ from marketval.llm.registry import query
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text read at a time, entries of a container before it bursts, entries of a trie.
 STEP, BURST, ROOM = 1 << 21, 8192, 400_000
-#: Bits of the frequent-id map, as a power of two; it is sent to every executor.
-MAP_BITS = 27
+#: Bits of a hash that pairs are counted by, and of the place in the map, which every executor gets.
+HASH_BITS, MAP_BITS = 40, 27
 SALTS = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,6 +44,8 @@ WORD, BLANK, BREAK = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = BLANK
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = BREAK
+#: Texts in bytes to words between blanks.
+BLANKED = bytes(0x20 if KIND[b] else LOWER[b] for b in range(256))
 IDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 #: Exact while its products stay below 10 to the 38th.
 SCORE = "CAST(CAST(1000 AS DECIMAL(38, 0)) * a * n DIV (CAST(l AS DECIMAL(38, 0)) * r) AS LONG)"
@@ -102,19 +106,23 @@ def read_words(texts: pa.Array, langs: list, seed: int):
             yield word_ids(part, starts, lengths, salt[row]), pieces, starts, lengths, part, row
 
 
-def pair_place(a, b):
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A pair's hash: ids are hashes already."""
     return a ^ (b << np.uint64(17) | b >> np.uint64(47))
 
 
+def hashed(ids: np.ndarray) -> np.ndarray:
+    return ids >> np.uint64(20) & np.uint64((1 << HASH_BITS) - 1)
+
+
 def marked(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    place = ids >> np.uint64(20) & np.uint64((1 << MAP_BITS) - 1)
+    place = hashed(ids) & np.uint64((1 << MAP_BITS) - 1)
     return bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def frequent_map(of: DataFrame, hashed: Column) -> bytes:
+def frequent_map(of: DataFrame, hash_: Column) -> bytes:
     """The map of the hashes in a table; it comes to the driver in pieces, 16 MB in all at most."""
-    place = F.shiftrightunsigned(hashed, 20).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    place = hash_.bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     parts = of.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(0x7FFF)).alias("bit"))
     out = bytearray(1 << MAP_BITS - 3)
     for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
@@ -200,23 +208,22 @@ def grouped_rows(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new)
 
 
-def windows(blocks, width: int, linked):
-    """The phrases that begin at each word and have at least `width` words (two or three), as rows of
-    ids filled up with zeros, for each block. `linked` tells which neighbours may stand in a phrase."""
-    reach = 1 if width == 2 else LONGEST - 1
+def windows(blocks, longest: int, linked):
+    """The phrases of two words or more that begin at each word, as long as can be up to `longest`, as
+    rows of ids filled up with zeros, for each block. `linked` tells which neighbours may stand in one."""
+    reach = longest - 1
     ids, pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def rows(ids, pieces, starts):
-        link = (pieces[1:] == pieces[:-1])
+        link = pieces[1:] == pieces[:-1]
         link[link] = linked(ids[:-1][link], ids[1:][link])
-        link = np.append(link, np.zeros(reach, bool))
-        ids = np.append(ids, np.zeros(reach, np.uint64))
-        alive = np.ones(starts, bool)
-        columns = [ids[:starts]]
-        for k in range(1, reach + 1):
-            alive = alive & link[k - 1:k - 1 + starts]
-            columns.append(np.where(alive, ids[k:k + starts], np.uint64(0)))
-        keys = np.stack(columns, 1)[columns[width - 1] != 0]
+        link, ids = np.append(link, np.zeros(reach, bool)), np.append(ids, np.zeros(reach, np.uint64))
+        at = np.flatnonzero(link[:starts])
+        alive, columns = np.ones(len(at), bool), [ids[at]]
+        for k in range(1, longest):
+            alive = alive & link[at + k - 1]
+            columns.append(np.where(alive, ids[at + k], np.uint64(0)))
+        keys = np.stack(columns, 1)
         keys = keys[np.lexsort(keys.T[::-1])]
         return grouped_rows(keys, np.ones(len(keys), np.int64)) if len(keys) else None
 
@@ -235,67 +242,113 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
 
-def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """`(lang, id, word, n)` of every word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """`(lang, word, n)` of every word."""
     def each(batches):
+        counts: dict[str, Counter] = {}
+
+        def taken():
+            for lang, of in counts.items():
+                words = list(of)
+                for k in range(0, len(words), 1 << 16):
+                    some = words[k:k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()),
+                         pa.array(map(of.__getitem__, some), pa.int64())], names=["lang", "word", "n"])
+            counts.clear()
+
         for b in batches:
-            langs = b.column("lang").to_pylist()
-            for ids, _, starts, lengths, data, row in read_words(b.column("text"), langs, seed):
-                unique, first, n = np.unique(ids, return_index=True, return_counts=True)
-                raw = data.tobytes()
-                words = [raw[s:s + size] for s, size in zip(starts[first].tolist(), lengths[first].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[r] for r in row[first].tolist()], pa.string()), pa.array(unique.view(np.int64)),
-                     pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "id", "word", "n"])
-
-    made = plain(docs).mapInArrow(each, "lang string, id long, word string, n long")
-    return made.groupBy("lang", "id", "word").agg(F.sum("n").alias("n"))
-
-
-def phrase_counts(docs: DataFrame, seed: int, width: int, least: int, bitmap: bytes) -> DataFrame:
-    """`(w1 .. w5, n)` of the phrases of two words (`width` 2), or of three to five (`width` 3), that
-    occur at least `least` times; shorter phrases end in zeros."""
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                data, begin = (text or "").encode().translate(BLANKED), 0
+                while begin < len(data):
+                    end = data.find(b" ", begin + STEP) if len(data) - begin > STEP else -1
+                    end = len(data) if end < 0 else end
+                    counts.setdefault(lang, Counter()).update(data[begin:end].split())
+                    begin = end
+                    if sum(map(len, counts.values())) > ROOM:
+                        yield from taken()
+        yield from taken()
+
+    made = plain(docs).mapInArrow(each, "lang string, word string, n long")
+    return made.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def with_ids(words: DataFrame, seed: int) -> DataFrame:
+    """`words` with `id`, by which the words of texts are known in the other passes."""
+    def each(batches):
+        for b in batches:
+            given = [w.encode() for w in b.column("word").to_pylist()]
+            lengths = np.array(list(map(len, given)), np.int64)
+            salts = {x: xxhash.xxh64_intdigest(x.encode(), seed) for x in set(b.column("lang").to_pylist())}
+            salt = np.array([salts[x] for x in b.column("lang").to_pylist()], np.uint64)
+            ids = word_ids(np.frombuffer(b"".join(given), np.uint8), np.cumsum(lengths) - lengths, lengths, salt)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64))], names=["lang", "word", "n", "id"])
+
+    return words.select("lang", "word", "n").mapInArrow(each, "lang string, word string, n long, id long")
+
+
+def words_and_seed(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Counts of all words with their ids, and a seed under which no frequent word shares its id."""
+    counts, seed = stored(word_counts(docs)), 0
+    while True:
+        words = stored(with_ids(counts, seed))
+        shared = words.groupBy("id").agg(F.count(F.lit(1)).alias("of"), F.max("n").alias("n"))
+        if shared.where((F.col("of") > 1) & (F.col("n") >= least)).isEmpty():
+            return words, seed
+        seed += 1
+
+
+def counted(docs: DataFrame, seed: int, longest: int, bitmap: bytes, linked, emitted, schema: str) -> DataFrame:
+    """Rows that `emitted` makes of the sorted runs of each task's trie of windows."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def each(batches):
-        bits = np.frombuffer(sent.value, np.uint8)
-        trie = HatTrie(2 if width == 2 else LONGEST)
-
-        def linked(a, b):
-            return marked(a, bits) & marked(b, bits) if width == 2 else marked(pair_place(a, b), bits)
-
-        def emitted(keys, counts):
-            for size in range(width, keys.shape[1] + 1):
-                of = keys[:, size - 1] != 0
-                if of.any():
-                    unique, n = grouped_rows(keys[of][:, :size], counts[of])
-                    none = np.zeros(len(n), np.int64)
-                    columns = [unique[:, k].copy().view(np.int64) if k < size else none for k in range(LONGEST)]
-                    made = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names=[*IDS, "n"])
-                    for k in range(0, len(n), 1 << 16):
-                        yield made.slice(k, 1 << 16)
-
+        bits, trie = np.frombuffer(sent.value, np.uint8), HatTrie(longest)
         for b in batches:
-            for made in windows(read_words(b.column("text"), b.column("lang").to_pylist(), seed), width, linked):
+            read = read_words(b.column("text"), b.column("lang").to_pylist(), seed)
+            for made in windows(read, longest, lambda x, y: linked(x, y, bits)):
                 trie.add(*made)
                 for run in trie.spill():
                     yield from emitted(*run)
         for run in trie.rest():
             yield from emitted(*run)
 
-    rows = plain(docs).mapInArrow(each, ", ".join(f"{c} long" for c in [*IDS, "n"]))
-    return rows.groupBy(*IDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return plain(docs).mapInArrow(each, schema)
 
 
-def words_and_seed(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """Counts of all words, and a seed under which no frequent word shares its id."""
-    seed = 0
-    while True:
-        words = stored(word_counts(docs, seed))
-        shared = words.groupBy("id").agg(F.count(F.lit(1)).alias("of"), F.max("n").alias("n"))
-        if shared.where((F.col("of") > 1) & (F.col("n") >= least)).isEmpty():
-            return words, seed
-        seed += 1
+def sliced(batch: pa.RecordBatch):
+    for k in range(0, batch.num_rows, 1 << 16):
+        yield batch.slice(k, 1 << 16)
+
+
+def frequent_pairs(docs: DataFrame, seed: int, least: int, bitmap: bytes) -> DataFrame:
+    """`hash` of the pairs of frequent words that may occur `least` times."""
+    def linked(a, b, bits):
+        return marked(a, bits) & marked(b, bits)
+
+    def emitted(keys, n):
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(hashed(pair(keys[:, 0], keys[:, 1])).view(np.int64)), pa.array(n)], names=["hash", "n"]))
+
+    rows = counted(docs, seed, 2, bitmap, linked, emitted, "hash long, n long")
+    return rows.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash")
+
+
+def phrase_counts(docs: DataFrame, seed: int, least: int, bitmap: bytes) -> DataFrame:
+    """`(w1 .. w5, n)` of the phrases that occur at least `least` times; short ones end in zeros."""
+    def linked(a, b, bits):
+        return marked(pair(a, b), bits)
+
+    def emitted(keys, n):
+        for size in range(2, LONGEST + 1):
+            of = keys[:, size - 1] != 0
+            if of.any():
+                unique, total = grouped_rows(keys[of][:, :size], n[of])
+                none = np.zeros(len(total), np.int64)
+                columns = [unique[:, k].copy().view(np.int64) if k < size else none for k in range(LONGEST)]
+                yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total)], names=[*IDS, "n"]))
+
+    rows = counted(docs, seed, LONGEST, bitmap, linked, emitted, ", ".join(f"{c} long" for c in [*IDS, "n"]))
+    return rows.groupBy(*IDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def mined(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
@@ -309,11 +362,11 @@ def mined(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TO
     words, seed = words_and_seed(docs, least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = stored(words.where(F.col("n") >= least))
-    pairs = stored(phrase_counts(docs, seed, 2, least, frequent_map(frequent, F.col("id"))))
-    turned = F.shiftleft("w2", 17).bitwiseOR(F.shiftrightunsigned("w2", 47))
-    longer = phrase_counts(docs, seed, 3, least, frequent_map(pairs, F.col("w1").bitwiseXOR(turned)))
+    of_word = F.shiftrightunsigned("id", 20).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    pairs = stored(frequent_pairs(docs, seed, least, frequent_map(frequent, of_word)))
     ids = F.filter(F.array(*IDS), lambda x: x != 0)
-    phrases = stored(pairs.unionByName(longer).select(ids.alias("ids"), F.col("n").alias("a")))
+    counted_ = phrase_counts(docs, seed, least, frequent_map(pairs, F.col("hash")))
+    phrases = stored(counted_.select(ids.alias("ids"), F.col("n").alias("a")))
     counts = phrases.unionByName(frequent.select(F.array("id").alias("ids"), F.col("n").alias("a")))
 
     cuts = phrases.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))

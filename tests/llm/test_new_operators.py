@@ -220,23 +220,23 @@ def test_words_and_windows_over_block_ends(monkeypatch, step):
     name = {(langs[r], w): int(i) for (r, w), i in zip(words, (i for block in read for i in block[0]))}
     assert len(set(name.values())) == len(name)
     got = Counter()
-    for keys, n in collocations.windows(iter(read), 3, lambda a, b: np.ones(len(a), bool)):
+    for keys, n in collocations.windows(iter(read), 5, lambda a, b: np.ones(len(a), bool)):
         got.update({tuple(k): int(c) for k, c in zip(keys.tolist(), n)})
     plain = Counter()
     for of in spans:
         ids = [name[langs[r], w] for r, w in of]
-        plain.update(tuple((ids[i:i + 5] + [0] * 5)[:5]) for i in range(len(ids) - 2))
+        plain.update(tuple((ids[i:i + 5] + [0] * 5)[:5]) for i in range(len(ids) - 1))
     assert got == plain
 
 
 def test_a_seed_that_names_two_words_alike_is_left(spark, monkeypatch):
-    counts = collocations.word_counts
+    ids = collocations.with_ids
 
-    def shared(docs, seed):
-        made = counts(docs, seed)
+    def shared(words, seed):
+        made = ids(words, seed)
         return made.withColumn("id", F.lit(7).cast("long")) if seed < 2 else made
 
-    monkeypatch.setattr(collocations, "word_counts", shared)
+    monkeypatch.setattr(collocations, "with_ids", shared)
     docs = spark.createDataFrame([("a b a b a b", "en")], "text string, lang string")
     words, seed = collocations.words_and_seed(docs, 2)
     assert seed == 2 and words.count() == 2
