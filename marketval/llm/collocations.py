@@ -14,8 +14,8 @@ there only counts a phrase that is too rare in the end.
 
 Each task counts in a trie whose upper levels go by word ids and whose leaves are hash containers. A
 container that grows too large bursts into one per next word. When the trie is full, its largest
-subtrees leave whole, as sorted runs of (word ids, count), one row for each phrase length and phrase;
-the runs meet by the ids of the whole phrase, so that no prefix, however frequent, is one group.
+subtrees leave whole, as sorted runs of (word ids, count). Runs meet phrase by phrase, each window for
+every phrase that it begins with, so that no prefix, however frequent, is one group.
 
 A null text has no words; a null language is `und`. Repeated rows count each time. Other columns are
 not read. An empty table gives an empty result.
@@ -339,16 +339,14 @@ def phrase_counts(docs: DataFrame, seed: int, least: int, bitmap: bytes) -> Data
         return marked(pair(a, b), bits)
 
     def emitted(keys, n):
-        for size in range(2, LONGEST + 1):
-            of = keys[:, size - 1] != 0
-            if of.any():
-                unique, total = grouped_rows(keys[of][:, :size], n[of])
-                none = np.zeros(len(total), np.int64)
-                columns = [unique[:, k].copy().view(np.int64) if k < size else none for k in range(LONGEST)]
-                yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total)], names=[*IDS, "n"]))
+        columns = [keys[:, k].copy().view(np.int64) for k in range(LONGEST)]
+        yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names=[*IDS, "n"]))
 
     rows = counted(docs, seed, LONGEST, bitmap, linked, emitted, ", ".join(f"{c} long" for c in [*IDS, "n"]))
-    return rows.groupBy(*IDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    longest = F.array_size(F.filter(F.array(*IDS), lambda x: x != 0))
+    sized = rows.select("*", F.explode(F.sequence(F.lit(2), longest)).alias("size"))
+    phrase = [F.when(F.lit(k) <= F.col("size"), F.col(c)).otherwise(F.lit(0)).alias(c) for k, c in enumerate(IDS, 1)]
+    return sized.select(*phrase, "n").groupBy(*IDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def mined(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
