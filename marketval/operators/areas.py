@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.constants import BORDERLINE_DEGREES, EAST, QUADRANTS, WEST
-from marketval.operators.quantiles import aggregate
-from marketval.operators.sizing import DATASET, Dim, as_dim
+from marketval.operators.quantiles import Members, meet, percentiles
+from marketval.operators.sizing import DATASET, Dim, as_dim, written
 
 
 def divider_legs(waypoints: Column) -> Column:
@@ -111,20 +111,27 @@ def area_table(
     Inputs carry measures and `area`.
     """
     dim = as_dim(profiles)
-    by = [*DATASET, "label"]
-    sides = aggregate(
-        sold.where(F.col("area").isNotNull()).withColumn("label", F.explode(_labels(F.col("area")))),
-        by,
-        [
-            F.count(F.lit(1)).alias("sold_count"),
-            F.avg("ppsf").alias("sold_avg_ppsf"),
-            F.avg("metric_size").alias("sold_avg_size"),
-        ],
-        {
-            "sold_median_ppsf": (F.col("ppsf"), 0.5),
-            "sold_median_price": (F.col("sold_price"), 0.5),
-        },
+    by, atom = [*DATASET, "label"], [*DATASET, "area"]
+    # Sales are counted by quadrant, once; a label is the sum of its quadrants.
+    rows = written(
+        sold.where(F.col("area").isNotNull()).select(*atom, "ppsf", "metric_size", "sold_price")
     )
+    tallies = rows.groupBy(*atom).agg(
+        F.count(F.lit(1)).alias("n"), F.count("ppsf").alias("rated"), F.sum("ppsf").alias("rates"),
+        F.count("metric_size").alias("sized"), F.sum("metric_size").alias("sizes"),
+    )
+    labelled = written(tallies.withColumn("label", F.explode(_labels(F.col("area")))))
+    middles = percentiles(
+        rows, by,
+        {"sold_median_ppsf": (F.col("ppsf"), 0.5), "sold_median_price": (F.col("sold_price"), 0.5)},
+        Members(labelled.select(*DATASET, "area", "label"), atom, by),
+    )
+    sums = labelled.groupBy(*by).agg(
+        F.sum("n").alias("sold_count"),
+        F.try_divide(F.sum("rates"), F.sum("rated")).alias("sold_avg_ppsf"),
+        F.try_divide(F.sum("sizes"), F.sum("sized")).alias("sold_avg_size"),
+    )
+    sides = meet(sums, middles, by, "left")
     asks = (
         active.where(F.col("area").isNotNull())
         .withColumn("label", F.explode(_labels(F.col("area"))))

@@ -126,12 +126,10 @@ def shared_addresses(resolved: DataFrame, key: str = "addr_key") -> DataFrame:
     )
 
 
-def clean(
-    sold: DataFrame, active: DataFrame, profiles: Dim | DataFrame, hot: bool | None = None
-) -> Cleaned:
+def clean(sold: DataFrame, active: DataFrame, profiles: Dim | DataFrame) -> Cleaned:
     """Merge, exclude, reconcile, in that order. Inputs carry the columns of `with_keys`."""
     dim = as_dim(profiles)
-    resolved = resolve_sales(sold, hot=hot)
+    resolved = resolve_sales(sold)
     judged_sold = with_reason(resolved.where("is_kept").drop("is_kept", "is_duplicate"), dim)
     open_, closed = reconcile(active, sold)
     judged_active = with_reason(open_, dim)

@@ -1,6 +1,7 @@
 """Measured sizes: which sides may be broadcast, which keys are hot, where lineage is cut."""
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,6 +12,9 @@ DATASET = ["market", "profile"]
 # A dimension is broadcast only when it was counted at or below this many rows.
 BROADCAST_ROWS = 100_000
 
+# Folders of stored tables begin so.
+WRITTEN = "written-"
+
 
 @dataclass
 class Dim:
@@ -38,12 +42,6 @@ def as_dim(table: "Dim | DataFrame") -> Dim:
     return table if isinstance(table, Dim) else Dim(table)
 
 
-def has_hot_group(df: DataFrame, by: list[str], limit: int) -> bool:
-    """Whether any group of `df` holds more than `limit` rows; one small aggregate is read."""
-    widest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (widest or 0) > limit
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names. Only a single-process session may leave it
     unset and gets a temporary one: on a cluster, executors could not read the driver's folder."""
@@ -62,3 +60,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder, so that a lost executor costs no long recompute."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it again. Lineage ends there; unlike a
+    checkpoint, the plan runs once, and later reads take only the columns and rows they need."""
+    path = f"{shared_folder(df.sparkSession)}/{WRITTEN}{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove the stored tables of this session, once everything made from them has been read."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"{WRITTEN}*")) or []
+    return sum(1 for f in found if files.delete(f.getPath(), True))

@@ -12,7 +12,7 @@ from marketval.operators.sizing import DATASET
 def _side(rows: DataFrame, price: str, by: list[str]) -> DataFrame:
     core = F.when(F.col("core"), F.col("ppsf"))
     out = aggregate(
-        rows,
+        rows.select(*by, "ppsf", price, "metric_size", "core"),
         by,
         [
             F.count(F.lit(1)).alias("count"),
@@ -50,7 +50,7 @@ def sold_to_ask(sold: DataFrame, by: list[str] = DATASET) -> DataFrame:
     """The distribution of sold over final list; reductions are counted over every sale."""
     r = F.col("ratio")
     out = aggregate(
-        sold,
+        sold.select(*by, "ratio", "reduced"),
         by,
         [
             F.count(r).alias("count"),

@@ -1,11 +1,13 @@
 """What a subject is worth: the similar-size bracket, five bases, the ladder and the bands.
 
-Sold and active inputs carry measures. Subjects are joined on the dataset and a size range;
-the subject side is broadcast after a size check and the (sale, subject) pairs go straight
-into map-side aggregation, never through a shuffle. Subjects too many for that are met through
-size slices, a plain equality join.
+Sold and active inputs carry measures. Ranges of sizes are met through size slices, an equality
+join whose range side is broadcast after a size check. A subject's ranges are cut at all their ends
+into rings; a sale falls into one ring of each different set of ranges, is counted there once, and
+what a range holds is the sum of its rings.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.constants import (
@@ -18,8 +20,8 @@ from marketval.constants import (
 )
 from marketval.functions import rates
 from marketval.functions.text import grouped, percent
-from marketval.operators.quantiles import aggregate, values_at_ranks
-from marketval.operators.sizing import DATASET, Dim, as_dim
+from marketval.operators.quantiles import Members, aggregate, meet, percentiles, values_at_ranks
+from marketval.operators.sizing import DATASET, Dim, as_dim, written
 
 SUBJECT = [*DATASET, "subject_id"]
 
@@ -50,8 +52,8 @@ def subject_brackets(subjects: DataFrame, profiles: Dim | DataFrame) -> DataFram
     )
 
 
-# Slices of the shuffled path, as slices per e-fold of size. A range is met at the finest
-# level at which it spans few slices, so narrow and wide ranges both stay equality joins.
+# Slices per e-fold of size. A range is met at the finest level at which it spans few slices, so
+# narrow and wide ranges both stay equality joins.
 _LEVELS = [10.0, 1.0, 0.1]
 _MAX_SLICES = 64
 _LOG_FLOOR = -746.0
@@ -69,8 +71,6 @@ def size_range_join(sold: DataFrame, ranges: Dim, rule: Column) -> DataFrame:
     """
     size = rates.metric_size(F.col("attribute"), F.col("lot_sqft"), F.col("living_sqft"))
     inside = (size >= F.col("low")) & (size <= F.col("high")) & rule
-    if ranges.fits:
-        return sold.join(F.broadcast(ranges.df), DATASET).where(inside)
     spans = [
         F.struct(
             F.lit(i).alias("level"), _slice_of(F.col("low"), x).alias("lo"),
@@ -93,19 +93,72 @@ def size_range_join(sold: DataFrame, ranges: Dim, rule: Column) -> DataFrame:
         .drop("_s")
     )
     places = F.array(
-        *[
-            F.struct(F.lit(a).alias("attribute"), F.lit(i).alias("_level"),
-                     _slice_of(F.col(a), x).alias("_slice"))
-            for a in ("lot_sqft", "living_sqft")
-            for i, x in enumerate(_LEVELS)
-        ]
+        *[F.struct(F.lit(i).alias("_level"), _slice_of(F.col("_at"), x).alias("_slice")) for i, x in enumerate(_LEVELS)]
     )
-    met = sold.withColumn("_p", F.explode(places)).select("*", "_p.*").drop("_p")
-    return met.join(cut, [*DATASET, "attribute", "_level", "_slice"]).where(inside).drop(
+    read = Dim(ranges.df.select(*DATASET, "attribute").distinct(), ranges).small()
+    met = (
+        sold.join(read, DATASET).withColumn("_at", size).where(F.col("_at").isNotNull())
+        .withColumn("_p", F.explode(places)).select("*", "_p.*").drop("_p", "_at")
+    )
+    side = Dim(cut, ranges).small()
+    return met.join(side, [*DATASET, "attribute", "_level", "_slice"]).where(inside).drop(
         "_level", "_slice"
     )
 
 
+def _same_beds() -> Column:
+    return F.col("bed_rule").isNull() | F.coalesce(F.col("beds") == F.col("bed_rule"), F.lit(False))
+
+
+@dataclass
+class Rings:
+    """Sales by ring: `sales` has the ring's columns and ppsf, `members` the rings of each range."""
+
+    sales: DataFrame
+    members: Members
+
+    def sums(self, points: dict[str, tuple[Column, float]]) -> DataFrame:
+        """Per range that holds a sale: count, rated, avg_ppsf and the percentiles."""
+        by = self.members.group
+        tallies = self.sales.groupBy(*self.members.atom).agg(
+            F.count(F.lit(1)).alias("n"), F.count("ppsf").alias("r"), F.sum("ppsf").alias("s")
+        )
+        found = meet(self.members.table, tallies, self.members.atom).groupBy(*by).agg(
+            F.sum("n").alias("count"), F.sum("r").alias("rated"),
+            F.try_divide(F.sum("s"), F.sum("r")).alias("avg_ppsf"),
+        )
+        return meet(found, percentiles(self.sales, by, points, self.members), by, "left")
+
+
+def rings(sold: DataFrame, ranges: DataFrame, key: list[str], dims: Dim) -> Rings:
+    """Sales by the rings that each subject's ranges are cut into at their ends.
+
+    `ranges` has `key` (SUBJECT and more), attribute, bed_rule, low and high. Subjects whose ranges
+    are alike share a set, so there is one pair for a sale and a different set. A ring is an end
+    itself (odd numbers) or what lies between two ends (even ones).
+    """
+    rule = ["attribute", "bed_rule"]
+    sound = ranges.where(F.col("low") <= F.col("high"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("low", "high")))))
+    bounds = sound.groupBy(*SUBJECT, *rule).agg(ends.alias("bounds"))
+    sets = written(meet(
+        bounds, bounds.groupBy(*DATASET, *rule, "bounds").agg(F.min("subject_id").alias("set")),
+        [*DATASET, *rule, "bounds"],
+    ))
+    hulls = sets.where(F.col("subject_id") == F.col("set")).select(
+        *DATASET, *rule, "set", "bounds", F.element_at("bounds", 1).alias("low"), F.element_at("bounds", -1).alias("high")
+    )
+    size = rates.metric_size(F.col("attribute"), F.col("lot_sqft"), F.col("living_sqft"))
+    below = F.size(F.filter("bounds", lambda b: b < size))
+    ring = 2 * below + F.coalesce(F.get("bounds", below) == size, F.lit(False)).cast("int")
+    met = size_range_join(sold, Dim(hulls, dims), _same_beds())
+    sales = written(met.select(*DATASET, "set", ring.alias("ring"), "ppsf"))
+    at = F.array_position
+    spans = F.sequence((2 * at("bounds", F.col("low")) - 1).cast("int"), (2 * at("bounds", F.col("high")) - 1).cast("int"))
+    table = meet(sound, sets, [*SUBJECT, *rule]).select(*key, "set", F.explode(spans).alias("ring"))
+    return Rings(sales, Members(written(table), [*DATASET, "set", "ring"], key))
+
+
 def bracket_pairs(sold: DataFrame, subjects: Dim | DataFrame, profiles: Dim | DataFrame) -> DataFrame:
     """The similar-size sales of each subject."""
     dim = as_dim(subjects)
@@ -113,10 +166,7 @@ def bracket_pairs(sold: DataFrame, subjects: Dim | DataFrame, profiles: Dim | Da
         *SUBJECT, "attribute", "bed_rule",
         F.col("bracket_low").alias("low"), F.col("bracket_high").alias("high"),
     )
-    side = Dim(ranges)
-    side.__dict__["fits"] = dim.fits
-    same_beds = F.col("bed_rule").isNull() | F.coalesce(F.col("beds") == F.col("bed_rule"), F.lit(False))
-    return size_range_join(sold, side, same_beds)
+    return size_range_join(sold, Dim(ranges, dim), _same_beds())
 
 
 BASES = [
@@ -136,16 +186,19 @@ def value_subjects(
 ) -> DataFrame:
     """Five bases per subject: rate, value, sample size; the first is the primary one."""
     dims, prof = as_dim(subjects), as_dim(profiles)
-    rated = F.count("ppsf")
-    bracket = aggregate(
-        bracket_pairs(sold, dims, prof), SUBJECT,
-        [rated.alias("_n0"), F.avg("ppsf").alias("_r1")], {"_r0": (F.col("ppsf"), 0.5)},
+    rated, middle = F.count("ppsf"), (F.col("ppsf"), 0.5)
+    rows = written(sold.select(*DATASET, "lot_sqft", "living_sqft", "beds", "ppsf"))
+    brackets = subject_brackets(dims.df, prof)
+    ranges = brackets.select(
+        *SUBJECT, "attribute", "bed_rule", F.col("bracket_low").alias("low"), F.col("bracket_high").alias("high")
+    )
+    bracket = rings(rows, ranges, SUBJECT, dims).sums({"_r0": middle}).select(
+        *SUBJECT, F.col("rated").alias("_n0"), F.col("avg_ppsf").alias("_r1"), "_r0"
     )
     market = aggregate(
-        sold, DATASET, [rated.alias("_n2"), F.avg("ppsf").alias("_r3")],
-        {"_r2": (F.col("ppsf"), 0.5)},
+        rows.select(*DATASET, "ppsf"), DATASET, [rated.alias("_n2"), F.avg("ppsf").alias("_r3")], {"_r2": middle}
     )
-    asks = aggregate(active, DATASET, [rated.alias("_n4")], {"_r4": (F.col("ppsf"), 0.5)})
+    asks = aggregate(active.select(*DATASET, "ppsf"), DATASET, [rated.alias("_n4")], {"_r4": middle})
     n0 = F.coalesce("_n0", F.lit(0))
     bases = F.array(
         *[
@@ -164,8 +217,7 @@ def value_subjects(
         ]
     )
     return (
-        subject_brackets(dims.df, prof)
-        .join(bracket, SUBJECT, "left")
+        brackets.join(bracket, SUBJECT, "left")
         .join(prof.small(market), DATASET, "left")
         .join(prof.small(asks), DATASET, "left")
         .select(
@@ -250,16 +302,17 @@ def bracket_ladder(
     dims, prof = as_dim(subjects), as_dim(profiles)
     rungs = ladder_rungs(dims.df, prof)
     key = [*SUBJECT, "position"]
-    side = Dim(rungs.select(*key, "attribute", "low", "high"), dims)
     plain = [F.count(F.lit(1)).alias("count"), F.avg("ppsf").alias("avg_ppsf")]
     middle = {"median_ppsf": (F.col("ppsf"), 0.5)}
-    found = aggregate(size_range_join(sold, side, F.lit(True)), key, plain, middle)
+    sales = written(sold.select(*DATASET, "lot_sqft", "living_sqft", "beds", "ppsf"))
+    ranges = rungs.select(*key, "attribute", F.lit(None).cast("double").alias("bed_rule"), "low", "high")
+    found = rings(sales, ranges, key, dims).sums(middle)
     rows = rungs.join(found, key, "left").select(
         *SUBJECT, "position", "label", "low", "high", "subject_size",
         F.coalesce("count", F.lit(0)).alias("count"), "median_ppsf", "avg_ppsf",
         "is_profile_bracket", F.lit(False).alias("is_all_sold"),
     )
-    everything = aggregate(sold, DATASET, plain, middle)
+    everything = aggregate(sales.select(*DATASET, "ppsf"), DATASET, plain, middle)
     last = (
         rungs.groupBy(*SUBJECT)
         .agg(F.max("position").alias("_last"), F.max("subject_size").alias("subject_size"))
@@ -336,7 +389,8 @@ def size_bands(
 ) -> DataFrame:
     """Rates by size band per dataset; `subjects_in_band` counts the subjects a band holds."""
     dims, prof = as_dim(subjects), as_dim(profiles)
-    edges = band_edges(sold)
+    sold = written(sold.select(*DATASET, "metric_size", "ppsf", "sold_price"))
+    edges = written(band_edges(sold))
 
     def place(x: Column) -> Column:
         # The band whose half-open range holds x; the last band also holds its upper end.
@@ -352,14 +406,14 @@ def size_bands(
 
     small_edges = prof.small(edges)
     by = [*DATASET, "band"]
-    members = (
+    banded = (
         sold.where(F.col("metric_size").isNotNull())
         .join(small_edges, DATASET)
         .withColumn("band", place(F.col("metric_size")))
         .drop("bounds", "bands", "n_sized")
     )
     found = aggregate(
-        members, by,
+        banded, by,
         [F.count(F.lit(1)).alias("count"), F.avg("ppsf").alias("avg_ppsf")],
         {
             "median_ppsf": (F.col("ppsf"), 0.5),

@@ -2,12 +2,11 @@
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.constants import BROKERAGE_FAMILIES
 from marketval.operators import agents, areas, cleaning, guidance, measures, quality, stats, valuation
-from marketval.operators.sizing import DATASET, Dim, as_dim
+from marketval.operators.sizing import DATASET, Dim, as_dim, written
 
 
 @dataclass
@@ -43,8 +42,9 @@ class Prepared:
 def prepare(tables: Tables, keep: bool = False) -> Prepared:
     """Key, merge, exclude, reconcile, classify, measure. `keep` stores the two results, which
     every later table reads."""
-    sold = measures.with_keys(tables.sold, tables.profiles)
-    active = measures.with_keys(tables.active, tables.profiles)
+    # Stored at once: the merge, the reconciliation and the final rows all read them.
+    sold = written(measures.with_keys(tables.sold, tables.profiles))
+    active = written(measures.with_keys(tables.active, tables.profiles))
     cleaned = cleaning.clean(sold, active, tables.profiles)
     placed_sold = areas.classify_all(cleaned.sold, tables.geometry)
     placed_active = areas.classify_all(cleaned.active, tables.geometry)
@@ -53,8 +53,7 @@ def prepare(tables: Tables, keep: bool = False) -> Prepared:
     # Kept sales are listed by address group, then by the sale's first row.
     out_sold = out_sold.withColumn("list_ord", F.struct("grp_ord", "slot_ord"))
     if keep:
-        out_sold = out_sold.persist(StorageLevel.MEMORY_AND_DISK)
-        out_active = out_active.persist(StorageLevel.MEMORY_AND_DISK)
+        out_sold, out_active = written(out_sold), written(out_active)
     return Prepared(out_sold, out_active, cleaned)
 
 

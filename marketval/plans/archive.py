@@ -4,6 +4,8 @@ A run is market, profile and a UTC stamp, and all three are partition columns, s
 reading a run never opens another run's files.
 """
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,8 +20,6 @@ from marketval.plans.analysis import Tables, analyze
 RUN = [*DATASET, "run_at"]
 RUNS = "runs"
 STAMP = "yyyyMMdd'T'HHmmss'Z'"
-# Files that one dataset's rows of a table are spread over at most.
-FILES = 16
 
 
 class SnapshotIncompatible(ValueError):
@@ -53,36 +53,66 @@ def _tagged(rows: DataFrame, stamp: str) -> DataFrame:
     )
 
 
+def _partitions(spark: SparkSession, root: str, name: str, stamp: str) -> list:
+    """Folders of one stamp in the tables that match `name`, as paths of the file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/market=*/profile=*/run_at={stamp}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(files, f.getPath()) for f in files.globStatus(path) or []]
+
+
+def _withdraw(tables: Tables, root: str, stamp: str) -> None:
+    """Remove what an earlier write left under this stamp for this run's datasets; the run rows go
+    first, so that a run which is being written anew is not listed."""
+    spark = tables.sold.sparkSession
+    there = _partitions(spark, root, RUNS, stamp) + _partitions(spark, root, "*", stamp)
+    if not there:
+        return
+    named = _tagged(tables.profiles.df, stamp).select(*DATASET).distinct().toLocalIterator()
+    mine = {f"market={r['market']}/profile={r['profile']}/run_at={stamp}" for r in named}
+    for files, path in there:
+        if "/".join(str(path.toString()).rsplit("/", 3)[1:]) in mine:
+            files.delete(path, True)
+
+
 def write_run(
     results: dict[str, DataFrame], tables: Tables, root: str, stamp: str,
     window: tuple[str, str], researcher: str = "",
 ) -> None:
     """Write every result table, and the run rows last: a run is listed once it is whole.
 
-    Writing a run again replaces its own partitions and no others."""
-    for name, rows in results.items():
-        _put(_tagged(rows, stamp), f"{root}/{name}")
+    Writing a run again replaces its own partitions and no others, a table that has no rows this
+    time included. The run rows name every table with its schema, so an empty one reads as empty."""
+    stored = {**results, "subjects": tables.subjects.df}
+    schemas = F.create_map(*[F.lit(x) for n, rows in stored.items() for x in (n, _tagged(rows, stamp).schema.json())])
     runs = (
         tables.profiles.df.withColumn("schema_version", F.lit(SCHEMA_VERSION))
         .withColumn("window_start", F.lit(window[0]).cast("date"))
         .withColumn("window_end", F.lit(window[1]).cast("date"))
         .withColumn("researcher", F.lit(researcher))
+        .withColumn("tables", schemas)
     )
-    for name, rows in (("subjects", tables.subjects.df), (RUNS, runs)):
+    _withdraw(tables, root, stamp)
+    for name, rows in stored.items():
         _put(_tagged(rows, stamp), f"{root}/{name}")
+    _put(_tagged(runs, stamp), f"{root}/{RUNS}")
 
 
 def _put(rows: DataFrame, path: str) -> None:
-    # One dataset's rows come together, in up to FILES tasks, so few files are opened.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(FILES))
-    (rows.repartition("market", "profile", salt).write.mode("overwrite")
+    # One dataset's rows come together in as many tasks as their size asks for.
+    (rows.hint("rebalance", *DATASET).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path))
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table whose keys are text, whatever a folder's name looks like."""
-    schema = spark.read.parquet(path).schema
-    fields = [StructField(f.name, StringType()) if f.name in RUN else f for f in schema.fields]
+def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A stored table whose keys are text, whatever a folder's name looks like. One that has never
+    had a row is empty, with the schema that its run names."""
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException:
+        if schema is None:
+            raise
+        return spark.createDataFrame([], StructType.fromJson(json.loads(schema)))
+    fields = [StructField(f.name, StringType()) if f.name in RUN else f for f in found.fields]
     return spark.read.schema(StructType(fields)).parquet(path)
 
 
@@ -107,8 +137,12 @@ def read_stored(
     profile: str | None = None, stamp: str | None = None,
 ) -> DataFrame:
     """A result table exactly as the runs reported it. Nothing is recomputed."""
-    check_version(_picked(_read(spark, f"{root}/{RUNS}"), market, profile, stamp))
-    return _picked(_read(spark, f"{root}/{name}"), market, profile, stamp)
+    runs = _picked(_read(spark, f"{root}/{RUNS}"), market, profile, stamp)
+    check_version(runs)
+    if "tables" not in runs.columns:  # written before runs named their tables
+        return _picked(_read(spark, f"{root}/{name}"), market, profile, stamp)
+    named = runs.select(F.try_element_at("tables", F.lit(name)).alias("schema")).where("schema IS NOT NULL").first()
+    return _picked(_read(spark, f"{root}/{name}", named and named["schema"]), market, profile, stamp)
 
 
 def list_runs(

@@ -5,6 +5,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from marketval.functions.parse import iso_date
 from marketval.operators.quality import valid_area
+from marketval.operators.ranking import rank_in_group
+from marketval.operators.sizing import DATASET
 from marketval.schemas import RECORDED_ACTIVE, RECORDED_SOLD
 
 DATES = {"sold_date", "listed_date"}
@@ -79,9 +81,11 @@ def read_recording(
 
 
 def union_in_order(parts: list[DataFrame]) -> DataFrame:
-    """Sources stacked in declared order: row_ord becomes (source rank, position)."""
+    """Sources stacked in declared order. Rows are numbered anew, from 0 and without gaps in each
+    dataset, by source and then by their order in it, so that later joins by row_ord stay one to one."""
     out = None
     for rank, part in enumerate(parts):
         one = part.withColumn("source_rank", F.lit(rank))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    placed = rank_in_group(out, DATASET, [F.col("source_rank"), F.col("row_ord")], "_place")
+    return placed.withColumn("row_ord", F.col("_place") - 1).drop("_place")

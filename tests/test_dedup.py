@@ -75,13 +75,17 @@ def _as_sold(group, rows):
     ]
 
 
-@pytest.mark.parametrize("limit", [10_000, 25])
-def test_against_the_walk_in_any_partitioning(spark, limit, monkeypatch):
-    """Limit 25 sends the long keys through chunks, trees and rounds."""
-    monkeypatch.setattr(dedup, "CHUNK_ROWS", 15)
-    monkeypatch.setattr(dedup, "FAN_IN", 2)
+@pytest.mark.parametrize("partial, split", [(True, 10_000), (True, 4), (False, 4)])
+def test_against_the_walk_in_any_partitioning(spark, partial, split, monkeypatch):
+    """Chains of near figures, with and without rows that lack one; fates do not depend on splitting."""
+    monkeypatch.setattr(dedup, "SPLIT_ROWS", split)
     rng = random.Random(11)
-    groups = {g: _random_rows(rng, n) for g, n in enumerate([1, 2, 7, 20, 60, 150, 301])}
+    groups = {g: _random_rows(rng, n) for g, n in enumerate([1, 2, 7, 20, 60, 150, 301, 3, 3, 4, 4, 5, 5, 6])}
+    if not partial:
+        groups = {g: [r for r in rows if None not in r[:2]] or [(1.0, 1.0, 0)] for g, rows in groups.items()}
+    groups[90] = [(p, s, c) for p, s, c in _random_rows(rng, 80) if s is not None]  # prices are missing alone
+    groups[91] = [(p, s, c) for p, s, c in _random_rows(rng, 80) if p is not None]  # sizes are missing alone
+    groups[92] = [(-p if p else p, s, c) for p, s, c in _random_rows(rng, 60) if p is not None and s is not None]
     flat, want, at = [], {}, 0
     for g, rows in groups.items():
         sold_rows = _as_sold(g, rows)
@@ -93,20 +97,19 @@ def test_against_the_walk_in_any_partitioning(spark, limit, monkeypatch):
     keyed = measures.with_keys(h.sold(spark, flat), h.profiles(spark)).repartition(7)
     got = {
         r["row_ord"]: (r["grp_ord"], r["slot_ord"], r["is_duplicate"], r["is_kept"])
-        for r in dedup.resolve_sales(keyed, limit=limit).collect()
+        for r in dedup.resolve_sales(keyed).collect()
     }
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [10_000, 25, 2])
-def test_not_a_number_is_not_missing_at_any_size(spark, limit, monkeypatch):
-    """NaN is like itself only; the JVM fold and the fold of hot keys agree row for row."""
-    monkeypatch.setattr(dedup, "CHUNK_ROWS", 15)
-    monkeypatch.setattr(dedup, "FAN_IN", 2)
+@pytest.mark.parametrize("split", [10_000, 2])
+def test_not_a_number_is_not_missing(spark, split, monkeypatch):
+    """NaN is like itself only; infinities too."""
+    monkeypatch.setattr(dedup, "SPLIT_ROWS", split)
     nan, rng = float("nan"), random.Random(12)
     three = [{"address": "1 Oak St", "sold_price": p, "lot_sqft": 5000.0} for p in (100.0, nan, 200.0)]
     odd = [(rng.choice([p, nan, float("inf")]), rng.choice([s, nan, 0.0]), c) for p, s, c in _random_rows(rng, 120)]
-    got = resolved(spark, three + _as_sold(1, odd), limit=limit)
+    got = resolved(spark, three + _as_sold(1, odd))
     assert kept(got)[:3] == [0, 1, 2]
     fates = [tuple(r) for r in got.select("row_ord", "grp_ord", "slot_ord", "is_duplicate", "is_kept").orderBy("row_ord").collect()]
 
@@ -165,11 +168,53 @@ def test_repeat_sales_compare_with_the_first_row(spark):
     assert sorted(r["row_ord"] for r in cleaning.repeat_sales(keyed).collect()) == [2, 3]
 
 
-def test_lookup_ceiling_by_trim_and_by_rank(spark, monkeypatch):
+def test_lookup_ceiling_by_rank(spark):
     rows = h.sold(spark, [{"sources": ["u"], "lot_sqft": 1} for _ in range(30)]).repartition(5)
     targets = cleaning.needs_lookup(rows, h.profiles(spark))
-    first = sorted(r["row_ord"] for r in cleaning.lookup_targets(targets, 7).collect())
-    monkeypatch.setattr(cleaning, "RANK_LIMIT", 1)
-    ranked = sorted(r["row_ord"] for r in cleaning.lookup_targets(targets, 7).collect())
-    assert first == ranked == list(range(7))
+    assert sorted(r["row_ord"] for r in cleaning.lookup_targets(targets, 7).collect()) == list(range(7))
     assert cleaning.lookups_skipped(targets, 7).select(F.col("skipped")).first()[0] == 23
+
+
+def _slim(spark, n, price, size):
+    """n rows at one address, as the merge reads them; figures are columns of `id`."""
+    return spark.range(n).select(
+        F.lit("m").alias("market"), F.lit("p").alias("profile"), F.lit("1 elm st").alias("addr_key"), F.col("id").alias("row_ord"),
+        price.cast("double").alias("sold_price"), size.cast("double").alias("lot_sqft"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("living_sqft", "double"), ("brokerage", "string"), ("agent", "string"), ("final_list_price", "double"),
+            ("sold_date", "date"), ("lat", "double"))],
+    )
+
+
+def test_a_million_different_sales_at_one_address(spark):
+    """The key is cut into its sales; no task walks them together, and no walk is needed at all."""
+    price = F.pow(F.lit(1.01), F.col("id") % 2000)
+    size = F.pow(F.lit(1.1), F.floor(F.col("id") / 2000))
+    sold = _slim(spark, 1_000_000, price, size)
+    got = dedup.resolve_sales(sold)
+    assert got.where("is_kept AND NOT is_duplicate AND slot_ord = row_ord AND grp_ord = 0").count() == 1_000_000
+    slim = sold.select("market", "profile", F.col("addr_key").alias("_key"), F.col("row_ord").alias("_ord"),
+                       F.col("sold_price").alias("_price"), F.col("lot_sqft").alias("_size"), F.lit(1).alias("_score"),
+                       F.lit(0).cast("long").alias("grp_ord"))
+    parts = dedup._parts(slim, ["market", "profile", "_key"])
+    assert parts.select("_first").distinct().count() == 1_000_000 and parts.where(~dedup._is_one_sale()).isEmpty()
+
+
+def test_copies_of_a_sale_and_rows_without_price_end_in_an_aggregate(spark):
+    """200,000 rows of three sales at one address, some without a price: sizes keep them apart."""
+    price = F.when(F.col("id") % 5 == 4, None).otherwise(100_000 + F.col("id") % 3 * 100)
+    size = F.element_at(F.array(F.lit(1000), F.lit(2000), F.lit(4000)), (F.col("id") % 3 + 1).cast("int"))
+    got = dedup.resolve_sales(_slim(spark, 200_000, price, size))
+    assert sorted(r["row_ord"] for r in got.where("is_kept").collect()) == [0, 1, 2]
+    assert got.where(F.col("slot_ord") != F.col("row_ord") % 3).isEmpty()
+
+
+@pytest.mark.parametrize("split", [10_000, 50])
+def test_a_long_chain_is_walked_as_a_stream(spark, split, monkeypatch):
+    """Neighbouring prices match and others do not: one part, whose kept sales alone are held."""
+    monkeypatch.setattr(dedup, "SPLIT_ROWS", split)
+    rows = [(100000.0 * 1.004 ** (k * 7 % 500), 5000.0, 0) for k in range(3000)]
+    want = by_hand([(p, s, 1) for p, s, _ in rows])
+    got = dedup.resolve_sales(measures.with_keys(h.sold(spark, _as_sold(0, rows)), h.profiles(spark)).repartition(6))
+    found = [tuple(r) for r in got.select("row_ord", "slot_ord", "is_duplicate", "is_kept").orderBy("row_ord").collect()]
+    assert found == want

@@ -93,6 +93,25 @@ def test_another_version_and_missing_metadata_are_refused(spark, archived, tmp_p
         archive.collected(spark, root, h.geometry(spark), "m", "nothing", "20260801T000000Z")
 
 
+def test_writing_again_leaves_nothing_of_the_first_write(spark, tmp_path):
+    """Fewer rows, then none, in a table; another market's run under the same stamp stays."""
+    root, stamp = str(tmp_path / "archive"), "20260801T000000Z"
+    tables = market_tables(spark, 5)
+    sold = measures.sold_measures(tables.sold, tables.profiles)
+    elsewhere = lambda df: df.withColumn("market", F.lit("other"))
+    other = analysis.Tables(*[elsewhere(x) for x in (tables.sold, tables.active, tables.profiles.df, tables.subjects.df)], tables.geometry)
+    archive.write_run({"sold": elsewhere(sold), "log": elsewhere(sold)}, other, root, stamp, ("2026-06-02", "2026-08-31"))
+    n = sold.count()
+    for rows in (sold, sold.where("row_ord < 2"), sold.limit(0), sold):
+        archive.write_run({"sold": rows, "log": sold, "never": sold.limit(0)}, tables, root, stamp, ("2026-06-02", "2026-08-31"))
+        assert archive.read_stored(spark, root, "sold", "m", "lots", stamp).count() == rows.count()
+        assert archive.read_stored(spark, root, "log", "m", "lots", stamp).count() == n
+        never = archive.read_stored(spark, root, "never", "m", "lots", stamp)
+        assert never.count() == 0 and set(sold.columns) <= set(never.columns)
+        assert archive.read_stored(spark, root, "sold", "other", "lots", stamp).count() == n
+        assert archive.list_runs(spark, root, "m", "lots").count() == 1
+
+
 def test_renaming_moves_every_run(spark, tmp_path):
     root = str(tmp_path / "archive")
     tables = market_tables(spark, 5)

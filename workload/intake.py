@@ -50,8 +50,10 @@ def _(w):
 
 
 @query("set7_union_in_order", f"""
-SELECT market, profile, row_ord, address, 0 AS source_rank FROM sold
-UNION ALL SELECT market, profile, row_ord, address, 1 FROM active""")
+SELECT market, profile, row_number() OVER (PARTITION BY market, profile ORDER BY source_rank, row_ord) - 1 AS row_ord,
+  address, source_rank
+FROM (SELECT market, profile, row_ord, address, 0 AS source_rank FROM sold
+  UNION ALL SELECT market, profile, row_ord, address, 1 FROM active)""")
 def _(w):
     cols = [*DATASET_ID, "address"]
     return recorded.union_in_order([w.sold.select(*cols), w.active.select(*cols)])
