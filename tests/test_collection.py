@@ -17,14 +17,24 @@ RECORDS = [
     {"addr": {}, "price": None, "url": "http://169.254.169.254/x"},
     {"addr": {"line": "16 Elm St"}, "price": "$1.2M", "size": "1" * 200 + " acres", "url": "ftp://idx.example/p"},
 ]
-SPEC = embedded.EmbeddedSpec.from_config({
-    "records_path": "props.0.records", "total_path": "props.0.total", "url_base": "https://idx.example/",
-    "fields": {
-        "address": {"path": "addr.line", "transform": "text"}, "sold_price": {"path": "price", "transform": "money"},
-        "sold_date": {"path": "tags", "transform": "tag_date"}, "lot_sqft": {"path": "size", "transform": "sqft"},
-        "lat": {"path": "geo.0", "transform": "float"}, "beds": {"path": "beds", "transform": "float"},
-        "source_url": "url", "agent": {"path": "by", "transform": "attribution_agent"},
-        "brokerage": {"path": "by", "transform": "attribution_brokerage"}}})
+SPEC = embedded.Layout(
+    records="props.0.records", total="props.0.total", base="https://idx.example/",
+    rules=[("address", "addr.line", "text"), ("sold_price", "price", "money"), ("sold_date", "tags", "tag_date"),
+           ("lot_sqft", "size", "sqft"), ("lat", "geo.0", "float"), ("beds", "beds", "float"), ("source_url", "url", "raw"),
+           ("agent", "by", "attribution_agent"), ("brokerage", "by", "attribution_brokerage")])
+
+
+def test_layouts_come_from_settings_kept_as_text(spark):
+    """Rules are paths or objects; a source without rules or with unreadable settings has defaults."""
+    said = [("a", json.dumps({"records_path": "x.y", "url_base": "https://h/", "fields": {
+                "address": {"path": "addr.line", "transform": "text"}, "beds": "b", "lat": {"path": "geo.0"}}})),
+            ("b", json.dumps({"data_path": "d", "script_id": "S", "total_path": "t"})), ("c", "not json"), ("d", None)]
+    rows = embedded.layout_rows(spark.createDataFrame(said, "source string, settings string"), F.col("settings"))
+    assert embedded.layout_of(rows, "a") == embedded.Layout(
+        "x.y", [("address", "addr.line", "text"), ("beds", "b", "raw"), ("lat", "geo.0", "raw")], "", "https://h/")
+    assert embedded.layout_of(rows, "b") == embedded.Layout("d", [], "t", "", "S")
+    assert embedded.layout_of(rows, "c") == embedded.layout_of(rows, "d") == embedded.Layout("", [])
+    assert embedded.layout_of(rows, "a").rule("agent") == ("", "raw")
 
 
 def page(body, script_id="__NEXT_DATA__"):

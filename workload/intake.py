@@ -61,25 +61,14 @@ def _(w):
 
 # -- page data ---------------------------------------------------------------------------------
 
-SPEC = embedded.EmbeddedSpec.from_config(
-    {
-        "records_path": "props.search.records",
-        "total_path": "props.total",
-        "url_base": "https://idx.example/",
-        "fields": {
-            "address": {"path": "addr.line", "transform": "text"},
-            "sold_price": {"path": "price", "transform": "money"},
-            "sold_date": {"path": "tags", "transform": "tag_date"},
-            "lot_sqft": {"path": "size", "transform": "sqft"},
-            "property_type": "type",
-            "beds": {"path": "beds", "transform": "float"},
-            "lat": {"path": "geo.0", "transform": "float"},
-            "lon": {"path": "geo.1", "transform": "float"},
-            "source_url": "url",
-            "agent": {"path": "by", "transform": "attribution_agent"},
-            "brokerage": {"path": "by", "transform": "attribution_brokerage"},
-        },
-    }
+SPEC = embedded.Layout(
+    records="props.search.records", total="props.total", base="https://idx.example/",
+    rules=[
+        ("address", "addr.line", "text"), ("sold_price", "price", "money"), ("sold_date", "tags", "tag_date"),
+        ("lot_sqft", "size", "sqft"), ("property_type", "type", "raw"), ("beds", "beds", "float"),
+        ("lat", "geo.0", "float"), ("lon", "geo.1", "float"), ("source_url", "url", "raw"),
+        ("agent", "by", "attribution_agent"), ("brokerage", "by", "attribution_brokerage"),
+    ],
 )
 
 
