@@ -82,6 +82,7 @@ def verdict(
     def shown(x: Column) -> Column:
         return F.coalesce(x.cast("string"), F.lit("None"))
 
+    # The texts of the reasons, which readers of the results match.
     out = (
         F.when(no_evidence, answer(False, "no evidence offered: neither a price nor a date"))
         .when(
