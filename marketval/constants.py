@@ -143,5 +143,5 @@ HTML_DATA_TYPES = ["application/ld+json", "application/json"]
 # Text patterns of the field transforms.
 MONEY_PATTERN = r"[-+]?[\d,]*\.?\d+"
 TAG_DATE_PATTERN = r"^[A-Za-z]{3,9}\.?\s+\d{1,2},\s*\d{4}$"
-DIMENSION_PATTERN = r"([\d,.]+)\s*(acre|acres|ac|sq\s*ft|sqft|square feet)"
+DIMENSION_PATTERN = r"(?<![\d,.])([\d,.]++)\s*+(acre|acres|ac|sq\s*ft|sqft|square feet)"
 LICENCE_PATTERN = r"\b(?:DRE|BRE|CalBRE|Lic(?:ense)?)\b"

@@ -68,12 +68,13 @@ def as_tag_date(tags: Column) -> Column:
     )
 
 
-def as_sqft(x: Column) -> Column:
-    """struct(sqft, from_acres); long text is not searched, since the pattern backtracks."""
+def as_sqft(x: Column, max_chars: int | None = None) -> Column:
+    """struct(sqft, from_acres); with `max_chars`, a longer text is not searched. The pattern reads each
+    character a bounded number of times."""
     pattern = "(?i)" + DIMENSION_PATTERN
     number = F.regexp_replace(F.regexp_extract(x, pattern, 1), ",", "").try_cast("double")
     acres = F.lower(F.regexp_extract(x, pattern, 2)).startswith("ac")
-    searched = F.length(x) <= MAX_DIMENSION_CHARS
+    searched = x.isNotNull() if max_chars is None else F.length(x) <= max_chars
     found = F.when(
         searched, F.when(acres, number * F.lit(SQFT_PER_ACRE)).otherwise(number)
     )
@@ -108,7 +109,7 @@ def split_attribution(x: Column) -> Column:
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "money": as_money,
     "date": as_date,
-    "sqft": as_sqft,
+    "sqft": lambda x: as_sqft(x, MAX_DIMENSION_CHARS),
     "text": lambda x: strip(F.nullif(x, F.lit(""))),
     "attribution_agent": lambda x: split_attribution(x)["agent"],
     "attribution_brokerage": lambda x: split_attribution(x)["brokerage"],

@@ -108,15 +108,20 @@ def focus_text(
     text: Column,
     terms: list[str] = FOCUS_TERMS,
     window: int = FOCUS_WINDOW,
-    max_chars: int = FOCUS_MAX_CHARS,
+    max_chars: int | None = None,
     head: int = FOCUS_HEAD,
+    short: int | None = None,
 ) -> Column:
     """The head of a long text and a window round every term; short text unchanged.
 
     Each term's hits are read off the lengths of the pieces that the term splits the text
-    into, so the work stays in the JVM. Windows that touch are merged, and pieces are cut so
-    that together they hold at most `max_chars` characters.
+    into, so the work stays in the JVM. Windows that touch are merged. With `max_chars`, pieces
+    are cut so that together they hold that many characters at most. A text of up to `short`
+    characters (`max_chars` where given) is short.
     """
+    if short is None:
+        short = FOCUS_MAX_CHARS if max_chars is None else max_chars
+    max_chars = 2**31 - 1 if max_chars is None else max_chars
     size = F.length(text)
     low = F.lower(text)
 
@@ -174,4 +179,4 @@ def focus_text(
             )
         ),
     )["out"]
-    return F.when(size <= max_chars, text).otherwise(F.array_join(taken, "\n[...]\n"))
+    return F.when(size <= short, text).otherwise(F.array_join(taken, "\n[...]\n"))

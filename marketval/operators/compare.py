@@ -8,32 +8,73 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.functions import rates
 from marketval.functions.text import grouped
-from marketval.operators.ranking import first_per_group, last_per_key
+from marketval.operators.ranking import first_per_group
 
 KEY = "addr_key_unit"
 PAIR = ["market", "profile", "run_at"]
 
 
-def _by_key(rows: DataFrame, by: list[str], extra: list[str] | None = None) -> DataFrame:
-    cols = [*by, KEY, "row_ord", "address", *(extra or [])]
-    return last_per_key(rows.select(*cols), [*by, KEY], "row_ord").drop("row_ord")
+def seen(by: list[str], **sides: DataFrame) -> DataFrame:
+    """One row per key that any side has: for each side, its last row as (address, price), else NULL.
+
+    The sides are stacked as narrow rows and reduced together, copies before the shuffle, so the
+    keys move once whatever is asked of them. A missing address is one key, like any other.
+    """
+    stacked = None
+    for name, rows in sides.items():
+        price = F.col("list_price") if "list_price" in rows.columns else F.lit(None)
+        narrow = rows.select(
+            *by, KEY, F.lit(name).alias("_side"), "row_ord",
+            F.struct("address", price.cast("double").alias("price")).alias("_row"),
+        )
+        stacked = narrow if stacked is None else stacked.unionByName(narrow)
+    last = [
+        F.max_by("_row", F.when(F.col("_side") == name, F.col("row_ord"))).alias(name) for name in sides
+    ]
+    return stacked.groupBy(*by, KEY).agg(*last)
+
+
+# Category: (which keys are in it, the side that names the address)
+CATEGORIES = {
+    "new_sale": ("prior_sold IS NULL AND current_sold IS NOT NULL", "current_sold"),
+    "newly_closed": (
+        "prior_sold IS NULL AND current_sold IS NOT NULL AND prior_active IS NOT NULL", "current_sold"
+    ),
+    "new_active": ("prior_active IS NULL AND current_active IS NOT NULL", "current_active"),
+    "gone": ("prior_active IS NOT NULL AND current_active IS NULL AND current_sold IS NULL", "prior_active"),
+    "price_cut": (
+        "prior_active.price <> 0 AND current_active.price <> 0 AND current_active.price < prior_active.price",
+        "current_active",
+    ),
+}
+
+
+def _asks() -> tuple[Column, Column]:
+    return F.col("prior_active.price"), F.col("current_active.price")
+
+
+def _only(category: str, by: list[str], **sides: DataFrame) -> DataFrame:
+    belongs, row = CATEGORIES[category]
+    return seen(by, **sides).where(belongs).withColumn("address", F.col(f"{row}.address"))
 
 
 def new_sales(prior_sold: DataFrame, current_sold: DataFrame, by: list[str] = PAIR) -> DataFrame:
-    on = [*by, KEY]
-    return _by_key(current_sold, by).join(prior_sold.select(*on), on, "left_anti")
+    rows = _only("new_sale", by, prior_sold=prior_sold, current_sold=current_sold)
+    return rows.select(*by, KEY, "address")
 
 
 def newly_closed(
     prior_sold: DataFrame, prior_active: DataFrame, current_sold: DataFrame, by: list[str] = PAIR
 ) -> DataFrame:
-    on = [*by, KEY]
-    return new_sales(prior_sold, current_sold, by).join(prior_active.select(*on), on, "left_semi")
+    rows = _only(
+        "newly_closed", by, prior_sold=prior_sold, prior_active=prior_active, current_sold=current_sold
+    )
+    return rows.select(*by, KEY, "address")
 
 
 def new_active(prior_active: DataFrame, current_active: DataFrame, by: list[str] = PAIR) -> DataFrame:
-    on = [*by, KEY]
-    return _by_key(current_active, by).join(prior_active.select(*on), on, "left_anti")
+    rows = _only("new_active", by, prior_active=prior_active, current_active=current_active)
+    return rows.select(*by, KEY, "address")
 
 
 def gone_from_active(
@@ -42,24 +83,18 @@ def gone_from_active(
     current_sold: DataFrame,
     by: list[str] = PAIR,
 ) -> DataFrame:
-    on = [*by, KEY]
-    return (
-        _by_key(prior_active, by)
-        .join(current_active.select(*on), on, "left_anti")
-        .join(current_sold.select(*on), on, "left_anti")
+    rows = _only(
+        "gone", by, prior_active=prior_active, current_active=current_active, current_sold=current_sold
     )
+    return rows.select(*by, KEY, "address")
 
 
 def price_cuts(prior_active: DataFrame, current_active: DataFrame, by: list[str] = PAIR) -> DataFrame:
     """Listings in both runs whose ask fell."""
-    on = [*by, KEY]
-    before = _by_key(prior_active, by, ["list_price"]).select(*on, F.col("list_price").alias("before"))
-    after = _by_key(current_active, by, ["list_price"]).withColumnRenamed("list_price", "after")
-    b, a = F.col("before"), F.col("after")
-    return (
-        after.join(before, on)
-        .where((b != 0) & (a != 0) & (a < b))
-        .select(*on, "address", "before", "after", (a - b).alias("change"))
+    before, after = _asks()
+    rows = _only("price_cut", by, prior_active=prior_active, current_active=current_active)
+    return rows.select(
+        *by, KEY, "address", before.alias("before"), after.alias("after"), (after - before).alias("change")
     )
 
 
@@ -70,28 +105,22 @@ def changes(
     current_active: DataFrame,
     by: list[str] = PAIR,
 ) -> DataFrame:
-    """All five categories as rows (by, category, address, before, after)."""
-    none = F.lit(None).cast("double")
+    """All five categories as rows (by, category, address, before, after), from one pass."""
+    keys = seen(by, prior_sold=prior_sold, prior_active=prior_active,
+                current_sold=current_sold, current_active=current_active)
 
-    def tagged(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(
-            *by, F.lit(name).alias("category"), "address", none.alias("before"), none.alias("after")
-        )
+    before, after = _asks()
 
-    cuts = price_cuts(prior_active, current_active, by).select(
-        *by, F.lit("price_cut").alias("category"), "address", "before", "after"
-    )
-    return (
-        tagged(new_sales(prior_sold, current_sold, by), "new_sale")
-        .unionByName(
-            tagged(newly_closed(prior_sold, prior_active, current_sold, by), "newly_closed")
-        )
-        .unionByName(tagged(new_active(prior_active, current_active, by), "new_active"))
-        .unionByName(
-            tagged(gone_from_active(prior_active, current_active, current_sold, by), "gone")
-        )
-        .unionByName(cuts)
-    )
+    def item(name: str) -> Column:
+        belongs, row = CATEGORIES[name]
+        cut = F.lit(name == "price_cut")
+        return F.when(F.expr(belongs), F.struct(
+            F.lit(name).alias("category"), F.col(f"{row}.address").alias("address"),
+            F.when(cut, before).alias("before"), F.when(cut, after).alias("after"),
+        ))
+
+    items = F.array_compact(F.array(*[item(name) for name in CATEGORIES]))
+    return keys.select(*by, F.inline(items))
 
 
 def deltas(before: DataFrame, after: DataFrame, on: list[str], figures: dict[str, str]) -> DataFrame:
@@ -115,9 +144,10 @@ def deltas(before: DataFrame, after: DataFrame, on: list[str], figures: dict[str
 
 
 def first_names(
-    rows: DataFrame, by: list[str], name: str, limit: int = 8, order: Column | None = None
+    rows: DataFrame, by: list[str], name: str, limit: int = 8, order: Column | None = None,
+    separator: str = ", ", counted: bool = True,
 ) -> DataFrame:
-    """Per group the count and the first names joined, '(+n more)' when there are more.
+    """Per group the count and the first names joined, if `counted` with '(+n more)' when there are more.
 
     Only `limit` rows of a group are ever brought together.
     """
@@ -129,14 +159,14 @@ def first_names(
         .agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("_at", name))), lambda s: s[name]),
-                ", ",
+                separator,
             ).alias("_shown")
         )
     )
     more = F.concat(F.lit(" (+"), (F.col("n") - limit).cast("string"), F.lit(" more)"))
     return total.join(shown, by).select(
         *by, "n",
-        F.concat("_shown", F.when(F.col("n") > limit, more).otherwise("")).alias("detail"),
+        F.concat("_shown", F.when(F.lit(counted) & (F.col("n") > limit), more).otherwise("")).alias("detail"),
     )
 
 

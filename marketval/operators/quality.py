@@ -231,16 +231,12 @@ def run_warnings(profiles: Dim | DataFrame, sold_stats: DataFrame, active_stats:
 
 
 def empty_active(profiles: Dim | DataFrame, active: DataFrame, sources: DataFrame) -> DataFrame:
-    """Why a dataset has no listings: its active sources gave none, or it has none.
-
-    `sources` is a configuration table: a handful of rows per market.
-    """
+    """Why a dataset has no listings: its active sources gave none (a row for each), or it has none."""
     has = F.contains(F.lower(F.coalesce("role", F.lit(""))), F.lit("active")) | F.contains(
         F.lower("source"), F.lit("active")
     )
     configured = (
-        sources.where(has).groupBy("market")
-        .agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+        sources.where(has).select("market", "source").distinct()
     )
     return (
         as_dim(profiles).df.select(*DATASET)
@@ -248,9 +244,9 @@ def empty_active(profiles: Dim | DataFrame, active: DataFrame, sources: DataFram
         .join(configured, "market", "left")
         .select(
             *DATASET,
-            F.when(F.col("sources").isNotNull(), "configured sources gave none")
+            F.when(F.col("source").isNotNull(), "configured sources gave none")
             .otherwise("no active source configured").alias("diagnosis"),
-            "sources",
+            "source",
         )
     )
 

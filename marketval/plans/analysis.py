@@ -123,10 +123,9 @@ def scenarios_of(tables: Tables, scenarios: Dim | DataFrame) -> Tables:
         "_name", F.concat("profile", F.lit("#"), F.col("scenario_id").cast("string"))
     )
     names = dim.small(named.select(*DATASET, "_name"))
-    drops = dim.small(
-        named.select("market", F.col("_name").alias("profile"),
-                     F.explode("exclude_keys").alias("addr_key_unit"))
-    )
+    keys = named.select("market", F.col("_name").alias("profile"),
+                        F.explode("exclude_keys").alias("addr_key_unit"))
+    drops = Dim(keys).small(keys)
 
     def spread(rows: DataFrame) -> DataFrame:
         return rows.join(names, DATASET).withColumn("profile", F.col("_name")).drop("_name")

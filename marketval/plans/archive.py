@@ -43,14 +43,27 @@ def run_folder(market: Column, profile: Column, moment: Column) -> Column:
     return F.concat(safe_name(market), F.lit("__"), safe_name(profile), F.lit("/"), run_stamp(moment))
 
 
+def folder_name(name: Column) -> Column:
+    """A name as a partition value, escaped so that no two names share one; '%' is the empty name."""
+    return F.when(name == "", F.lit("%")).otherwise(F.replace(F.url_encode(name), F.lit("*"), F.lit("%2A")))
+
+
+def named_by(folder: Column) -> Column:
+    """The name that `folder_name` escaped."""
+    return F.when(folder == "%", F.lit("")).otherwise(F.try_url_decode(folder))
+
+
+def _folder(spark: SparkSession, name: str | None) -> str:
+    """The directory part of a name: the writer escapes the sign of the escapes once more."""
+    if name is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return spark.range(1).select(folder_name(F.lit(name)).alias("f")).first()["f"].replace("%", "%25")
+
+
 def _tagged(rows: DataFrame, stamp: str) -> DataFrame:
-    # Partition values are directory names, so they follow the archive's naming rule.
-    return (
-        rows.withColumn("run_market", F.col("market")).withColumn("run_profile", F.col("profile"))
-        .withColumn("market", safe_name(F.col("market")))
-        .withColumn("profile", safe_name(F.col("profile")))
-        .withColumn("run_at", F.lit(stamp))
-    )
+    return rows.withColumns({
+        **{c: folder_name(F.col(c)) for c in DATASET}, "run_at": F.lit(stamp),
+    })
 
 
 def _partitions(spark: SparkSession, root: str, name: str, stamp: str) -> list:
@@ -68,7 +81,8 @@ def _withdraw(tables: Tables, root: str, stamp: str) -> None:
     if not there:
         return
     named = _tagged(tables.profiles.df, stamp).select(*DATASET).distinct().toLocalIterator()
-    mine = {f"market={r['market']}/profile={r['profile']}/run_at={stamp}" for r in named}
+    shown = lambda f: "__HIVE_DEFAULT_PARTITION__" if f is None else f.replace("%", "%25")
+    mine = {f"market={shown(r['market'])}/profile={shown(r['profile'])}/run_at={stamp}" for r in named}
     for files, path in there:
         if "/".join(str(path.toString()).rsplit("/", 3)[1:]) in mine:
             files.delete(path, True)
@@ -113,7 +127,8 @@ def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
             raise
         return spark.createDataFrame([], StructType.fromJson(json.loads(schema)))
     fields = [StructField(f.name, StringType()) if f.name in RUN else f for f in found.fields]
-    return spark.read.schema(StructType(fields)).parquet(path)
+    stored = spark.read.schema(StructType(fields)).parquet(path)
+    return stored.withColumns({c: named_by(F.col(c)) for c in DATASET})
 
 
 def check_version(runs: DataFrame) -> None:
@@ -128,7 +143,7 @@ def check_version(runs: DataFrame) -> None:
 def _picked(rows: DataFrame, market: str | None, profile: str | None, stamp: str | None) -> DataFrame:
     for column, value in (("market", market), ("profile", profile)):
         if value is not None:
-            rows = rows.where(F.col(column) == safe_name(F.lit(value)))
+            rows = rows.where(F.col(column) == value)
     return rows if stamp is None else rows.where(F.col("run_at") == stamp)
 
 
@@ -200,32 +215,21 @@ def rename_profile(spark: SparkSession, root: str, market: str, old: str, new: s
         return 0
     if not list_runs(spark, root, market, new).isEmpty():
         raise RunsExist(f"{market}/{new} already holds runs")
-    names = spark.range(1).select(
-        safe_name(F.lit(market)).alias("m"), safe_name(F.lit(old)).alias("o"),
-        safe_name(F.lit(new)).alias("n"),
-    ).first()
+    there, before, after = (_folder(spark, x) for x in (market, old, new))
     path = spark._jvm.org.apache.hadoop.fs.Path
     top = path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     # Directory moves, the listing of runs last, so a rename that stops half-way can be repeated.
     tables = sorted((f.getPath().getName() for f in fs.listStatus(top)), key=lambda t: t == RUNS)
     for table in tables:
-        source = path(f"{root}/{table}/market={names['m']}/profile={names['o']}")
+        source = path(f"{root}/{table}/market={there}/profile={before}")
         if fs.exists(source):
-            target = path(f"{root}/{table}/market={names['m']}/profile={names['n']}")
+            target = path(f"{root}/{table}/market={there}/profile={after}")
             if not fs.rename(source, target):
                 raise OSError(f"could not move {source} to {target}")
     return moved
 
 
-def _own(rows: DataFrame) -> DataFrame:
-    """Archived rows under the market and profile names they were collected with."""
-    return (
-        rows.withColumn("market", F.col("run_market")).withColumn("profile", F.col("run_profile"))
-        .drop("run_market", "run_profile", "run_at")
-    )
-
-
 def collected(
     spark: SparkSession, root: str, geometry: DataFrame, market: str | None = None,
     profile: str | None = None, stamp: str | None = None,
@@ -239,10 +243,10 @@ def collected(
             "core", "borderline", "missing_metric", "list_ord", "grp_ord", "slot_ord"]
 
     def rows(name: str) -> DataFrame:
-        return _own(read_stored(spark, root, name, market, profile, stamp)).drop(*drop)
+        return read_stored(spark, root, name, market, profile, stamp).drop("run_at", *drop)
 
-    settings = _own(runs).drop("schema_version", "window_start", "window_end", "researcher")
-    subjects = _own(read_stored(spark, root, "subjects", market, profile, stamp))
+    settings = runs.drop("run_at", "schema_version", "window_start", "window_end", "researcher")
+    subjects = read_stored(spark, root, "subjects", market, profile, stamp).drop("run_at")
     return Tables(rows("sold"), rows("active"), settings, subjects, geometry)
 
 

@@ -138,32 +138,53 @@ def brokerages_report(brokerages: DataFrame) -> DataFrame:
     return brokerages.select(*DATASET, text_safe(F.col("family")).alias("family"), "closings", "share")
 
 
-def change_report(changes: DataFrame, deltas: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, section, label, n, detail): capped name lists, price cuts, and deltas."""
-    labels = {
-        "new_sale": "New sales", "newly_closed": "Listings that closed", "new_active": "New listings",
-    }
-    names = first_names(
-        changes.where(F.col("category").isin(list(labels))), [*by, "category"], "address"
-    )
-    title = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    listed = names.select(
-        *by, F.lit("rows").alias("section"), title[F.col("category")].alias("label"), "n", "detail"
+CHANGE_LABELS = {
+    "new_sale": "New sales", "newly_closed": "Listings that closed", "new_active": "New listings",
+    "gone": "Listings withdrawn", "price_cut": "Price cuts",
+}
+NAMED_CHANGES = ["new_sale", "newly_closed", "new_active"]
+
+
+def change_report(changes: DataFrame, deltas: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, section, label, n, detail) for each of `pairs` (by, prior_label), changed or not.
+
+    Section `rows` names the earlier run, the first addresses of three categories ("none" where there
+    are none) and the first price cuts, if any; `counts` counts all five; `figures` has the deltas.
+    """
+    names = first_names(changes.where(F.col("category").isin(NAMED_CHANGES)), [*by, "category"], "address")
+    totals = changes.groupBy(*by, "category").agg(F.count(F.lit(1)).alias("n"))
+
+    def slots(categories: list[str], section: str) -> DataFrame:
+        each = [F.struct(F.lit(c).alias("category"), F.lit(CHANGE_LABELS[c]).alias("label")) for c in categories]
+        return pairs.select(*by, F.lit(section).alias("section"), F.inline(F.array(*each)))
+
+    def shaped(rows: DataFrame, n: Column, detail: Column) -> DataFrame:
+        return rows.select(*by, "section", "label", n.cast("long").alias("n"), detail.cast("string").alias("detail"))
+
+    none = F.lit(None)
+    prior = pairs.withColumn("section", F.lit("rows")).withColumn("label", F.lit("Compared with"))
+    compared = shaped(prior, none, F.coalesce(F.nullif("prior_label", F.lit("")), F.lit("—")))
+    listed = shaped(
+        slots(NAMED_CHANGES, "rows").join(names, [*by, "category"], "left"),
+        F.coalesce("n", F.lit(0)), F.coalesce("detail", F.lit("none")),
+    )
+    counted = shaped(
+        slots(list(CHANGE_LABELS), "counts").join(totals, [*by, "category"], "left"),
+        F.coalesce("n", F.lit(0)), none,
     )
     cut = changes.where("category = 'price_cut'").withColumn(
         "_text",
         F.concat("address", F.lit(" $"), grouped(F.col("before")), F.lit(" to $"),
                  grouped(F.col("after"))),
     )
-    shown = first_names(cut, by, "_text", order=F.col("after") - F.col("before"))
-    cuts = shown.select(
-        *by, F.lit("rows").alias("section"), F.lit("Price cuts").alias("label"), "n", "detail"
-    )
-    figures = deltas.select(
-        *by, F.lit("figures").alias("section"), "label", F.lit(None).cast("long").alias("n"),
-        delta_text(F.col("before"), F.col("after"), F.col("pct_change")).alias("detail"),
+    shown = first_names(cut, by, "_text", order=F.col("after") - F.col("before"), separator="; ", counted=False)
+    title = shown.withColumn("section", F.lit("rows")).withColumn("label", F.lit(CHANGE_LABELS["price_cut"]))
+    cuts = shaped(title, F.col("n"), F.col("detail"))
+    figures = shaped(
+        deltas.withColumn("section", F.lit("figures")), none,
+        delta_text(F.col("before"), F.col("after"), F.col("pct_change")),
     )
-    return listed.unionByName(cuts).unionByName(figures)
+    return compared.unionByName(listed).unionByName(counted).unionByName(cuts).unionByName(figures)
 
 
 def comp_rows(sold: DataFrame) -> DataFrame:

@@ -194,6 +194,25 @@ def test_limit_beats_tactic(spark):
     assert edge["at_market"]["list_price"] == 539000
 
 
+def test_what_a_strategy_trades(spark):
+    got = _guide(spark, 544720)
+    low, mid, high = (got[k] for k in ("compete", "at_market", "anchor_high"))
+    assert (low["tradeoff"], low["cutoff"], low["under_estimate"]) == ("under_search_cutoff", 500000.0, 45720.0)
+    assert low["under_share"] == pytest.approx(45720 / 544720) and low["floor_basis"] == "5% below the estimate"
+    assert (mid["min_ratio"], mid["max_ratio"], mid["cutoff"]) == (0.9, 1.1, None)
+    assert (high["tradeoff"], high["premium"], high["under_estimate"]) == ("over_estimate", 0.055, 544720 - 569000)
+
+
+def test_guidance_notes(spark):
+    valued = spark.createDataFrame(
+        [("m", "lots", k, True, v) for k, v in enumerate((549999.0, 501000.0, None))],
+        "market string, profile string, subject_id long, is_primary boolean, value double")
+    points = guidance.ratio_points(measured(spark, [{"sold_price": 100, "final_list_price": 100}]))
+    guided = guidance.build_guidance(valued, points, h.profiles(spark))
+    got = {r["subject_id"]: tuple(r)[3:] for r in guidance.guidance_notes(valued, guided).collect()}
+    assert got == {0: ("compete_below_floor", 499000.0, 522000.0, 539000.0), 2: ("no_primary_valuation", None, None, None)}
+
+
 def test_expected_ranges_round_half_even(spark):
     got = _guide(spark, 544720)["compete"]
     ratios = [0.9, 1.0, 1.02, 1.1]

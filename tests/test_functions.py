@@ -59,7 +59,10 @@ def test_sizes(spark):
     got = [tuple(x) for x in each(spark, parse.as_sqft, [
         "0.27 acres", "5,227 sq ft", "1 ac lot", "900 square feet", "12", "1" * 120 + " acres", None])]
     assert got == [(0.27 * 43560, True), (5227.0, False), (43560.0, True), (900.0, False), (None, False),
-                   (None, False), (None, False)]
+                   (float("1" * 120) * 43560, True), (None, False)]
+    long = ["x" * 120 + " 5,227 sq ft", "1 ac"]
+    assert [x[0] for x in each(spark, lambda c: parse.as_sqft(c, 100), long)] == [None, 43560.0]
+    assert [x[0] for x in each(spark, parse.as_sqft, ["1," * 200_000 + "x 2 acres"])] == [2 * 43560.0]
 
 
 def test_attribution(spark):
@@ -118,9 +121,9 @@ def test_clock(spark):
     assert one(spark, clock.local_date(moment, "America/Los_Angeles"), v="") == dt.date(2026, 9, 4)
 
 
-def _focus(body, terms, window, max_chars, head):
+def _focus(body, terms, window, max_chars, head, short=None):
     """Brute force: every hit by search, windows merged, cut at the limit."""
-    if len(body) <= max_chars:
+    if len(body) <= (max_chars if short is None else short):
         return body
     spans = [(0, min(head, len(body)))]
     for term in terms:
@@ -153,3 +156,5 @@ def test_focus_text_against_brute_force(spark):
     for args in [(terms, 60, 500, 50), (terms, 31, 200, 0), (["zzz"], 60, 100, 70)]:
         got = each(spark, lambda c: text.focus_text(c, *args), bodies)
         assert got == [_focus(b, *args) for b in bodies]
+    whole = each(spark, lambda c: text.focus_text(c, terms, 60, None, 50, short=100), bodies)
+    assert whole == [_focus(b, terms, 60, 10**6, 50, 100) for b in bodies]

@@ -125,6 +125,27 @@ def test_renaming_moves_every_run(spark, tmp_path):
     assert archive.read_stored(spark, root, "sold", "m", "my lots").count() == 6
 
 
+def test_like_names_are_stored_apart(spark, tmp_path):
+    """Names that differ in blanks, signs, escapes or case of punctuation keep their own runs."""
+    root, stamp = str(tmp_path / "archive"), "20260801T000000Z"
+    tables = market_tables(spark, 3)
+    names = ["A B", "A-B", "A+B", "A%20B", "a/b", "*", "", "é=1", "{x}", "..", "unnamed"]
+    copies = F.explode(F.array(*[F.lit(n) for n in names]))
+    spread = lambda df: df.drop("market").withColumn("market", copies)
+    many = analysis.Tables(*[spread(x) for x in (tables.sold, tables.active, tables.profiles.df, tables.subjects.df)], tables.geometry)
+    for _ in range(2):  # written again, nothing doubles
+        archive.write_run({"sold": many.sold}, many, root, stamp, ("2026-06-02", "2026-08-31"))
+    runs = archive.list_runs(spark, root)
+    assert sorted(r["market"] for r in runs.collect()) == sorted(names)
+    n = tables.sold.count()
+    counts = archive.read_stored(spark, root, "sold").groupBy("market").count().collect()
+    assert {r["market"]: r["count"] for r in counts} == dict.fromkeys(names, n)
+    assert archive.rename_profile(spark, root, "A+B", "lots", "50% off *") == 1
+    left = archive.read_stored(spark, root, "sold", "A+B").select("profile").distinct().collect()
+    assert [r["profile"] for r in left] == ["50% off *"]
+    assert archive.read_stored(spark, root, "sold", "A B", "lots", stamp).count() == n
+
+
 def test_an_invalid_profile_stops_the_run(spark):
     tables = market_tables(spark, 3)
     bad = config.vacant_land("lots", "m", window_days=0)
@@ -159,6 +180,31 @@ def test_changes_between_two_runs(spark):
                    "gone": none("f"), "price_cut": {("e", 9.0, 6.0)}}
 
 
+def test_a_change_report_names_every_pair(spark):
+    """A pair without changes, a withdrawn listing, and price cuts in order of their size."""
+    pairs = spark.createDataFrame([("m", "lots", "1 July"), ("m", "homes", None)], "market string, profile string, prior_label string")
+    rows = [("m", "lots", "gone", "z", None, None)] + [
+        ("m", "lots", "price_cut", f"{c} St", 2000.0, 1000.0 + k) for k, c in enumerate("jihgfedcba")]
+    made = spark.createDataFrame(rows, "market string, profile string, category string, address string, before double, after double")
+    none = spark.createDataFrame([], "market string, profile string, label string, before double, after double, pct_change double")
+    report = {}
+    for r in reports.change_report(made, none, pairs, DATASET).collect():
+        report[r["profile"], r["section"], r["label"]] = (r["n"], r["detail"])
+    assert report["lots", "rows", "Compared with"][1] == "1 July" and report["homes", "rows", "Compared with"][1] == "—"
+    assert report["lots", "rows", "New sales"] == (0, "none") and report["lots", "counts", "Listings withdrawn"] == (1, None)
+    assert report["homes", "counts", "Price cuts"] == (0, None) and ("homes", "rows", "Price cuts") not in report
+    n, shown = report["lots", "rows", "Price cuts"]
+    assert n == 10 and shown == "; ".join(f"{c} St $2,000 to ${1000 + k:,}" for k, c in enumerate("jihgfedc"))
+
+
+def test_a_missing_address_is_one_key(spark):
+    key = lambda df: df.withColumn("addr_key_unit", F.lower("address"))
+    one, two = key(h.sold(spark, [{"address": None}])), key(h.sold(spark, [{"address": None}, {"address": None}]))
+    empty = key(h.active(spark, [{"address": "x"}])).limit(0)
+    assert compare.changes(one, empty, two, empty, DATASET).count() == 0
+    assert compare.new_sales(one.limit(0), two, DATASET).count() == 1
+
+
 def test_first_names_are_capped(spark):
     rows = h.sold(spark, [{"address": f"{c} St"} for c in "kjihgfedcba"])
     got = compare.first_names(rows, DATASET, "address").first()

@@ -10,9 +10,9 @@ from marketval.operators.sizing import DATASET
 from marketval.plans import analysis, archive, reports
 from marketval.sources import config
 from workload import tables as t
-from workload.oracle import CUTS, agents_sql, areas_sql, stats_sql
+from workload.oracle import EARLIER, agents_sql, areas_sql, stats_sql, valuation_sql
 from workload.registry import query
-from workload.rows import active_k, active_m, cuts, judged, sold_k, sold_m, sources, windows
+from workload.rows import KNOWN_SALE, active_k, active_m, judged, sold_k, sold_m, sources, two_runs, windows
 from workload.tables import Workload
 
 _STAT = ("avg_ppsf median_ppsf avg_price median_price avg_size min_ppsf max_ppsf core_avg_ppsf "
@@ -200,11 +200,25 @@ def guided(w: Workload):
     return guidance.build_guidance(valued(w), guidance.ratio_points(sold_m(w)), w.profiles)
 
 
-@query("gui3_gui4_gui5_guidance", "SELECT * FROM guided", "anchor floor list_price expected_low expected_high")
+@query("gui3_gui4_gui5_guidance", "SELECT * FROM guided",
+       "anchor floor list_price expected_low expected_high cutoff under_estimate under_share min_ratio max_ratio premium")
 def _(w):
     return guided(w)
 
 
+@query("gui3_guidance_notes", """
+SELECT market, profile, subject_id, CASE WHEN value IS NULL THEN 'no_primary_valuation' ELSE 'compete_below_floor' END AS code,
+  g.compete, g."floor", g.at_market
+FROM valued v LEFT JOIN (SELECT market, profile, subject_id, bool_or(below_floor) AS under, max("floor") AS "floor",
+  max(list_price) FILTER (strategy = 'compete') AS compete, max(list_price) FILTER (strategy = 'at_market') AS at_market
+  FROM guided GROUP BY ALL HAVING bool_or(below_floor)) g USING (market, profile, subject_id)
+WHERE is_primary AND (value IS NULL OR under)""", "compete floor at_market")
+def _(w):
+    value = valued(w)
+    points = guidance.ratio_points(sold_m(w))
+    return guidance.guidance_notes(value, guidance.build_guidance(value, points, w.profiles))
+
+
 # -- areas -------------------------------------------------------------------------------------
 
 def placed(w: Workload):
@@ -402,15 +416,17 @@ def _(w):
 
 
 @query("agg30_empty_active", """
-SELECT p.market, p.profile, CASE WHEN s.names IS NOT NULL THEN 'configured sources gave none'
-  ELSE 'no active source configured' END AS diagnosis, s.names AS sources
-FROM profiles p LEFT JOIN (SELECT r_name AS market, array_to_string(list(s_name ORDER BY s_name), ', ') AS names
+SELECT p.market, p.profile, CASE WHEN s.name IS NOT NULL THEN 'configured sources gave none'
+  ELSE 'no active source configured' END AS diagnosis, s.name AS source
+FROM (SELECT market, profile FROM profiles UNION ALL SELECT r_name, 'condos' FROM region) p
+LEFT JOIN (SELECT DISTINCT r_name AS market, s_name AS name
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE s_suppkey % 4 = 0 GROUP BY r_name) s USING (market)
-WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.market = p.market AND a.profile = p.profile AND p.profile = 'lots')""")
+  WHERE s_suppkey % 4 = 0) s USING (market)
+WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.market = p.market AND a.profile = p.profile)""")
 def _(w):
-    only_lots = w.active.where(F.col("profile") == "lots")
-    return quality.empty_active(w.profiles, only_lots, sources(w))
+    searched = w.profiles.df.select(*DATASET)
+    condos = w.raw("region").select(F.col("r_name").alias("market"), F.lit("condos").alias("profile"))
+    return quality.empty_active(searched.unionByName(condos), w.active, sources(w))
 
 
 @query("snk10_run_ledger", """
@@ -584,25 +600,22 @@ def _(w):
     return many.sold.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("n_sales"))
 
 
-@query("run5_what_if_values", """
-SELECT market, profile || '#1' AS profile, subject_id, 3500e0 AS subject_size, r2 AS ppsf, r2 * 3500 AS value, n2 AS sample_size
-FROM subjects JOIN (SELECT market, profile, median(ppsf) AS r2, count(ppsf) AS n2 FROM sold_m GROUP BY ALL) USING (market, profile)""",
-       "subject_size ppsf value")
+@query("run5_what_if_values", f"""
+SELECT * REPLACE (profile || '#1' AS profile) FROM ({valuation_sql("sold_m", "active_m", "resized")})
+UNION ALL SELECT * REPLACE (profile || '#2' AS profile) FROM ({valuation_sql("fewer_sold", "fewer_active")})""", _VAL)
 def _(w):
     many = analysis.scenarios_of(w.tables(), scenario_rows(w))
     s = measures.sold_measures(many.sold, many.profiles)
     a = measures.active_measures(many.active, many.profiles)
-    out = valuation.value_subjects(s, a, many.subjects, many.profiles)
-    first = out.where((F.col("basis") == "all_sold_median") & F.col("profile").endswith("#1"))
-    return first.select(*DATASET, "subject_id", "subject_size", "ppsf", "value", "sample_size")
+    return valuation.value_subjects(s, a, many.subjects, many.profiles)
 
 
 def _archived(w: Workload, *names: str) -> str:
     """Two runs of every dataset, written to the shared folder with the named result tables."""
     root = f"{sizing.shared_folder(w.spark)}/archive-{uuid4()}"
-    bs, ba, as_, aa = cuts(w)
+    bs, ba, as_, aa = two_runs(w)
     for stamp, s, a, day in (
-        ("20000701T000000Z", bs, ba, CUTS[0]), ("20010701T013000Z", as_, aa, CUTS[1]),
+        ("20000701T000000Z", bs, ba, EARLIER), ("20010701T013000Z", as_, aa, "2001-06-30"),
     ):
         tables = analysis.Tables(s, a, w.profiles, w.subjects, w.geometry)
         sm = measures.sold_measures(s, w.profiles)
@@ -616,18 +629,17 @@ def _archived(w: Workload, *names: str) -> str:
 @query("snk1_snk2_run3_archive_roundtrip", f"""
 SELECT market, profile, '20000701T000000Z' AS run_at, "count", avg_ppsf, median_ppsf, avg_price, median_price, avg_size,
   min_ppsf, max_ppsf, core_count, core_avg_ppsf, core_median_ppsf, missing_metric_count
-FROM (SELECT replace(market, ' ', '-') AS market, * EXCLUDE (market)
-      FROM ({stats_sql(f"(SELECT * FROM sold_m WHERE sold_date <= DATE '{CUTS[0]}')", 'sold_price')}))
+FROM (SELECT market, * EXCLUDE (market)
+      FROM ({stats_sql(f"(SELECT * FROM sold_m WHERE {KNOWN_SALE})", 'sold_price')}))
 UNION ALL
-SELECT replace(market, ' ', '-'), profile, '20010701T013000Z', * EXCLUDE (market, profile)
-FROM ({stats_sql(f"(SELECT * FROM sold_m WHERE sold_date <= DATE '{CUTS[1]}')", 'sold_price')})""", _STAT)
+SELECT market, profile, '20010701T013000Z', * EXCLUDE (market, profile)
+FROM ({stats_sql("sold_m", 'sold_price')})""", _STAT)
 def _(w):
-    rows = archive.read_stored(w.spark, _archived(w, "sold_stats"), "sold_stats")
-    return rows.drop("run_market", "run_profile")
+    return archive.read_stored(w.spark, _archived(w, "sold_stats"), "sold_stats")
 
 
 _RUN_COUNTS = "\nUNION ALL\n".join(
-    f"""SELECT replace(p.market, ' ', '-') AS market, p.profile, '{stamp}' AS run_at, 'recorded' AS researcher,
+    f"""SELECT p.market, p.profile, '{stamp}' AS run_at, 'recorded' AS researcher,
   (SELECT count(*) FROM {tag}_sold s WHERE s.market = p.market AND s.profile = p.profile) AS sold,
   (SELECT count(*) FROM {tag}_active s WHERE s.market = p.market AND s.profile = p.profile) AS active FROM profiles p"""
     for stamp, tag in (("20000701T000000Z", "before"), ("20010701T013000Z", "after"))
@@ -643,7 +655,7 @@ def _(w):
 
 
 @query("agg19_win6_runs_per_profile", """
-SELECT replace(market, ' ', '-') AS market, profile, 2 AS runs, '20000701T000000Z' AS previous FROM profiles""")
+SELECT market, profile, 2 AS runs, '20000701T000000Z' AS previous FROM profiles""")
 def _(w):
     runs = archive.list_runs(w.spark, _archived(w))
     before = archive.latest_run(runs, F.lit("20010701T013000Z")).withColumnRenamed("run_at", "previous")
@@ -651,7 +663,7 @@ def _(w):
 
 
 @query("win7_run_of_local_day", """
-SELECT replace(market, ' ', '-') AS market, profile, '20010701T013000Z' AS run_at FROM profiles""")
+SELECT market, profile, '20010701T013000Z' AS run_at FROM profiles""")
 def _(w):
     runs = archive.list_runs(w.spark, _archived(w))
     return archive.runs_on(runs, F.lit("2001-06-30").cast("date"), "America/Los_Angeles")
@@ -670,18 +682,27 @@ def _(w):
     )
 
 
+@query("snk4_rename_profile", """
+SELECT market, CASE WHEN market = 'MIDDLE EAST' AND profile = 'lots' THEN 'lots & acreage' ELSE profile END AS profile,
+  run_at, 'recorded' AS researcher FROM profiles, (SELECT unnest(['20000701T000000Z', '20010701T013000Z']) AS run_at)""")
+def _(w):
+    root = _archived(w)
+    archive.rename_profile(w.spark, root, "MIDDLE EAST", "lots", "lots & acreage")
+    return archive.list_runs(w.spark, root)
+
+
 @query("srt5_history", """
-SELECT run_at, count(*) AS n, (SELECT 2 * count(*) - 5 FROM profiles) AS more FROM (
-  SELECT '20010701T013000Z' AS run_at FROM profiles LIMIT 5) GROUP BY run_at""")
+SELECT market, profile, '20010701T013000Z' AS run_at, row_number() OVER (ORDER BY market, profile) - 1 AS position,
+  (SELECT 2 * count(*) - 5 FROM profiles) AS more FROM profiles QUALIFY position < 5""")
 def _(w):
     shown, more = archive.history(archive.list_runs(w.spark, _archived(w)), 5)
-    return shown.groupBy("run_at").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.lit(more))
+    return shown.select(*DATASET, "run_at", F.monotonically_increasing_id().alias("position"), F.lit(more).alias("more"))
 
 
 @query("run4_run7_run8_reopen", f"SELECT * FROM ({stats_sql('o_sold', 'sold_price')})", _STAT)
 def _(w):
     tables = archive.collected(w.spark, _archived(w, "sold", "active"), w.geometry.df, stamp="20010701T013000Z")
-    return stats.sold_stats(analysis.prepare(tables).sold)
+    return archive.reopen(tables)["sold_stats"]
 
 
 @query("join13_src13_resolve_profiles", """
@@ -699,10 +720,17 @@ def _(w):
     return merged.select(*DATASET, "origin", "window_days", "metric")
 
 
-@query("udf2_caller_families", """
-SELECT market, profile, CASE WHEN upper(brokerage) LIKE 'B%' THEN 'B firms' WHEN upper(brokerage) LIKE '%_3%' ESCAPE '#' THEN 'Nation 3'
-  ELSE brokerage END AS family, count(*) AS closings FROM sold WHERE coalesce(brokerage, '') <> '' GROUP BY ALL""")
+_FAMILY = ("CASE WHEN upper(brokerage) LIKE 'B%' THEN 'B firms' WHEN upper(brokerage) LIKE '%_3%' ESCAPE '#' "
+           "THEN 'Nation 3' ELSE brokerage END")
+
+
+@query("udf2_caller_families", f"""
+SELECT market, profile, family, coalesce(c, 0) AS closings, coalesce(c, 0) / nullif(attributed, 0) AS share,
+  coalesce(l, 0) AS active_listings
+FROM (SELECT market, profile, {_FAMILY} AS family, count(*) AS c FROM sold WHERE coalesce(brokerage, '') <> '' GROUP BY ALL)
+FULL OUTER JOIN (SELECT market, profile, {_FAMILY} AS family, count(*) AS l FROM active
+  WHERE coalesce(brokerage, '') <> '' GROUP BY ALL) USING (market, profile, family)
+LEFT JOIN (SELECT market, profile, count(*) FILTER (coalesce(brokerage, '') <> '' OR coalesce(agent, '') <> '') AS attributed
+  FROM sold GROUP BY ALL) USING (market, profile)""", "share")
 def _(w):
-    rules = [("B firms", ["b*"]), ("Nation 3", ["*?3*"])]
-    table = agents.brokerage_table(w.sold, w.active.where(F.lit(False)), rules)
-    return table.select(*DATASET, "family", "closings")
+    return agents.brokerage_table(w.sold, w.active, [("B firms", ["b*"]), ("Nation 3", ["*?3*"])])

@@ -42,11 +42,12 @@ def _(w):
 
 
 @query("src2_recorded_active", f"""
-SELECT {ID}, address, listed_date, list_price FROM active""", "list_price")
+SELECT {ID}, 0 AS position, address, listed_date, list_price FROM active
+UNION ALL SELECT {ID}, 1, 'copy of ' || address, NULL, NULL FROM active""", "list_price")
 def _(w):
     said = _recorded_text(w.active, ["address", "listed_date", "list_price"])
     rows = recorded.parse_recorded(said, F.col("body"), RECORDED_ACTIVE, DATASET_ID)
-    return rows.where("position = 0").select(*DATASET_ID, "address", "listed_date", "list_price")
+    return rows.select(*DATASET_ID, "position", "address", "listed_date", "list_price")
 
 
 @query("set7_union_in_order", f"""
@@ -339,7 +340,7 @@ FROM (SELECT *, list_reduce(list_transform(spans, lambda s: [s]), lambda acc, x:
 
 @query("sca15_focus_text", focus_sql(FOCUS_TERMS, FOCUS_WINDOW, FOCUS_MAX_CHARS, FOCUS_HEAD))
 def _(w):
-    return w.raw("documents").select("doc_id", text.focus_text(F.col("text")).alias("focused"))
+    return w.raw("documents").select("doc_id", text.focus_text(F.col("text"), max_chars=FOCUS_MAX_CHARS).alias("focused"))
 
 
 @query("udf5_focus_with_own_terms", focus_sql(["the and", "tion ", "que le"], 120, 1500, 200))

@@ -198,7 +198,8 @@ cte("w_ain", "SELECT * EXCLUDE (reason, missing_metric, size) FROM w_ajudged WHE
 cte("r_active", "SELECT * REPLACE (coalesce(computed_area, area) AS area) FROM ("
     + placed_sql("(" + measured_sql("w_ain", "list_price", False) + ")") + ")")
 
-cte("brackets", """
+def brackets_sql(subjects: str) -> str:
+    return f"""
 SELECT market, profile, subject_id, subject_size, center, attribute,
   CASE WHEN center IS NULL THEN NULL WHEN explicit_low IS NOT NULL THEN explicit_low
     ELSE center * (1 - tolerance) END AS bracket_low,
@@ -209,18 +210,28 @@ FROM (
   SELECT s.*, p.attribute, p.tolerance, p.explicit_low, p.explicit_high, p.match_beds,
     CASE WHEN p.attribute = 'living_sqft' THEN s.living_sqft ELSE s.lot_sqft END AS center,
     CASE WHEN p.metric = 'living_sqft' THEN s.living_sqft ELSE s.lot_sqft END AS subject_size
-  FROM subjects s JOIN profiles p USING (market, profile))""")
+  FROM {subjects} s JOIN profiles p USING (market, profile))"""
+
 
+cte("brackets", brackets_sql("subjects"))
+# What-ifs: a subject of another size, and a market without some addresses.
+cte("resized", brackets_sql("""(SELECT s.* REPLACE (CASE WHEN p.metric = 'lot_sqft' THEN 3500e0 ELSE s.lot_sqft END AS lot_sqft,
+  CASE WHEN p.metric = 'living_sqft' THEN 3500e0 ELSE s.living_sqft END AS living_sqft)
+  FROM subjects s JOIN profiles p ON p.market = s.market AND p.profile = s.profile)"""))
+FEWER = "addr_key_unit NOT IN ('5 kauri rd', '11 n birch blvd', '9 w kauri dr')"
+cte("fewer_sold", measured_sql(f"(SELECT * FROM sold_k WHERE {FEWER})", "sold_price", True))
+cte("fewer_active", measured_sql(f"(SELECT * FROM active_k WHERE {FEWER})", "list_price", False))
 
-def pairs_sql(sold: str) -> str:
+
+def pairs_sql(sold: str, brackets: str = "brackets") -> str:
     return f"""
-SELECT b.*, s.row_ord, s.ppsf FROM {sold} s JOIN brackets b USING (market, profile)
+SELECT b.*, s.row_ord, s.ppsf FROM {sold} s JOIN {brackets} b USING (market, profile)
 WHERE (CASE WHEN b.attribute = 'living_sqft' THEN s.living_sqft ELSE s.lot_sqft END)
   BETWEEN b.bracket_low AND b.bracket_high
   AND (b.bed_rule IS NULL OR coalesce(s.beds = b.bed_rule, FALSE))"""
 
 
-def valuation_sql(sold: str, active: str) -> str:
+def valuation_sql(sold: str, active: str, brackets: str = "brackets") -> str:
     return f"""
 SELECT market, profile, subject_id, subject_size, bracket_low, bracket_high, bracket_count,
   u.position, u.basis, u.ppsf, u.sample_size, u.position = 0 AS is_primary,
@@ -232,9 +243,9 @@ FROM (
     {{'position': 2, 'basis': 'all_sold_median', 'ppsf': r2, 'sample_size': coalesce(n2, 0)}},
     {{'position': 3, 'basis': 'all_sold_avg', 'ppsf': r3, 'sample_size': coalesce(n2, 0)}},
     {{'position': 4, 'basis': 'active_median', 'ppsf': r4, 'sample_size': coalesce(n4, 0)}}]) AS u
-  FROM brackets b
+  FROM {brackets} b
   LEFT JOIN (SELECT market, profile, subject_id, count(ppsf) AS n0, median(ppsf) AS r0, avg(ppsf) AS r1
-    FROM ({pairs_sql(sold)}) GROUP BY ALL) x USING (market, profile, subject_id)
+    FROM ({pairs_sql(sold, brackets)}) GROUP BY ALL) x USING (market, profile, subject_id)
   LEFT JOIN (SELECT market, profile, count(ppsf) AS n2, median(ppsf) AS r2, avg(ppsf) AS r3
     FROM {sold} GROUP BY ALL) y USING (market, profile)
   LEFT JOIN (SELECT market, profile, count(ppsf) AS n4, median(ppsf) AS r4
@@ -291,7 +302,12 @@ SELECT market, profile, subject_id, anchor, floor_price AS "floor", u.position,
   CASE WHEN u.position = 0 AND compete < floor_price THEN 'A. Price to compete (below your floor)'
     WHEN u.position = 0 THEN 'A. Price to compete (recommended)'
     WHEN u.position = 1 THEN 'B. Price at market' ELSE 'C. Anchor high' END AS label,
-  CASE WHEN compete < floor_price THEN u.position = 1 ELSE u.position = 0 END AS recommended
+  CASE WHEN compete < floor_price THEN u.position = 1 ELSE u.position = 0 END AS recommended,
+  CASE u.position WHEN 0 THEN 'under_search_cutoff' WHEN 1 THEN 'near_estimate' ELSE 'over_estimate' END AS tradeoff,
+  CASE WHEN u.position = 0 THEN compete + 1000 END AS cutoff, anchor - u.list_price AS under_estimate,
+  (anchor - u.list_price) / nullif(anchor, 0) AS under_share, CASE WHEN u.position = 1 THEN min_ratio END AS min_ratio,
+  CASE WHEN u.position = 1 THEN max_ratio END AS max_ratio, CASE WHEN u.position = 2 THEN 0.055e0 END AS premium,
+  CASE WHEN anchor <> 0 THEN '5% below the estimate' END AS floor_basis
 FROM (
   SELECT *, unnest([
     {{'position': 0, 'strategy': 'compete', 'list_price': compete,
@@ -536,16 +552,14 @@ FROM (
       WHEN why <> '' THEN why END AS reason
   FROM judged0)""")
 
-# Two cuts of the same rows by date stand for two runs.
-CUTS = ("2000-06-30", "2001-06-30")
-for side, day in (("sold", "sold_date"), ("active", "listed_date")):
-    extra = ", list_price * (CASE WHEN row_ord % 3 = 0 THEN 0.97e0 ELSE 1e0 END) AS list_price" if side == "active" else ""
-    cte(f"before_{side}", f"SELECT * FROM {side}_k WHERE {day} <= DATE '{CUTS[0]}'")
-    cte(
-        f"after_{side}",
-        f"SELECT * {'REPLACE (' + extra[2:] + ')' if extra else ''} FROM {side}_k WHERE {day} <= DATE '{CUTS[1]}'"
-        + (f" AND (row_ord % 10 <> 0 OR {day} > DATE '{CUTS[0]}')" if side == "active" else ""),
-    )
+# Two runs: all rows, and those known by a day before, undated ones in both. Since then every tenth
+# listing was withdrawn and every third ask lowered.
+EARLIER = "2000-06-30"
+cte("before_sold", f"SELECT * FROM sold_k WHERE sold_date IS NULL OR sold_date <= DATE '{EARLIER}'")
+cte("after_sold", "SELECT * FROM sold_k")
+cte("before_active", f"SELECT * FROM active_k WHERE listed_date IS NULL OR listed_date <= DATE '{EARLIER}'")
+cte("after_active", f"""SELECT * REPLACE (list_price * (CASE WHEN row_ord % 3 = 0 THEN 0.97e0 ELSE 1e0 END) AS list_price)
+FROM active_k WHERE row_ord % 10 <> 0 OR listed_date > DATE '{EARLIER}'""")
 
 # The later run's rows analyzed again.
 cte("o_fold", fold_sql("after_sold"))

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from marketval.constants import MAX_DIMENSION_CHARS
 from marketval.functions import address as adr
 from marketval.functions import clock, parse, rates, text
 from marketval.operators import areas, cleaning, compare, dedup, measures, quality, verify
 from marketval.operators.sizing import DATASET
 from workload import tables as t
 from workload.oracle import (
-    CUTS,
+    EARLIER,
     FACTS,
     clean_name_sql,
     family_sql,
@@ -164,7 +165,7 @@ def _(w):
         .when(F.col("p_partkey") % 4 == 2, F.concat(F.repeat(F.lit("1"), F.lit(120)), F.lit(" acres")))
         .otherwise(F.lit("size unknown"))
     )
-    size = parse.as_sqft(said)
+    size = parse.as_sqft(said, MAX_DIMENSION_CHARS)
     return w.raw("part").select("p_partkey", size["sqft"].alias("sqft"), size["from_acres"].alias("from_acres"))
 
 
@@ -693,16 +694,16 @@ def _(w):
 
 # -- comparison of two runs --------------------------------------------------------------------
 
-def cuts(w: Workload):
-    """(before sold, before active, after sold, after active): two cuts by date."""
+def two_runs(w: Workload):
+    """(before sold, before active, after sold, after active): the rows known by a day, and all of them."""
     s, a = sold_k(w), active_k(w)
-    early, late = (F.lit(d).cast("date") for d in CUTS)
+    early = F.lit(EARLIER).cast("date")
+    known = lambda day: day.isNull() | (day <= early)
     lower = F.when(F.col("row_ord") % 3 == 0, 0.97).otherwise(1.0)
     stays = (F.col("row_ord") % 10 != 0) | (F.col("listed_date") > early)
     return (
-        s.where(F.col("sold_date") <= early), a.where(F.col("listed_date") <= early),
-        s.where(F.col("sold_date") <= late),
-        a.where((F.col("listed_date") <= late) & stays).withColumn("list_price", F.col("list_price") * lower),
+        s.where(known(F.col("sold_date"))), a.where(known(F.col("listed_date"))),
+        s, a.where(stays).withColumn("list_price", F.col("list_price") * lower),
     )
 
 
@@ -711,27 +712,27 @@ _C = "SELECT market, profile, addr_key_unit, address FROM"
 
 @query("set1_new_sales", f"{_C} ({lastkey_sql('after_sold')}) c WHERE {missing_from('before_sold')}")
 def _(w):
-    bs, _, as_, _ = cuts(w)
+    bs, _, as_, _ = two_runs(w)
     return compare.new_sales(bs, as_, DATASET)
 
 
 @query("set2_newly_closed", f"""{_C} ({lastkey_sql('after_sold')}) c
 WHERE {missing_from('before_sold')} AND {missing_from('before_active')[4:]}""")
 def _(w):
-    bs, ba, as_, _ = cuts(w)
+    bs, ba, as_, _ = two_runs(w)
     return compare.newly_closed(bs, ba, as_, DATASET)
 
 
 @query("set3_new_active", f"{_C} ({lastkey_sql('after_active')}) c WHERE {missing_from('before_active')}")
 def _(w):
-    _, ba, _, aa = cuts(w)
+    _, ba, _, aa = two_runs(w)
     return compare.new_active(ba, aa, DATASET)
 
 
 @query("set4_gone_from_active", f"""{_C} ({lastkey_sql('before_active')}) c
 WHERE {missing_from('after_active')} AND {missing_from('after_sold')}""")
 def _(w):
-    _, ba, as_, aa = cuts(w)
+    _, ba, as_, aa = two_runs(w)
     return compare.gone_from_active(ba, aa, as_, DATASET)
 
 
@@ -743,18 +744,13 @@ WHERE b.list_price <> 0 AND a.list_price <> 0 AND a.list_price < b.list_price"""
 def _(w):
     from marketval.plans.reports import price_cut_order
 
-    _, ba, _, aa = cuts(w)
+    _, ba, _, aa = two_runs(w)
     return price_cut_order(compare.price_cuts(ba, aa, DATASET))
 
 
-@query("join6_all_changes", """
-SELECT market, profile, category, count(*) AS n, sum(after - before) AS moved FROM changes GROUP BY ALL""", "moved")
+@query("join6_all_changes", "SELECT market, profile, category, address, before, after FROM changes", "before after")
 def _(w):
-    bs, ba, as_, aa = cuts(w)
-    rows = compare.changes(bs, ba, as_, aa, DATASET)
-    return rows.groupBy(*DATASET, "category").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("after") - F.col("before")).alias("moved")
-    )
+    return compare.changes(*two_runs(w), DATASET)
 
 
 _FIG = {
@@ -768,21 +764,22 @@ def _stat_cut(w, rows):
     return stats.sold_stats(measures.sold_measures(rows, w.profiles))
 
 
-def stat_cut_sql(day: str) -> str:
+def stat_cut_sql(known: str) -> str:
     return f"""SELECT market, profile, unnest([{{'label': 'Sold count', 'v': CAST(count(*) AS DOUBLE)}},
   {{'label': 'Sold median $/sqft', 'v': median(ppsf)}}, {{'label': 'Sold median price', 'v': median(sold_price)}}]) AS u
-FROM sold_m WHERE sold_date <= DATE '{day}' GROUP BY market, profile"""
+FROM sold_m WHERE {known} GROUP BY market, profile"""
 
 
+KNOWN_SALE = f"(sold_date IS NULL OR sold_date <= DATE '{EARLIER}')"
 DELTAS = f"""
 SELECT market, profile, a.u.label AS label, b.u.v AS before, a.u.v AS after, a.u.v - b.u.v AS change,
   (a.u.v - b.u.v) / nullif(b.u.v, 0) AS pct_change
-FROM ({stat_cut_sql(CUTS[1])}) a JOIN ({stat_cut_sql(CUTS[0])}) b
+FROM ({stat_cut_sql("true")}) a JOIN ({stat_cut_sql(KNOWN_SALE)}) b
   USING (market, profile) WHERE a.u.label = b.u.label"""
 
 
 def deltas(w: Workload):
-    bs, _, as_, _ = cuts(w)
+    bs, _, as_, _ = two_runs(w)
     return compare.deltas(_stat_cut(w, bs), _stat_cut(w, as_), DATASET, _FIG)
 
 
@@ -799,20 +796,26 @@ def _(w):
 
 
 @query("snk11_change_report", f"""
-SELECT market, profile, 'rows' AS section, CASE category WHEN 'new_sale' THEN 'New sales'
-    WHEN 'newly_closed' THEN 'Listings that closed' ELSE 'New listings' END AS label, count(*) AS n,
-  array_to_string(list(address ORDER BY address)[1:8], ', ') || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END AS detail
-FROM changes WHERE category IN ('new_sale', 'newly_closed', 'new_active') GROUP BY market, profile, category
+SELECT * FROM (WITH slots AS (SELECT market, profile, unnest([{{'c': 'new_sale', 'label': 'New sales'}}, {{'c': 'newly_closed', 'label': 'Listings that closed'}},
+    {{'c': 'new_active', 'label': 'New listings'}}, {{'c': 'gone', 'label': 'Listings withdrawn'}}, {{'c': 'price_cut', 'label': 'Price cuts'}}]) AS u
+  FROM profiles),
+ groups AS (SELECT market, profile, category AS c, count(*) AS n, array_to_string(list(address ORDER BY address)[1:8], ', ')
+    || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END AS detail FROM changes GROUP BY ALL)
+SELECT market, profile, 'rows' AS section, 'Compared with' AS label, CAST(NULL AS BIGINT) AS n, '{EARLIER}' AS detail FROM profiles
+UNION ALL SELECT s.market, s.profile, 'rows', s.u.label, coalesce(n, 0), coalesce(detail, 'none')
+FROM slots s LEFT JOIN groups g ON g.market = s.market AND g.profile = s.profile AND g.c = s.u.c
+WHERE s.u.c IN ('new_sale', 'newly_closed', 'new_active')
+UNION ALL SELECT s.market, s.profile, 'counts', s.u.label, coalesce(n, 0), NULL
+FROM slots s LEFT JOIN groups g ON g.market = s.market AND g.profile = s.profile AND g.c = s.u.c
 UNION ALL
-SELECT market, profile, 'rows', 'Price cuts', count(*), array_to_string(list(txt ORDER BY after - before, txt)[1:8], ', ')
-  || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END
+SELECT market, profile, 'rows', 'Price cuts', count(*), array_to_string(list(txt ORDER BY after - before, txt)[1:8], '; ')
 FROM (SELECT *, address || ' $' || format('{{:,.0f}}', before) || ' to $' || format('{{:,.0f}}', after) AS txt FROM changes
   WHERE category = 'price_cut') GROUP BY market, profile
 UNION ALL
 SELECT market, profile, 'figures', label, NULL, format('{{:,.2f}}', before) || ' to ' || format('{{:,.2f}}', after) || ' ('
-  || CASE WHEN change >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', pct_change * 100) || '%)' FROM ({DELTAS})""")
+  || CASE WHEN change >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', pct_change * 100) || '%)' FROM ({DELTAS}))""")
 def _(w):
     from marketval.plans.reports import change_report
 
-    bs, ba, as_, aa = cuts(w)
-    return change_report(compare.changes(bs, ba, as_, aa, DATASET), deltas(w), DATASET)
+    pairs = w.profiles.df.select(*DATASET, F.lit(EARLIER).alias("prior_label"))
+    return change_report(compare.changes(*two_runs(w), DATASET), deltas(w), pairs, DATASET)
