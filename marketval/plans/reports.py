@@ -83,10 +83,68 @@ RATIO_ROWS = [
 ]
 
 
+BRACKET_FIGURES = {
+    "subject_size": "Size", "bracket_low": "Similar-size bracket low", "bracket_high": "Similar-size bracket high",
+    "bracket_count": "Comps in bracket", "ppsf": "Bracket median $/sq ft",
+}
+LADDER_FIGURES = ["count", "median_ppsf", "avg_ppsf", "value_from_median", "value_from_avg"]
+BAND_FIGURES = ["count", "median_ppsf", "avg_ppsf", "median_size", "median_price"]
+# Figure of an area: its column among sales and among listings.
+AREA_FIGURES = {
+    "count": ("sold_count", "active_count"), "avg_ppsf": ("sold_avg_ppsf", "active_avg_ppsf"),
+    "median_ppsf": ("sold_median_ppsf", None), "median_price": ("sold_median_price", None),
+    "avg_size": ("sold_avg_size", None),
+}
+
+
+def _figures(
+    rows: DataFrame, section: str, at: list[str], figures: dict[str, tuple[Column | str, str, str | None]]
+) -> DataFrame:
+    """Summary rows of a table: {figure: (label, column among sales, column among listings)}, keyed
+    by the row's `at` and the figure."""
+    number = lambda c: (F.lit(None) if c is None else F.col(c)).cast("double")
+    items = [
+        F.struct(
+            F.concat_ws(":", *[F.col(c).cast("string") for c in at], F.lit(figure)).alias("key"),
+            (F.lit(label) if isinstance(label, str) else label).alias("label"),
+            number(sold).alias("sold"), number(active).alias("active"),
+        )
+        for figure, (label, sold, active) in figures.items()
+    ]
+    return rows.select(*DATASET, F.lit(section).alias("section"), F.inline(F.array(*items)))
+
+
+def bracket_block(valued: DataFrame) -> DataFrame:
+    """Each subject's size, the bracket round it, the sales in there and their median rate."""
+    figures = {k: (label, k, None) for k, label in BRACKET_FIGURES.items()}
+    return _figures(valued.where("is_primary"), "bracket", ["subject_id"], figures)
+
+
+def ladder_block(ladder: DataFrame) -> DataFrame:
+    figures = {k: (F.col("label"), k, None) for k in LADDER_FIGURES}
+    return _figures(ladder, "ladder", ["subject_id", "position"], figures)
+
+
+def band_block(bands: DataFrame) -> DataFrame:
+    """The size bands; one that holds a subject says so."""
+    mark = F.when(F.col("subjects_in_band") > 0, "  <- your property").otherwise("")
+    figures = {k: (F.concat("label", mark), k, None) for k in BAND_FIGURES}
+    return _figures(bands, "bands", ["band"], figures)
+
+
+def area_block(areas: DataFrame) -> DataFrame:
+    figures = {k: (F.col("area"), *columns) for k, columns in AREA_FIGURES.items()}
+    return _figures(areas, "areas", ["position"], figures)
+
+
 def summary(
-    sold_stats: DataFrame, active_stats: DataFrame, ratios: DataFrame, valued: DataFrame
+    sold_stats: DataFrame, active_stats: DataFrame, ratios: DataFrame, valued: DataFrame,
+    ladder: DataFrame | None = None, bands: DataFrame | None = None, areas: DataFrame | None = None,
 ) -> DataFrame:
-    """Long rows (market, profile, section, key, label, sold, active); one section per block."""
+    """Long rows (market, profile, section, key, label, sold, active); one section per block.
+
+    The last three tables add their sections where they are given; an empty one adds no rows.
+    """
 
     def long(rows: DataFrame, section: str, items: list[tuple[str, str]], name: str) -> DataFrame:
         stack = F.array(
@@ -112,7 +170,11 @@ def summary(
         F.concat(F.col("subject_id").cast("string"), F.lit(":"), "basis").alias("key"),
         F.col("basis").alias("label"), F.col("value").alias("sold"), none.alias("active"),
     )
-    return both.unionByName(ratio).unionByName(value)
+    out = both.unionByName(ratio).unionByName(value).unionByName(bracket_block(valued))
+    for block, rows in ((ladder_block, ladder), (band_block, bands), (area_block, areas)):
+        if rows is not None:
+            out = out.unionByName(block(rows))
+    return out
 
 
 def guidance_report(guided: DataFrame) -> DataFrame:

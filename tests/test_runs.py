@@ -197,6 +197,21 @@ def test_a_change_report_names_every_pair(spark):
     assert n == 10 and shown == "; ".join(f"{c} St $2,000 to ${1000 + k:,}" for k, c in enumerate("jihgfedc"))
 
 
+def test_summary_blocks(spark):
+    band = spark.createDataFrame([("m", "lots", 0, "1-2 sqft", 3, 1.0, 2.0, 1.5, None, 2), ("m", "lots", 1, "2-4 sqft", 3, 1.0, 2.0, 3.0, 9.0, 0)],
+        "market string, profile string, band long, label string, count long, median_ppsf double, avg_ppsf double, median_size double, "
+        "median_price double, subjects_in_band long")
+    got = {r["key"]: (r["label"], r["sold"], r["active"]) for r in reports.band_block(band).collect()}
+    assert len(got) == 10 and got["0:count"] == ("1-2 sqft  <- your property", 3.0, None)
+    assert got["0:median_price"][1] is None and got["1:median_price"] == ("2-4 sqft", 9.0, None)
+    area = spark.createDataFrame([("m", "lots", 0, "NE", 4, 1.0, 2.0, 3.0, 5.0, 7, 8.0)],
+        "market string, profile string, position int, area string, sold_count long, sold_avg_ppsf double, sold_median_ppsf double, "
+        "sold_median_price double, sold_avg_size double, active_count long, active_avg_ppsf double")
+    got = {r["key"]: (r["label"], r["sold"], r["active"]) for r in reports.area_block(area).collect()}
+    assert got["0:count"] == ("NE", 4.0, 7.0) and got["0:avg_ppsf"] == ("NE", 1.0, 8.0) and got["0:avg_size"] == ("NE", 5.0, None)
+    assert reports.band_block(band.limit(0)).count() == 0
+
+
 def test_a_missing_address_is_one_key(spark):
     key = lambda df: df.withColumn("addr_key_unit", F.lower("address"))
     one, two = key(h.sold(spark, [{"address": None}])), key(h.sold(spark, [{"address": None}, {"address": None}]))

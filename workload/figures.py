@@ -487,14 +487,42 @@ FROM {_long(names, section, "sold_stats", "s")} JOIN {_long(names, section, "act
 @query("snk6_summary", f"""
 {_both(reports.STAT_ROWS, "stats")} UNION ALL {_both(reports.CORE_ROWS, "core")}
 UNION ALL SELECT market, profile, section, u.key, u.label, u.v, NULL FROM {_long(reports.RATIO_ROWS, "stats", "ratios", "r")}
-UNION ALL SELECT market, profile, 'value', subject_id || ':' || basis, basis, value, NULL FROM valued""", "sold active")
+UNION ALL SELECT market, profile, 'value', subject_id || ':' || basis, basis, value, NULL FROM valued
+UNION ALL SELECT market, profile, 'bracket', subject_id || ':' || u.key, u.label, u.v, NULL FROM (
+  SELECT market, profile, subject_id, unnest([
+    {{'key': 'subject_size', 'label': 'Size', 'v': subject_size}},
+    {{'key': 'bracket_low', 'label': 'Similar-size bracket low', 'v': bracket_low}},
+    {{'key': 'bracket_high', 'label': 'Similar-size bracket high', 'v': bracket_high}},
+    {{'key': 'bracket_count', 'label': 'Comps in bracket', 'v': bracket_count::DOUBLE}},
+    {{'key': 'ppsf', 'label': 'Bracket median $/sq ft', 'v': ppsf}}]) AS u FROM valued WHERE is_primary)""", "sold active")
 def _(w):
     return reports.summary(
-        stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w)),
-        stats.sold_to_ask(sold_m(w)), valued(w),
+        stats.sold_stats(sold_m(w)), stats.active_stats(active_m(w)), stats.sold_to_ask(sold_m(w)), valued(w),
     )
 
 
+@query("snk6_summary_tables", f"""
+SELECT market, profile, 'ladder' AS section, subject_id || ':' || position || ':' || u.key AS key, label, u.v AS sold,
+  CAST(NULL AS DOUBLE) AS active FROM (
+  SELECT market, profile, subject_id, position, label, unnest([
+    {{'key': 'count', 'v': "count"::DOUBLE}}, {{'key': 'median_ppsf', 'v': median_ppsf}}, {{'key': 'avg_ppsf', 'v': avg_ppsf}},
+    {{'key': 'value_from_median', 'v': value_from_median}}, {{'key': 'value_from_avg', 'v': value_from_avg}}]) AS u FROM ladder)
+UNION ALL SELECT market, profile, 'bands', band || ':' || u.key, label, u.v, NULL FROM (
+  SELECT market, profile, band, label || CASE WHEN subjects_in_band > 0 THEN '  <- your property' ELSE '' END AS label, unnest([
+    {{'key': 'count', 'v': "count"::DOUBLE}}, {{'key': 'median_ppsf', 'v': median_ppsf}}, {{'key': 'avg_ppsf', 'v': avg_ppsf}},
+    {{'key': 'median_size', 'v': median_size}}, {{'key': 'median_price', 'v': median_price}}]) AS u FROM bands)
+UNION ALL SELECT market, profile, 'areas', position || ':' || u.key, area, u.s, u.a FROM (
+  SELECT market, profile, position, area, unnest([
+    {{'key': 'count', 's': sold_count::DOUBLE, 'a': active_count::DOUBLE}},
+    {{'key': 'avg_ppsf', 's': sold_avg_ppsf, 'a': active_avg_ppsf}}, {{'key': 'median_ppsf', 's': sold_median_ppsf, 'a': NULL}},
+    {{'key': 'median_price', 's': sold_median_price, 'a': NULL}}, {{'key': 'avg_size', 's': sold_avg_size, 'a': NULL}}]) AS u
+  FROM area_table)""", "sold active")
+def _(w):
+    bands = valuation.size_bands(sold_m(w), w.subjects, w.profiles)
+    blocks = reports.ladder_block(ladder(w)).unionByName(reports.band_block(bands))
+    return blocks.unionByName(reports.area_block(areas.area_table(*placed(w), w.profiles)))
+
+
 @query("snk7_guidance_report", """
 SELECT market, profile, subject_id, position, label, list_price, CASE WHEN expected_low <> 0 AND expected_high <> 0
   THEN '$' || format('{:,.0f}', expected_low) || ' - $' || format('{:,.0f}', expected_high) ELSE '—' END AS expected_range,
