@@ -14,17 +14,18 @@ from marketval.functions.parse import iso_date
 from marketval.functions.text import clean_name, grouped
 from marketval.operators.measures import with_keys
 from marketval.operators.ranking import last_per_key
-from marketval.operators.sizing import DATASET, Dim
+from marketval.operators.sizing import DATASET, Dim, written
 
 PARTY_FIELDS = ["agent", "brokerage", "buyer_agent", "buyer_brokerage"]
 TEXT_FIELDS = ["agent", "brokerage", "buyer_agent"]
 NUMBER_FIELDS = ["final_list_price", "original_list_price", "lot_sqft", "living_sqft"]
 
 
-def claims_from_facts(facts: DataFrame) -> DataFrame:
+def claims_from_facts(facts: DataFrame, profiles: Dim | DataFrame | None = None) -> DataFrame:
     """One row per stated fact, carrying the price and date offered as evidence.
 
-    Facts read from a page about another property yield nothing.
+    Facts read from a page about another property yield nothing. With `profiles`, claims carry
+    `addr_key`, worked out once per page and not once per claim.
     """
     named = [
         ("agent", F.col("listing_agent")),
@@ -39,12 +40,14 @@ def claims_from_facts(facts: DataFrame) -> DataFrame:
             for i, (n, v) in enumerate(named)
         ]
     )
+    told = facts.where(~F.coalesce("page_is_about_a_different_property", F.lit(False)))
+    if profiles is not None:
+        told = with_keys(told, profiles)
     return (
-        facts.where(~F.coalesce("page_is_about_a_different_property", F.lit(False)))
-        .withColumn("_c", F.explode(items))
+        told.withColumn("_c", F.explode(items))
         .where(F.col("_c.value").isNotNull() & (F.col("_c.value") != ""))
         .select(
-            *DATASET,
+            *DATASET, *([] if profiles is None else ["addr_key"]),
             (F.col("row_ord") * len(named) + F.col("_c.i")).alias("claim_ord"),
             "address",
             F.col("_c.field_name").alias("field_name"),
@@ -117,7 +120,8 @@ def judge_claims(
     """Every claim with its outcome: unverifiable, rejected, skipped, known or accepted.
 
     Claims meet the last sold row of their address key. Among accepted claims to one empty
-    field the first in claim order fills it; the others find it known.
+    field the first in claim order fills it; the others find it known. Claims that carry `addr_key`
+    are not keyed again. What was checked is stored, and only accepted claims meet each other.
     """
     known = [*TEXT_FIELDS, *NUMBER_FIELDS]
     target = last_per_key(
@@ -137,9 +141,9 @@ def judge_claims(
     existing = F.coalesce(
         *[F.when(F.col("field_name") == n, F.col(f"_t.{n}").cast("string")) for n in known]
     )
+    keyed = claims if "addr_key" in claims.columns else with_keys(claims, profiles)
     checked = (
-        with_keys(claims, profiles)
-        .join(target, [*DATASET, "addr_key"], "left")
+        keyed.join(target, [*DATASET, "addr_key"], "left")
         .withColumn("clean_value", value)
         .withColumn(
             "_verdict",
@@ -168,24 +172,21 @@ def judge_claims(
         )
         .withColumn("row_ord", F.col("_t.row_ord"))
     )
-    first = (
-        checked.where("outcome = 'accepted'")
-        .groupBy(*DATASET, "row_ord", "field_name")
-        .agg(F.min("claim_ord").alias("_winner"))
-    )
-    return (
-        checked.join(first, [*DATASET, "row_ord", "field_name"], "left")
+    checked = written(checked.select(
+        *DATASET, "claim_ord", "row_ord", "address", "field_name", "value", "clean_value",
+        "source_url", "claimed_price", "claimed_date", "outcome", "reason",
+    ))
+    accepted = checked.where("outcome = 'accepted'")
+    first = accepted.groupBy(*DATASET, "row_ord", "field_name").agg(F.min("claim_ord").alias("_winner"))
+    decided = (
+        accepted.join(first, [*DATASET, "row_ord", "field_name"], "left")
         .withColumn(
             "outcome",
-            F.when(
-                (F.col("outcome") == "accepted") & (F.col("claim_ord") != F.col("_winner")), "known"
-            ).otherwise(F.col("outcome")),
-        )
-        .select(
-            *DATASET, "claim_ord", "row_ord", "address", "field_name", "value", "clean_value",
-            "source_url", "claimed_price", "claimed_date", "outcome", "reason",
+            F.when(F.col("claim_ord") != F.col("_winner"), "known").otherwise(F.col("outcome")),
         )
+        .drop("_winner")
     )
+    return checked.where("outcome <> 'accepted'").unionByName(decided)
 
 
 def apply_claims(sold: DataFrame, judged: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import helpers as h
 from marketval import schemas
 from marketval.operators import measures, verify
+from marketval.operators.sizing import WRITTEN
 from marketval.sources import config, embedded, pages, recorded
 
 RECORDS = [
@@ -218,6 +219,24 @@ def test_facts_become_claims(spark):
     assert got[0]["claimed_date"] == dt.date(2026, 8, 1)
 
 
+def test_claims_are_keyed_once_per_page_and_checked_once(spark):
+    prof = h.profiles(spark)
+    base = measures.with_keys(h.sold(spark, [{"address": "1 Elm St", "sold_price": 550000}]), prof)
+    page = {f.name: None for f in schemas.FACTS} | {
+        "market": "m", "profile": "lots", "address": "1 Elm Street", "stated_sold_price": 550100.0, "lot_sqft": 50.0}
+    pages_ = spark.createDataFrame(
+        [{**page, "row_ord": 0, "listing_agent": "Jo"}, {**page, "row_ord": 1, "listing_agent": "Al"}], schemas.FACTS)
+    keyed = verify.claims_from_facts(pages_, prof)
+    assert {r["addr_key"] for r in keyed.collect()} == {"1 elm st"}
+    got = verify.judge_claims(base, keyed, prof)
+    plain = verify.judge_claims(base, verify.claims_from_facts(pages_), prof)
+    order = ["claim_ord", "outcome"]
+    assert got.orderBy(*order).collect() == plain.orderBy(*order).collect()
+    assert [r["outcome"] for r in got.orderBy("claim_ord").collect()] == ["accepted", "accepted", "known", "known"]
+    # The outcomes come from what was stored, so nothing is read or checked a second time.
+    assert got.inputFiles() and all(WRITTEN in f for f in got.inputFiles())
+
+
 def test_geocodes_take_the_fallback_only_when_needed(spark):
     rows = [
         ("m", "1 Elm St", "primary", "1 Elm St", 1.0, 1.0, "1 ELM ST", None), ("m", "1 Elm St", "fallback", "1 Elm St", 2.0, 2.0, "1 ELM ST", 99.0),

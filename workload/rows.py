@@ -6,7 +6,7 @@ from marketval.constants import MAX_DIMENSION_CHARS
 from marketval.functions import address as adr
 from marketval.functions import clock, parse, rates, text
 from marketval.operators import areas, cleaning, compare, dedup, measures, quality, verify
-from marketval.operators.sizing import DATASET
+from marketval.operators.sizing import DATASET, written
 from workload import tables as t
 from workload.oracle import (
     EARLIER,
@@ -572,9 +572,17 @@ def _(w):
 
 # -- verification ------------------------------------------------------------------------------
 
-def facts(w: Workload):
+def facts(w: Workload, sold=None):
     sql = FACTS.format(url="https://page.example/", s="STRING", src="{sold}")
-    return w.spark.sql(sql, sold=w.sold)
+    return w.spark.sql(sql, sold=w.sold if sold is None else sold)
+
+
+def checked_sales(w: Workload):
+    """Sold rows with what the checks read of them, stored: facts, targets and fills read them."""
+    return written(w.sold.select(
+        *DATASET, "row_ord", "address", "sold_price", "sold_date", *verify.TEXT_FIELDS,
+        *verify.NUMBER_FIELDS, "sources",
+    ))
 
 
 @query("set8_facts_to_claims", """
@@ -590,8 +598,10 @@ def _(w):
     )
 
 
-def judged(w: Workload):
-    return verify.judge_claims(sold_k(w), verify.claims_from_facts(facts(w)), w.profiles)
+def judged(w: Workload, sales=None):
+    sales = checked_sales(w) if sales is None else sales
+    claims = verify.claims_from_facts(facts(w, sales), w.profiles)
+    return verify.judge_claims(measures.with_keys(sales, w.profiles), claims, w.profiles)
 
 
 @query("join2_sca25_judge_claims", """
@@ -615,7 +625,9 @@ FROM sold_k s LEFT JOIN (SELECT market, profile, row_ord, count(DISTINCT source_
   FROM judged WHERE outcome = 'accepted' GROUP BY ALL) c USING (market, profile, row_ord)""",
        "final_list_price original_list_price lot_sqft")
 def _(w):
-    return verify.apply_claims(sold_k(w), judged(w)).select(
+    sales = checked_sales(w)
+    filled = verify.apply_claims(measures.with_keys(sales, w.profiles), judged(w, sales))
+    return filled.select(
         *DATASET, "row_ord", "agent", "brokerage", "buyer_agent", "final_list_price",
         "original_list_price", "lot_sqft", F.size("sources").alias("n_sources"),
     )
