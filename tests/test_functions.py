@@ -158,3 +158,10 @@ def test_focus_text_against_brute_force(spark):
         assert got == [_focus(b, *args) for b in bodies]
     whole = each(spark, lambda c: text.focus_text(c, terms, 60, None, 50, short=100), bodies)
     assert whole == [_focus(b, terms, 60, 10**6, 50, 100) for b in bodies]
+
+
+def test_block_signals_are_plain_text_searched_without_a_pattern(spark):
+    signs = ["please solve the CAPTCHA", "Access Denied", "x" * 4000 + "captcha", "captch", "", None]
+    assert each(spark, text.is_block_page, signs) == [True, True, False, False, False, None]
+    shown = spark.range(1).select(text.is_block_page(F.concat(F.lit("id "), F.col("id").cast("string"))))
+    assert "RLIKE" not in shown._jdf.queryExecution().toString().upper()
