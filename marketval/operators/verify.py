@@ -267,6 +267,13 @@ def fill_geocodes(sold: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
+def asked_geocodes(sold: DataFrame, geocodes: DataFrame) -> DataFrame:
+    """The answers to addresses of rows that lack a coordinate, stored, so that only they are judged."""
+    gaps = sold.where(F.col("lat").isNull() | F.col("lon").isNull())
+    asked = gaps.select("market", "address").distinct()
+    return written(geocodes.join(asked, ["market", "address"], "left_semi"))
+
+
 def geocode_rejections(sold: DataFrame, judged: DataFrame) -> DataFrame:
     """The rejected answers a gap-fill would have met, in the order it asks."""
     gaps = sold.where(F.col("lat").isNull() | F.col("lon").isNull())

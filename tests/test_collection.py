@@ -277,3 +277,20 @@ def test_market_file_as_tables(spark):
     assert t["markets"].first()["fixture_dir"] == "fixtures"
     with pytest.raises(ValueError):
         config.market_tables(spark, {"market": {}})
+
+
+def test_only_answers_that_a_gap_asks_for_are_judged(spark):
+    rows = spark.createDataFrame(
+        [("m", "1 Elm St", None, 1.0), ("m", "2 Elm St", 1.0, 1.0), ("m", None, None, None), ("n", "1 Elm St", 1.0, 1.0)],
+        "market string, address string, lat double, lon double")
+    answers = spark.createDataFrame(
+        [(m, a, s, a, 40.0, -100.0, a and a.upper(), None) for m, a in (("m", "1 Elm St"), ("m", "2 Elm St"), ("m", None), ("n", "1 Elm St"))
+         for s in ("primary", "fallback")],
+        "market string, address string, service string, query string, lat double, lon double, matched_address string, score double")
+    asked = verify.asked_geocodes(rows, answers)
+    assert sorted((r["market"], r["address"], r["service"]) for r in asked.collect()) == [
+        ("m", "1 Elm St", "fallback"), ("m", "1 Elm St", "primary")]
+    wrong = answers.withColumn("matched_address", F.lit("9 Oak St"))
+    whole, fewer = (verify.geocode_rejections(rows, verify.judge_geocodes(x)).collect()
+                    for x in (wrong, verify.asked_geocodes(rows, wrong)))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, fewer)) and len(whole) == 2

@@ -699,7 +699,9 @@ SELECT market, service, split_part(rejected, ':', 1) AS why, count(*) AS n FROM
   AND NOT EXISTS (SELECT 1 FROM geo p WHERE p.market = g.market AND p.address = g.address AND p.service = 'primary' AND p.rejected IS NULL)
 GROUP BY ALL""")
 def _(w):
-    gone = verify.geocode_rejections(w.active, verify.judge_geocodes(geocodes(w)))
+    # A listing with both coordinates asks for nothing, so no answer to it is judged.
+    asked = verify.asked_geocodes(w.active, geocodes(w))
+    gone = verify.geocode_rejections(w.active, verify.judge_geocodes(asked))
     why = F.split_part("rejected", F.lit(":"), F.lit(1))
     return gone.groupBy("market", "service", why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
