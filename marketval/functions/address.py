@@ -46,8 +46,8 @@ def unit_part(raw: Column) -> Column:
     ).otherwise("")
 
 
-def street_part(raw: Column) -> Column:
-    """The canonical street words of an address, without unit, city or punctuation."""
+def street_words(raw: Column) -> Column:
+    """The lower-case words of an address, without unit, city or punctuation."""
     # No pattern runs on an ordinary address: translate and a one-character split are enough.
     text = F.lower(F.coalesce(raw, F.lit("")))
     rest = "(?s)" + UNIT_PATTERN + ".*$"
@@ -57,21 +57,33 @@ def street_part(raw: Column) -> Column:
         .otherwise(F.regexp_replace(text, _UNICODE + rest, ""))
     )
     spaced = F.translate(F.substring_index(cut, ",", 1), _BLANKED, " " * len(_BLANKED))
-    words = F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced, " "), "")
+
 
-    def canonical(ws: Column) -> Column:
-        def word(w, i):
-            last = i == F.size(ws) - 1
-            return F.coalesce(
-                F.when((i <= 1) | last, F.try_element_at(_lookup(DIRECTIONS), w)),
-                F.when(last, F.try_element_at(_lookup(STREET_TYPES), w)),
-                w,
-            )
+def canonical_street(words: Column) -> Column:
+    """The canonical spelling of street words. `words` is best a plain column: it is named often.
 
-        return F.array_join(F.transform(ws, word), " ")
+    Only the first two words and the last one can be a direction, and the last one a street type;
+    they are looked up by place, so no function runs over the word list.
+    """
+    n = F.size(words)
 
+    def named(word: Column, pairs: dict[str, str]) -> Column:
+        return F.coalesce(F.try_element_at(_lookup(pairs), word), word)
+
+    return F.concat_ws(
+        " ",
+        named(F.when(n > 1, F.get(words, F.lit(0))), DIRECTIONS),
+        named(F.when(n > 2, F.get(words, F.lit(1))), DIRECTIONS),
+        F.slice(words, 3, F.greatest(n - 3, F.lit(0))),
+        named(F.try_element_at(words, F.lit(-1)), {**STREET_TYPES, **DIRECTIONS}),
+    )
+
+
+def street_part(raw: Column) -> Column:
+    """The canonical street words of an address, without unit, city or punctuation."""
     # transform over a one-element array names the word list once.
-    return F.transform(F.array(words), canonical)[0]
+    return F.transform(F.array(street_words(raw)), canonical_street)[0]
 
 
 def join_parts(street: Column, unit: Column, keep_unit: Column | bool) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketval.functions import rates
-from marketval.functions.address import join_parts, street_part, unit_part
+from marketval.functions.address import canonical_street, street_words, unit_part
 from marketval.operators.sizing import DATASET, Dim, as_dim
 
 
@@ -17,16 +17,17 @@ def with_profile(rows: DataFrame, profiles: Dim | DataFrame, fields: dict[str, C
 def with_keys(rows: DataFrame, profiles: Dim | DataFrame) -> DataFrame:
     """Adds addr_key (under the profile's unit rule), addr_key_unit and addr_key_bare."""
     keep = F.coalesce(F.col("identification.unit_suffix_is_significant"), F.lit(False))
-    street, unit = F.col("_street"), F.col("_unit")
-    # Two plain columns: each is used several times, so Catalyst computes it once per row.
+    # Plain columns: each is used several times, so Catalyst computes it once per row.
     return (
         with_profile(rows, profiles, {"_keep": keep})
-        .withColumn("_street", street_part(F.col("address")))
+        .withColumn("_words", street_words(F.col("address")))
         .withColumn("_unit", unit_part(F.col("address")))
-        .withColumn("addr_key", join_parts(street, unit, F.col("_keep")))
-        .withColumn("addr_key_unit", join_parts(street, unit, True))
-        .withColumn("addr_key_bare", join_parts(street, unit, False))
-        .drop("_street", "_unit", "_keep")
+        .withColumn("_street", canonical_street(F.col("_words")))
+        .withColumn("_whole", F.concat_ws(" ", F.nullif(F.col("_street"), F.lit("")), F.nullif(F.col("_unit"), F.lit(""))))
+        .withColumn("addr_key", F.when(F.col("_keep"), F.col("_whole")).otherwise(F.col("_street")))
+        .withColumn("addr_key_unit", F.col("_whole"))
+        .withColumn("addr_key_bare", F.col("_street"))
+        .drop("_words", "_unit", "_street", "_whole", "_keep")
     )
 
 

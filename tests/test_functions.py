@@ -28,6 +28,42 @@ def test_addresses_that_are_one_identity(spark):
         "", "", "12 main st w", "5 street ave", "10 e west rd", "7 cyn rd"]
 
 
+def test_street_words_by_place_against_plain_python(spark):
+    from itertools import product
+
+    from marketval.constants import DIRECTIONS, STREET_TYPES
+
+    said = ["", *(" ".join(x) for n in (1, 2, 3, 4) for x in product(["7", "north", "street", "east", "elm"], repeat=n))]
+
+    def plain(text):
+        words, out = text.split(), []
+        for i, w in enumerate(words):
+            last = i == len(words) - 1
+            to = DIRECTIONS.get(w) if i <= 1 or last else None
+            out.append(to or (STREET_TYPES.get(w) if last else None) or w)
+        return " ".join(out)
+
+    assert each(spark, address.street_part, said) == [plain(x) for x in said]
+
+
+def test_keys_run_no_function_over_word_lists(spark):
+    from marketval.operators import measures
+
+    schema = "market string, profile string, identification struct<unit_suffix_is_significant: boolean>"
+    profiles = spark.createDataFrame([("m", "lots", (True,)), ("m", "homes", (None,))], schema)
+    rows = spark.createDataFrame(
+        [("m", "lots", "5 North Elm Street #2"), ("m", "homes", "5 N Elm St #2"), ("m", "lots", None), ("m", "homes", "#2")],
+        "market string, profile string, address string")
+    keyed = measures.with_keys(rows, profiles)
+    assert "lambda" not in keyed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert keyed.columns == ["market", "profile", "address", "addr_key", "addr_key_unit", "addr_key_bare"]
+    assert {tuple(r)[1:] for r in keyed.collect()} == {
+        ("lots", "5 North Elm Street #2", "5 n elm st #2", "5 n elm st #2", "5 n elm st"),
+        ("homes", "5 N Elm St #2", "5 n elm st", "5 n elm st #2", "5 n elm st"),
+        ("lots", None, "", "", ""), ("homes", "#2", "", "#2", ""),
+    }
+
+
 def test_unit_is_dropped_on_request(spark):
     assert each(spark, lambda c: address.normalize_address(c, False), ["410 Bell Rd #2", "#7"]) == ["410 bell rd", ""]
 
