@@ -18,7 +18,7 @@ and size. A key of many rows is split first, so that no walk takes it whole; the
 """
 
 from bisect import bisect_left, insort
-from math import floor, isfinite, log
+from math import floor, inf, isfinite, log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -195,8 +195,18 @@ class Kept:
     def twin(self, price: float | None, size: float | None) -> int | None:
         """The earliest sale that a row matches."""
         if self.places is None:
-            for k, slot in enumerate(self.slots):
-                if self.near(slot[2], price, SAME_PRICE_TOLERANCE) and self.near(slot[3], size, SAME_SIZE_TOLERANCE):
+            # `near` for the common case, written out: nearly all pairs of rows at an address come here.
+            for k, (_, _, p, s, _) in enumerate(self.slots):
+                if p is not None and price is not None and p != price:
+                    if 0 < p < price < inf:
+                        if (price - p) / price > SAME_PRICE_TOLERANCE:
+                            continue
+                    elif 0 < price < p < inf:
+                        if (p - price) / p > SAME_PRICE_TOLERANCE:
+                            continue
+                    elif not self.near(p, price, SAME_PRICE_TOLERANCE):
+                        continue
+                if self.near(s, size, SAME_SIZE_TOLERANCE):
                     return k
             return None
         (p, s), *_ = self.keys(price, size)

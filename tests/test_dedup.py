@@ -218,3 +218,22 @@ def test_a_long_chain_is_walked_as_a_stream(spark, split, monkeypatch):
     got = dedup.resolve_sales(measures.with_keys(h.sold(spark, _as_sold(0, rows)), h.profiles(spark)).repartition(6))
     found = [tuple(r) for r in got.select("row_ord", "slot_ord", "is_duplicate", "is_kept").orderBy("row_ord").collect()]
     assert found == want
+
+
+def test_the_walk_compares_plain_prices_without_a_call(monkeypatch):
+    from itertools import product
+
+    from marketval.constants import SAME_PRICE_TOLERANCE, SAME_SIZE_TOLERANCE
+
+    near, asked = dedup.Kept.near, []
+    figures = [None, 0.0, 100.0, 100.4, 101.0, -100.0, -100.4, 1e300, float("inf"), float("-inf"), float("nan")]
+    for a, b in product(product(figures, repeat=2), repeat=2):
+        kept = dedup.Kept()
+        kept.slots.append([0, 0, *a, 1])
+        same = near(a[0], b[0], SAME_PRICE_TOLERANCE) and near(a[1], b[1], SAME_SIZE_TOLERANCE)
+        assert kept.twin(*b) == (0 if same else None)
+    monkeypatch.setattr(dedup.Kept, "near", staticmethod(lambda *x: asked.append(x) or near(*x)))
+    kept = dedup.Kept()
+    for i in range(10):
+        kept.add(i, 1000.0 * 2**i, 5000.0, 1)
+    assert len(kept.slots) == 10 and not asked
