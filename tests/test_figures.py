@@ -268,3 +268,19 @@ def test_agents_flags_firms_and_interview_order(spark):
     assert sorted(got, key=lambda k: got[k]["interview_rank"]) == ["Pair", "Solo", "Dual", "Cut", "New"]
     firms = {r["family"]: (r["closings"], r["active_listings"], r["share"]) for r in agents.brokerage_table(s, a).collect()}
     assert firms["Compass"] == (1, 1, pytest.approx(1 / 7)) and firms["Keller Williams"] == (1, 0, pytest.approx(1 / 7))
+
+
+def test_agents_firms_are_found_without_sorting_rows(spark):
+    rows = [("m", "lots", None, 1), ("m", "lots", "", 2), ("m", "lots", "KW Z", 9), ("m", "lots", "Compass Y", 4),
+            ("m", "lots", "KW Z", 3), (None, "lots", "Nobody", 7)]
+    sold = spark.createDataFrame(
+        [(m, p, "Ann", b, o, None, 0.9, 10.0, 5.0, False) for m, p, b, o in rows] + [
+            ("m", "lots", "Bob", "", 5, None, 1.0, 1.0, 1.0, True)],
+        "market string, profile string, agent string, brokerage string, row_ord long, buyer_agent string, "
+        "ratio double, ppsf double, metric_size double, reduced boolean")
+    active = spark.createDataFrame([], "market string, profile string, agent string")
+    table = agents.agent_table(sold, active, [])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "SortAggregate" in x and "count(" in x]  # of firms alone
+    assert {(r["market"], r["agent"], r["brokerage"], r["closings"]) for r in table.collect()} == {
+        ("m", "Ann", "KW Z", 5), ("m", "Bob", None, 1), (None, "Ann", "Nobody", 1)}
