@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,6 +17,9 @@ BROADCAST_ROWS = 100_000
 # Folders of stored tables begin so.
 WRITTEN = "written-"
 
+# Removes a query's shuffle files when the query ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @dataclass
 class Dim:
@@ -62,11 +67,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """A write made here leaves no shuffle files behind: nothing reads them after the table is stored."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again. Lineage ends there; unlike a
     checkpoint, the plan runs once, and later reads take only the columns and rows they need."""
     path = f"{shared_folder(df.sparkSession)}/{WRITTEN}{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ from marketval.constants import SCHEMA_VERSION
 from marketval.functions.clock import local_date
 from marketval.functions.text import safe_name
 from marketval.operators import measures
-from marketval.operators.sizing import DATASET, Dim
+from marketval.operators.sizing import DATASET, Dim, freed
 from marketval.plans.analysis import Tables, analyze
 
 RUN = [*DATASET, "run_at"]
@@ -112,9 +112,10 @@ def write_run(
 
 
 def _put(rows: DataFrame, path: str) -> None:
-    # One dataset's rows come together in as many tasks as their size asks for.
-    (rows.hint("rebalance", *DATASET).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path))
+    # A task writes the datasets that it holds, one after the other: whole rows are not shuffled for it.
+    with freed(rows.sparkSession):
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("compression", "zstd").partitionBy(*RUN).parquet(path))
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

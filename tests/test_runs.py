@@ -1,12 +1,13 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import helpers as h
 from marketval.operators import compare, measures
-from marketval.operators.sizing import DATASET
+from marketval.operators.sizing import CLEANUP, DATASET, written
 from marketval.plans import analysis, archive, reports
 from marketval.sources import config
 
@@ -112,6 +113,32 @@ def test_writing_again_leaves_nothing_of_the_first_write(spark, tmp_path):
         assert archive.list_runs(spark, root, "m", "lots").count() == 1
 
 
+def test_an_archive_is_written_by_the_tasks_that_hold_its_rows(spark, tmp_path):
+    """Whole rows are not shuffled for the write, and all of them arrive."""
+    root, stamp = str(tmp_path / "archive"), "20260801T000000Z"
+    tables = market_tables(spark, 40)
+    rows = measures.sold_measures(tables.sold, tables.profiles).repartition(3, "row_ord")
+    archive.write_run({"sold": rows}, tables, root, stamp, ("2026-06-02", "2026-08-31"))
+    files = list((tmp_path / "archive" / "sold").rglob("*.zstd.parquet"))
+    assert len(files) == 3
+    back = archive.read_stored(spark, root, "sold", "m", "lots", stamp)
+    shown = [c for c in rows.columns if c != "notes"]
+    assert back.select(*shown).exceptAll(rows.select(*shown)).isEmpty() and back.count() == rows.count()
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in map(str, disk.getAllFiles().mkString(" ").split()) if "shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    kept = written(spark.range(20_000).repartition(5, "id").groupBy((F.col("id") % 9_000).alias("k")).count())
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 9_000 and spark.conf.get(CLEANUP, None) == setting
+
+
 def test_renaming_moves_every_run(spark, tmp_path):
     root = str(tmp_path / "archive")
     tables = market_tables(spark, 5)
