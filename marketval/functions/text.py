@@ -49,8 +49,7 @@ def clean_name(x: Column) -> Column:
     """A real party's name, or NULL for a filler name, doubled or not."""
     text = squeeze(x)
     plain = F.trim(F.lower(text), F.lit(" .,"))
-    doubled = F.regexp_extract(plain, r"(?s)^(.+) \1$", 1)
-    filler = plain.isin(PLACEHOLDER_NAMES) | doubled.isin(PLACEHOLDER_NAMES)
+    filler = plain.isin([*PLACEHOLDER_NAMES, *[f"{n} {n}" for n in PLACEHOLDER_NAMES]])
     return F.when((text != "") & ~filler, text)
 
 

@@ -237,6 +237,40 @@ def test_claims_are_keyed_once_per_page_and_checked_once(spark):
     assert got.inputFiles() and all(WRITTEN in f for f in got.inputFiles())
 
 
+def test_a_page_meets_the_known_sale_before_it_becomes_claims(spark):
+    """One row per page is joined, its claims are judged as before, and only what is asked for is stored."""
+    prof = h.profiles(spark)
+    base = measures.with_keys(h.sold(spark, [
+        {"address": "1 Elm St", "sold_price": 550000, "agent": "Known"}, {"address": "2 Elm St", "sold_price": 410000},
+        {"address": "2 Elm Street", "sold_price": 300000, "sold_date": h.day("2026-08-10"), "lot_sqft": 5.0},
+        {"address": "3 Elm St"}]), prof)
+    page = {f.name: None for f in schemas.FACTS} | {"market": "m", "profile": "lots", "url": "u"}
+    said = [
+        {"address": "1 Elm St", "stated_sold_price": 550100.0, "listing_agent": "Jo", "buyer_agent": "", "lot_sqft": 50.0},
+        {"address": "1 Elm St #4", "stated_sold_price": 550100.0, "listing_agent": "Al", "dual_agency_stated": True, "lot_sqft": 60.0},
+        {"address": "2 Elm St", "stated_sold_price": 300100.0, "listing_agent": "N/A  n/a", "listing_brokerage": "\u2014", "buyer_agent": " . "},
+        {"address": "2 Elm St", "stated_sold_price": 300100.0, "listing_agent": "out of area. Out  of Area", "dual_agency_stated": True,
+         "living_sqft": float("nan"), "lot_sqft": 7.0, "stated_sold_date": "1999-01-01"},
+        {"address": "2 Elm St", "stated_sold_price": 410000.0, "listing_agent": "Jo", "final_list_price": 5.0},
+        {"address": "3 Elm St", "stated_sold_price": 1.0, "listing_agent": "Jo"},
+        {"address": "9 Far St", "stated_sold_price": 1.0, "listing_agent": "Jo", "dual_agency_stated": True},
+        {"address": None, "listing_agent": "Jo"}, {"address": "1 Elm St", "listing_brokerage": "Firm", "stated_sold_date": "2026-08-10"}]
+    pages_ = spark.createDataFrame([{**page, "row_ord": i, **x} for i, x in enumerate(said)], schemas.FACTS)
+    plain = verify.judge_claims(base, verify.claims_from_facts(pages_), prof)
+    met = verify.claims_from_facts(pages_, prof, base)
+    got = verify.judge_claims(base, met, prof)
+    row = lambda df: sorted(map(repr, df.select(*plain.columns).collect()))
+    assert row(got) == row(plain) and plain.count() == 19
+    joins = [x for x in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x or "Join LeftOuter" in x]
+    assert "Generate" in joins[0] and "LeftOuter" in joins[1]
+    some = verify.judge_claims(base, met, prof, ["value"], ["accepted"])
+    assert some.columns == ["market", "profile", "claim_ord", "row_ord", "field_name", "value", "outcome"]
+    both = lambda df: sorted(tuple(r) for r in df.where("outcome = 'accepted'").select("claim_ord", "value").collect())
+    assert both(some) == both(plain)
+    stored = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in some.inputFiles()})
+    assert {r["outcome"] for r in stored.select("outcome").collect()} == {"accepted"}
+
+
 def test_geocodes_take_the_fallback_only_when_needed(spark):
     rows = [
         ("m", "1 Elm St", "primary", "1 Elm St", 1.0, 1.0, "1 ELM ST", None), ("m", "1 Elm St", "fallback", "1 Elm St", 2.0, 2.0, "1 ELM ST", 99.0),

@@ -436,7 +436,7 @@ SELECT market, profile, kind, count(*) AS n FROM (
   UNION ALL SELECT market, profile, 'attribution' FROM active GROUP BY market, profile
     HAVING count(*) FILTER (coalesce(agent, '') <> '') < count(*) * 0.8) GROUP BY ALL""")
 def _(w):
-    claims = judged(w)
+    claims = judged(w, ["reason"])
     return quality.ledger_counts(
         quality.diagnostics(
             {

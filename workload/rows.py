@@ -577,11 +577,10 @@ def facts(w: Workload, sold=None):
     return w.spark.sql(sql, sold=w.sold if sold is None else sold)
 
 
-def checked_sales(w: Workload):
+def checked_sales(w: Workload, *shown: str):
     """Sold rows with what the checks read of them, stored: facts, targets and fills read them."""
     return written(w.sold.select(
-        *DATASET, "row_ord", "address", "sold_price", "sold_date", *verify.TEXT_FIELDS,
-        *verify.NUMBER_FIELDS, "sources",
+        *DATASET, "row_ord", "address", "sold_price", "sold_date", verify.known_fields().alias("known"), *shown,
     ))
 
 
@@ -598,16 +597,17 @@ def _(w):
     )
 
 
-def judged(w: Workload, sales=None):
+def judged(w: Workload, details=(), sales=None, only=None):
     sales = checked_sales(w) if sales is None else sales
-    claims = verify.claims_from_facts(facts(w, sales), w.profiles)
-    return verify.judge_claims(measures.with_keys(sales, w.profiles), claims, w.profiles)
+    keyed = measures.with_keys(sales, w.profiles)
+    claims = verify.claims_from_facts(facts(w, sales), w.profiles, keyed)
+    return verify.judge_claims(keyed, claims, w.profiles, details, only)
 
 
 @query("join2_sca25_judge_claims", """
 SELECT market, profile, claim_ord, row_ord, field_name, outcome, reason FROM judged""")
 def _(w):
-    return judged(w).select(*DATASET, "claim_ord", "row_ord", "field_name", "outcome", "reason")
+    return judged(w, ["reason"]).select(*DATASET, "claim_ord", "row_ord", "field_name", "outcome", "reason")
 
 
 @query("join2_apply_claims", """
@@ -625,8 +625,10 @@ FROM sold_k s LEFT JOIN (SELECT market, profile, row_ord, count(DISTINCT source_
   FROM judged WHERE outcome = 'accepted' GROUP BY ALL) c USING (market, profile, row_ord)""",
        "final_list_price original_list_price lot_sqft")
 def _(w):
-    sales = checked_sales(w)
-    filled = verify.apply_claims(measures.with_keys(sales, w.profiles), judged(w, sales))
+    sales = checked_sales(w, *verify.KNOWN_FIELDS, "sources")
+    # Only accepted claims fill a row, so of all that are judged only those are stored.
+    accepted = judged(w, ["clean_value", "source_url"], sales, ["accepted"])
+    filled = verify.apply_claims(measures.with_keys(sales, w.profiles), accepted)
     return filled.select(
         *DATASET, "row_ord", "agent", "brokerage", "buyer_agent", "final_list_price",
         "original_list_price", "lot_sqft", F.size("sources").alias("n_sources"),
